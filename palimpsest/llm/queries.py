@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bloom_cascade, line_templates, quality_rules
+from palimpsest.llm import bloom_cascade, line_templates, quality_rules, substring_dedup
 from palimpsest.llm.shared import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passages=False)
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -26,12 +31,14 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op5_bloom_cascade": op5_bloom_cascade,
     "op10_line_templates": op10_line_templates,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.ORACLE_SQL,
     "op5_bloom_cascade": bloom_cascade.ORACLE_SQL,
     "op10_line_templates": line_templates.ORACLE_SQL,
 }

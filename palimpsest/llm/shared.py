@@ -29,11 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.abspath(_own_dir[0])
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df once as Parquet in the shared folder and reads it back: later uses don't recompute it, and lost executors don't either."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df once as Parquet in the shared folder and reads it back: later uses don't recompute it, and lost executors don't
+    either. The shuffle files of the write go at once, as nothing reads them again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
