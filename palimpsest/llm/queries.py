@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bloom_cascade, line_templates, quality_rules, substring_dedup
+from palimpsest.llm import bloom_cascade, line_templates, packing, quality_rules, sketch, substring_dedup
 from palimpsest.llm.shared import table
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passages=False)
     return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -25,6 +31,14 @@ def op5_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_cascade.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+
+
+def op8_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -34,6 +48,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op5_bloom_cascade": op5_bloom_cascade,
+    "op7_best_two_fit": op7_best_two_fit,
+    "op8_sketch": op8_sketch,
     "op10_line_templates": op10_line_templates,
 }
 
