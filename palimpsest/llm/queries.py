@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bloom_cascade, line_templates, packing, quality_rules, sketch, substring_dedup
+from palimpsest.llm import bloom_cascade, importance, line_templates, packing, quality_rules, sketch, substring_dedup, toxicity
 from palimpsest.llm.shared import table
 
 
@@ -27,10 +27,22 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), keep_text=False)
+
+
 def op5_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_cascade.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels")
+    part = lambda c: F.pmod(F.crc32(c.cast("string")), F.lit(3))
+    model = toxicity.train(docs, labels.where(part(F.col("doc_id")) != 1))
+    scored = toxicity.score(docs, model, keep_text=False)
+    return scored.select("doc_id", F.coalesce(part(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "flagged")
+
+
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
 
@@ -47,7 +59,9 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op4_importance": op4_importance,
     "op5_bloom_cascade": op5_bloom_cascade,
+    "op6_toxicity": op6_toxicity,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_sketch": op8_sketch,
     "op10_line_templates": op10_line_templates,

@@ -17,6 +17,8 @@ BASE_WORD = 0xA0761D6478BD642F
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MARKS = _SPACE.copy()
+_MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -57,9 +59,10 @@ class Spans:
 
 
 class Words:
-    """Where the words of some texts lie (bytes start to end) and their hashes; first[d] to first[d + 1] are those of text d."""
+    """Where the words of some texts lie (bytes start to end) and their hashes; first[d] to first[d + 1] are those of text d.
+    lower: A-Z in small letters; marks_part: ASCII characters that are no letters or digits part words too."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False) -> None:
+    def __init__(self, texts: pa.Array, lower: bool = False, marks_part: bool = False) -> None:
         texts = texts.cast(pa.large_string()).fill_null("")
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         low, high = int(offsets[0]), int(offsets[-1])
@@ -68,7 +71,7 @@ class Words:
         self.raw = _LOWER[raw] if lower else raw
         self.offsets = offsets - low
         self.bytes = np.diff(self.offsets)
-        inside = ~_SPACE[raw]
+        inside = ~(_MARKS if marks_part else _SPACE)[raw]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
