@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bloom_cascade, importance, line_templates, packing, quality_rules, sketch, substring_dedup, toxicity
+from palimpsest.llm import bloom_cascade, importance, line_templates, minhash, packing, quality_rules, sketch, substring_dedup, toxicity
 from palimpsest.llm.shared import table
 
 
@@ -51,6 +51,10 @@ def op8_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, percent=85)
+
+
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -64,11 +68,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_sketch": op8_sketch,
+    "op9_minhash": op9_minhash,
     "op10_line_templates": op10_line_templates,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.ORACLE_SQL,
     "op5_bloom_cascade": bloom_cascade.ORACLE_SQL,
+    "op9_minhash": minhash.ORACLE_SQL,
     "op10_line_templates": line_templates.ORACLE_SQL,
 }
