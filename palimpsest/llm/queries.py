@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bloom_cascade, importance, line_templates, minhash, packing, quality_rules, sketch, substring_dedup, toxicity
+from palimpsest.llm import bloom_cascade, importance, line_templates, minhash, nbest, packing, quality_rules, sketch, substring_dedup, toxicity
 from palimpsest.llm.shared import table
 
 
@@ -27,6 +27,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.segment(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+
+
 def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), keep_text=False)
 
@@ -63,6 +67,7 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_nbest": op3_nbest,
     "op4_importance": op4_importance,
     "op5_bloom_cascade": op5_bloom_cascade,
     "op6_toxicity": op6_toxicity,
