@@ -24,7 +24,7 @@ VARIABLE = "<*>"
 
 
 def _tokens(line):
-    masked = F.regexp_replace(line, "[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*", VARIABLE)
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*", VARIABLE)).otherwise(line)
     return F.array_remove(F.split(masked, SPACE), "")
 
 
@@ -33,7 +33,7 @@ def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 20, dep
     lines = docs.select(row_key(F.col("doc_id"), F.col(text)).alias("row"), F.xxhash64(text).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
     lines = lines.select("row", "doc", "line", _tokens(F.col("raw")).alias("tokens")).where(F.size("tokens") >= min_fixed)
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
-    lines = lines.select("row", "doc", "line", leaf.alias("leaf"), "tokens")
+    lines = cut(lines.select("row", "doc", "line", leaf.alias("leaf"), "tokens"))
     # leaves that too few documents reach hold no recurring template
     leaves = lines.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
     lines = cut(lines.join(cut(leaves), "leaf", "left_semi"))
