@@ -88,7 +88,8 @@ def align(a: DataFrame, b: DataFrame, settings: Settings = Settings()) -> DataFr
         made = [(pair[0], k, at(left, i), at(right, j), s, anchored) for k, (i, j, s, anchored) in enumerate(rows)]
         return pd.DataFrame(made, columns=["pair_id", "pair_ord", "i", "j", "sim", "anchored"]).astype({"i": "Int32", "j": "Int32"})
 
-    columns = ["pair_id", "i", "key", "clause", "vec"]
+    # new names for the same columns, as both sides may come from one table
+    columns = [F.col(c).alias(c) for c in ("pair_id", "i", "key", "clause", "vec")]
     return a.select(*columns).groupBy("pair_id").cogroup(b.select(*columns).groupBy("pair_id")).applyInPandas(one, ALIGNED)
 
 

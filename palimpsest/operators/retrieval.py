@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import ids
-from palimpsest.operators.align import cosine
 
 DOCUMENT_INSTRUCTION = "Represent this legal clause for retrieval"
 
@@ -87,17 +86,34 @@ def stale_collections(collections: DataFrame, keep: int = 5) -> DataFrame:
     return collections.select("collection").distinct().withColumn("n", rank).where(F.col("n") > keep).drop("n")
 
 
-def nearest(queries: DataFrame, items: DataFrame, n: int = 5, by: str | None = None) -> DataFrame:
-    """Exact search by cosine distance. queries: query_id, vec; items: item_id, vec; by: a column that both must share.
-
-    The queries are the small side (a question, a benchmark): their number is a parameter of the caller, not of the corpus. Each task of
-    items keeps its own n best of each query before the shuffle.
-    """
-    q = queries.select("query_id", F.col("vec").alias("_q"), *([by] if by else []))
-    pairs = items.join(F.broadcast(q), by) if by else items.join(F.broadcast(q))
-    scored = pairs.select("query_id", "item_id", F.round(1 - cosine(F.col("_q"), F.col("vec")), 6).alias("distance"))
+def nearest(queries: DataFrame, items: DataFrame, n: int = 5, by: str | None = None, block: int = 20_000, chunk: int = 4_000) -> DataFrame:
+    """Exact search by cosine distance. queries: query_id, vec; items: item_id, vec; by: a column that both must share. An item isn't
+    its own neighbour. Blocks of items meet chunks of queries in matrix products; each keeps its own n best before the shuffle."""
+    columns = [by] if by else []
+    blocks, chunks = (max(1, -(-df.count() // size)) for df, size in ((items, block), (queries, chunk)))
+    deal = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    x = items.select("item_id", "vec", *columns, deal("item_id", blocks).alias("b")).withColumn("q", each(chunks))
+    y = queries.select("query_id", "vec", *columns, deal("query_id", chunks).alias("q")).withColumn("b", each(blocks))
+
+    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(left) and len(right):
+            u, v = (np.stack(d["vec"].to_list()).astype(np.float64) for d in (left, right))
+            u, v = (m / (np.sqrt((m * m).sum(axis=1, keepdims=True)) + 1e-9) for m in (u, v))
+            distance = np.round(1 - v @ u.T, 6)
+            distance[right["query_id"].to_numpy()[:, None] == left["item_id"].to_numpy()[None, :]] = np.inf
+            if by:
+                distance[right[by].to_numpy()[:, None] != left[by].to_numpy()[None, :]] = np.inf
+            ids = left["item_id"].to_numpy()
+            for k, query in enumerate(right["query_id"]):
+                best = np.lexsort((ids, distance[k]))[:n]
+                rows += [(query, int(ids[i]), float(distance[k, i])) for i in best if distance[k, i] < np.inf]
+        return pd.DataFrame(rows, columns=["query_id", "item_id", "distance"])
+
+    found = x.groupBy("b", "q").cogroup(y.groupBy("b", "q")).applyInPandas(one, "query_id bigint, item_id bigint, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "item_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= n).withColumn("similarity", F.round(1 - F.col("distance"), 6))
+    return found.withColumn("rank", rank).where(F.col("rank") <= n).withColumn("similarity", F.round(1 - F.col("distance"), 6))
 
 
 def hit_metrics(ranks: DataFrame) -> DataFrame:
