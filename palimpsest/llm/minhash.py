@@ -9,9 +9,11 @@ pair, and pairs whose estimate is more than SLACK under the threshold go. Two se
 Only components are asked for, so the pairs of a bucket need not all be tried:
 
 1. each bucket has a hub, another one in each bucket, and its members are tried against it;
-2. where a bucket still holds members of different components, those outside its largest one are compared with all members by their
-   signatures, in blocks of a fixed size; each goes on with its best candidate of each block;
-3. again, with all candidates that are left. After that no link between components is untried.
+2. where a bucket still holds members of different components, those outside its largest one meet all members in blocks of a fixed
+   size. Estimates say whether a block has candidates; their full sets are then compared at once, as a product of matrices. A pair is
+   tried in the first bucket that it shares, and of the links from one member to one component a block reports one.
+
+After that no link between components is untried, and what leaves a task is links, not candidates.
 
 Cases: a text of fewer words than a shingle has one, all its words. Null and empty texts, and texts without words, have no shingle and are
 linked with nothing, as are rows without an id. Rows with one id count as one document whose sets all link it. Equal rows are in one
@@ -34,7 +36,7 @@ from palimpsest.llm.wordhash import Words, finish, pieces
 
 BANDS, ROWS, BITS = 20, 4, 4
 SLACK = 0.18
-BLOCK = 128
+BLOCK = 512
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,26 +115,55 @@ def _likely(threshold: float):
     return run
 
 
-def _blocks(percent: int, all_of_them: bool):
-    """One block of members outside the largest component against one of all members."""
+def _blocks(percent: int):
+    """One block of members outside the largest component against one of all members: links (a, b) between components."""
 
     def run(table: pa.Table) -> pa.Table:
-        outer, v, label, size = (table.column(c).to_numpy() for c in ("outer", "v", "label", "size"))
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(len(v), -1)
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        outer, v, label, size, band = (table.column(c).to_numpy() for c in ("outer", "v", "label", "size", "band"))
         left, right = np.flatnonzero(outer), np.flatnonzero(~outer)
         if not len(left) or not len(right):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        similar = estimate(signature[left], signature[right])
-        small, large = np.minimum.outer(size[left], size[right]), np.maximum.outer(size[left], size[right])
-        good = (similar >= percent / 100 - SLACK) & (100 * small >= percent * large) & (label[left][:, None] != label[right][None, :])
-        if not all_of_them:
-            best = np.where(good, similar, -1).argmax(axis=1)
-            only = np.zeros_like(good)
-            only[np.arange(len(left)), best] = True
-            good &= only
-        i, j = np.nonzero(good)
-        x, y = v[left[i]], v[right[j]]
-        return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+            return none
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(len(v), -1)
+        keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(v), -1)
+        grams = table.column("grams").combine_chunks()
+        flat, ends = grams.flatten().to_numpy(), np.r_[0, np.cumsum(np.diff(grams.offsets.to_numpy()))]
+        a, b = [], []
+        for at in range(0, len(left), 64):
+            rows = left[at : at + 64]
+            small, large = np.minimum.outer(size[rows], size[right]), np.maximum.outer(size[rows], size[right])
+            good = (label[rows][:, None] != label[right][None, :]) & (100 * small >= percent * large)
+            for k in range(int(band[0])):  # another bucket tries pairs that share an earlier one
+                good &= keys[rows, k][:, None] != keys[right, k][None, :]
+            if not good.any():
+                continue
+            good &= estimate(signature[rows], signature[right]) >= percent / 100 - SLACK
+            if not good.any():
+                continue
+            mine, theirs = good.any(axis=1), good.any(axis=0)
+            x, y, good = rows[mine], right[theirs], good[mine][:, theirs]
+            listed = np.concatenate([flat[ends[i] : ends[i + 1]] for i in x])
+            known, place = np.unique(listed, return_inverse=True)
+            common = np.zeros(good.shape, dtype=np.float32)
+            one = np.zeros((len(x), len(known)), dtype=np.float32)
+            one[np.repeat(np.arange(len(x)), size[x]), place] = 1
+            for part in range(0, len(y), 64):
+                own = y[part : part + 64]
+                other = np.concatenate([flat[ends[i] : ends[i + 1]] for i in own])
+                place = np.minimum(np.searchsorted(known, other), len(known) - 1)
+                hit = known[place] == other
+                two = np.zeros((len(own), len(known)), dtype=np.float32)
+                two[np.repeat(np.arange(len(own)), size[own])[hit], place[hit]] = 1
+                common[:, part : part + 64] = one @ two.T
+            total = size[x][:, None] + size[y][None, :] - common
+            i, j = np.nonzero(good & (100 * common.astype(np.int64) >= percent * total.astype(np.int64)))
+            _, first = np.unique(np.stack([i, label[y[j]]], axis=1), axis=0, return_index=True) if len(i) else (None, np.zeros(0, dtype=np.int64))
+            a.append(v[x[i[first]]])
+            b.append(v[y[j[first]]])
+        if not a:
+            return none
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     return run
 
@@ -153,16 +184,15 @@ class NearDuplicates:
         banded = cut(self.members.select("v", F.posexplode("bands").alias("band", "key")))
         shared = cut(banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min_by("v", F.xxhash64("v", "band")).alias("hub")).where("n > 1"))
         self.banded = cut(banded.join(shared, ["band", "key"]))
-        self.sketch = cut(self.members.join(self.banded.select("v").distinct(), "v", "left_semi").select("v", "size", "signature"))
+        near = cut(self.banded.select("v").distinct())
+        self.sketch = cut(self.members.join(near, "v", "left_semi").select("v", "size", "signature", "bands"))
+        texts = docs.select("doc_id", "text").join(near.select(F.col("v").alias("doc_id")), "doc_id", "left_semi")
+        self.sets = cut(texts.mapInArrow(_full_sets(shingle), "v bigint, grams array<bigint>").dropDuplicates(["v", "grams"]))
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose full sets are similar enough."""
-        pairs = cut(pairs)
-        wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        texts = self.docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-        sets = cut(texts.mapInArrow(_full_sets(self.shingle), "v bigint, grams array<bigint>").dropDuplicates(["v", "grams"]))
-        one = pairs.join(sets.select(F.col("v").alias("b"), F.col("grams").alias("y")), "b")
-        both = one.join(sets.select(F.col("v").alias("a"), F.col("grams").alias("x")), "a")
+        one = cut(pairs).join(self.sets.select(F.col("v").alias("b"), F.col("grams").alias("y")), "b")
+        both = one.join(self.sets.select(F.col("v").alias("a"), F.col("grams").alias("x")), "a")
         common = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
         return cut(common.where(100 * F.col("common") >= self.percent * (F.col("m") + F.col("n") - F.col("common"))).select("a", "b").distinct())
 
@@ -173,32 +203,28 @@ class NearDuplicates:
         alike = pairs.where(100 * F.least("size_a", "size_b") >= self.percent * F.greatest("size_a", "size_b"))
         return alike.select("a", "b", "sa", "sb").mapInArrow(_likely(self.percent / 100), "a bigint, b bigint")
 
-    def other_pairs(self, labels: DataFrame, all_of_them: bool) -> DataFrame:
-        """Candidates of different components, from buckets that hold more than one."""
-        named = self.banded.join(labels, "v", "left").select("band", "key", "v", "n", F.coalesce("label", "v").alias("label"))
+    def other_links(self, labels: DataFrame) -> DataFrame:
+        """Links between different components, from buckets that hold more than one."""
+        named = self.banded.join(labels, "v", "left").select("band", "key", "v", F.coalesce("label", "v").alias("label"))
+        named = cut(named)
         sizes = cut(named.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("m")))
         mixed = sizes.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", "m").alias("main"), F.sum("m").alias("n"), F.max("m").alias("most")).where("parts > 1")
         mixed = cut(mixed.select("band", "key", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("outer_blocks"), F.ceil(F.col("n") / BLOCK).alias("blocks")))
-        inside = named.drop("n").join(mixed, ["band", "key"]).join(self.sketch, "v")
+        inside = cut(named.join(mixed, ["band", "key"]))
         deal = lambda n: F.pmod(F.xxhash64("v", F.lit("deal")), F.col(n))
-        columns = ["band", "key", "i", "j", "v", "label", "size", "signature"]
+        columns = ["band", "key", "i", "j", "v", "label"]
         spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
         outer = inside.where("label <> main").withColumn("i", deal("outer_blocks")).withColumn("j", spread("blocks")).select(*columns, F.lit(True).alias("outer"))
         every = inside.withColumn("j", deal("blocks")).withColumn("i", spread("outer_blocks")).select(*columns, F.lit(False).alias("outer"))
-        return outer.unionByName(every).groupBy("band", "key", "i", "j").applyInArrow(_blocks(self.percent, all_of_them), "a bigint, b bigint").distinct()
+        # rows that share an id can have several sets; each goes with its own sketch
+        full = self.sketch.join(self.sets.withColumn("size", F.size("grams").cast("bigint")), ["v", "size"])
+        rows = cut(outer.unionByName(every)).join(full, "v")
+        return rows.groupBy("band", "key", "i", "j").applyInArrow(_blocks(self.percent), "a bigint, b bigint").distinct()
 
     def labels(self) -> DataFrame:
-        links = self.confirmed(self.hub_pairs())
-        tried = None
-        for all_of_them in (False, True):
-            labels = components(links)
-            pairs = cut(self.other_pairs(labels, all_of_them))
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            more = self.confirmed(pairs)
-            tried = pairs
-            links = cut(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).where("a <> b").union(more))
-        return components(links)
+        labels = components(self.confirmed(self.hub_pairs()))
+        more = cut(self.other_links(labels))
+        return components(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).where("a <> b").union(more))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
