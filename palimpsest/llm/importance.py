@@ -112,9 +112,9 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 1024) -> float
     return low if k > 1 or low == high else high
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_text: bool = True, buckets: int = BUCKETS, most_target: int = MOST_TARGET, margin: float = MARGIN) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_text: bool = True, buckets: int = BUCKETS, most_target: int = MOST_TARGET, prior: float = PRIOR, margin: float = MARGIN) -> DataFrame:
     """docs with n_words, log_ratio, key and kept."""
-    scored = cut(score(docs, fit(docs, labels, buckets, most_target), keep_text))
+    scored = cut(score(docs, fit(docs, labels, buckets, most_target, prior), keep_text))
     if k is None:
         k = scored.where(F.col("log_ratio") >= -margin).count()
     bound = kth_largest(scored, "key", k)
