@@ -66,7 +66,7 @@ class PieceModel:
         usual = self.scores[list(self.ids.values())]
         self.unknown = float(usual[usual > -1e8].min()) - UNKNOWN if len(usual) else -UNKNOWN
         points, ends = np.frombuffer("".join(self.ids).encode("utf-32-le"), dtype="<u4"), np.cumsum([len(p) for p in self.ids])
-        hashes = self._spans(points).hash(np.r_[0, ends[:-1]], ends) if len(points) else np.zeros(0, dtype=np.uint64)
+        hashes = self._spans(points).raw(np.r_[0, ends[:-1]], ends) if len(points) else np.zeros(0, dtype=np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.by_hash = hashes[order], np.array(list(self.ids.values()), dtype=np.int64)[order]
         self.units: dict[str, Best] = {}
@@ -107,7 +107,7 @@ class PieceModel:
         edges: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for start in range(n):
             for end in range(start + 1, min(n, start + self.longest) + 1):
-                hashes = spans.hash(begin + start, begin + end)
+                hashes = spans.raw(begin + start, begin + end)
                 at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
                 ids = np.where(self.hashes[at] == hashes, self.by_hash[at], -1)
                 score = np.where(ids >= 0, self.scores[ids], -np.inf)
@@ -175,13 +175,23 @@ class PieceModel:
         self.alternatives[unit, n] = out
         return out
 
+    def _bytes(self, ids: bytes) -> bytes:
+        return b"".join([self.bytes_of[i] for i in np.frombuffer(ids, dtype="<i4").tolist()])
+
     def segment(self, units: list[str], n: int) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text, given as its learnt units: score and ids (32-bit little-endian)."""
+        return [(score, ids) for score, ids, _ in self.segment_and_compare(units, n)]
+
+    def segment_and_compare(self, units: list[str], n: int) -> list[tuple[float, bytes, bool]]:
+        """Also whether the ids decode to what those of the best one do; only the units that differ are decoded for that."""
         known = self.units
         best = [known[u] for u in units]
         parts, total = [b[0] for b in best], sum([b[1] for b in best])
-        close = heapq.nsmallest(n - 1, [(b[2], i) for i, b in enumerate(best)])
-        places = sorted(i for gap, i in close if gap < np.inf)
+        gaps, places = [b[2] for b in best], []
+        while gaps and len(places) < n - 1 and (least := min(gaps)) < np.inf:
+            places.append(gaps.index(least))
+            gaps[places[-1]] = np.inf
+        places.sort()
         options = [self.search(units[i], n) for i in places]
         mixed = sorted(itertools.product(*options), key=lambda o: (-sum(x[0] - best[i][1] for i, x in zip(places, o, strict=True)), [x[1] for x in o]))
         out = []
@@ -189,7 +199,8 @@ class PieceModel:
             own = parts.copy()
             for i, (_, ids) in zip(places, option, strict=True):
                 own[i] = ids
-            out.append((total + sum(x[0] - best[i][1] for i, x in zip(places, option, strict=True)), b"".join(own)))
+            same = all(x[1] == parts[i] or self._bytes(x[1]) == self._bytes(parts[i]) for i, x in zip(places, option, strict=True))
+            out.append((total + sum(x[0] - best[i][1] for i, x in zip(places, option, strict=True)), b"".join(own), same))
         return out
 
 
@@ -216,10 +227,11 @@ def segment(docs: DataFrame, path: str, text: str = "text", n: int = N_BEST, wit
                 rows: list[tuple] = []
                 texts = batch.column(batch.schema.get_field_index("_text")).to_pylist()
                 for k, units in enumerate(model.learn(texts)):
-                    for rank, (score, ids) in enumerate(model.segment(units, n), 1):
-                        listed = np.frombuffer(ids, dtype="<i4").tolist()
-                        digest = hashlib.sha256(model.decode(listed).encode()).hexdigest()
-                        rows.append((k, rank, score, len(listed), zlib.crc32(ids), digest, listed if with_ids else None))
+                    digest = ""
+                    for rank, (score, ids, same) in enumerate(model.segment_and_compare(units, n), 1):
+                        if rank == 1 or not same:
+                            digest = hashlib.sha256(model.decode(np.frombuffer(ids, dtype="<i4").tolist()).encode()).hexdigest()
+                        rows.append((k, rank, score, len(ids) // 4, zlib.crc32(ids), digest, np.frombuffer(ids, dtype="<i4").tolist() if with_ids else None))
                 take = pa.array([r[0] for r in rows], pa.int64())
                 columns = {c: batch.column(batch.schema.get_field_index(c)).take(take) for c in names}
                 types = (pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.string())
