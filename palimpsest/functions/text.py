@@ -183,20 +183,21 @@ def subjects(c: Column) -> Column:
     return F.array_distinct(F.concat(*named, found(c, rules.EMAIL)))
 
 
+def metric_values(squeezed: Column, pattern: str) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(found(squeezed, pattern, 1), lambda v: F.replace(v, F.lit(","), F.lit(".")))))
+
+
 def metrics(c: Column) -> Column:
     """Map of a metric's name to its values, sorted, with decimal points; without the metrics that the text hasn't."""
-    pairs = [F.struct(F.lit(n).alias("key"), F.array_sort(F.array_distinct(F.transform(found(squeeze(c), p, 1), lambda v: F.replace(v, F.lit(","), F.lit("."))))).alias("value")) for n, p in rules.METRICS.items()]
+    pairs = [F.struct(F.lit(n).alias("key"), metric_values(squeeze(c), p).alias("value")) for n, p in rules.METRICS.items()]
     return F.map_from_entries(F.filter(F.array(*pairs), lambda x: F.size(x["value"]) > 0))
 
 
 def metric_deltas(old: Column, new: Column) -> Column:
     """Array of (metric, before, after): values in order, paired by place, that differ."""
-    a, b = metrics(old), metrics(new)
-    empty = F.array().cast("array<string>")
     out = []
-    for n in rules.METRICS:
-        x, y = F.coalesce(a[n], empty), F.coalesce(b[n], empty)
-        zipped = F.zip_with(x, y, lambda before, after: F.struct(F.lit(n).alias("metric"), before.alias("before"), after.alias("after")))
+    for n, p in rules.METRICS.items():
+        zipped = F.zip_with(metric_values(squeeze(old), p), metric_values(squeeze(new), p), lambda before, after: F.struct(F.lit(n).alias("metric"), before.alias("before"), after.alias("after")))
         out.append(F.filter(zipped, lambda d: ~d["before"].eqNullSafe(d["after"])))
     return F.concat(*out)
 

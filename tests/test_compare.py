@@ -125,37 +125,52 @@ def test_collapse_is_greedy(spark):
 CLAUSE = "pair_id string, ord int, match_type string, clause_id string, text_a string, text_b string, similarity double"
 
 
-def records(spark, a, b, clause="Điều 1", kind="MODIFIED"):
-    df = spark.createDataFrame([("p", 0, kind, clause, a, b, 0.9)], CLAUSE)
-    return [r.record for r in changes.change_records(df).orderBy("rec_ord").collect()]
+PEOPLE_A = "Danh sách nhân sự\n| Lead Developer | Nguyễn A | 5 năm | Java |\n| QA Lead | Trần B | 4 năm | ISTQB |"
+PEOPLE_B = "Danh sách\nnhân sự\n| Lead Developer | Lê C | 6 năm | Java |\n| QA Lead | Phạm D | 3 năm | ISTQB |"
+CASES = {
+    "place": ("Giải quyết trong 30 ngày tại Hà Nội.", "Giải quyết trong 30 ngày tại TP. Hồ Chí Minh.", "Điều 1"),
+    "boilerplate": ("Bên A trả tiền.\nHợp đồng này được lập thành 02 bản.", "Bên A trả tiền.", "Điều 1"),
+    "synonym": ("Các bên chấm dứt hợp đồng.", "Các bên kết thúc hợp đồng.", "Điều 1"),
+    "service": ("Hỗ trợ 8/5, SLA 4 giờ", "Hỗ trợ 24/7, SLA 2 giờ", "Điều 1"),
+    "uptime": ("Uptime 99.5 %", "Uptime 99.9 %", "Điều 1"),
+    "people": (PEOPLE_A, PEOPLE_B, "Phụ lục A"),
+}
+
+
+@pytest.fixture(scope="module")
+def records(spark):
+    """All cases in one plan."""
+    df = spark.createDataFrame([(k, 0, "MODIFIED", clause, a, b, 0.9) for k, (a, b, clause) in CASES.items()], CLAUSE)
+    out: dict = {}
+    for r in sorted(changes.change_records(df).collect(), key=lambda r: r.rec_ord):
+        out.setdefault(r.pair_id, []).append(r.record)
+    return out
 
 
-def test_place_changes(spark):
-    (r,) = records(spark, "Giải quyết trong 30 ngày tại Hà Nội.", "Giải quyết trong 30 ngày tại TP. Hồ Chí Minh.")
+def test_place_changes(records):
+    (r,) = records["place"]
     assert "Địa điểm" in r.tags and "Thời hạn" not in r.tags and (r.semantic_effect, r.review_status) == ("SUBSTANTIVE", "AUTO")
 
 
-def test_boilerplate_is_formal(spark):
-    found = records(spark, "Bên A trả tiền.\nHợp đồng này được lập thành 02 bản.", "Bên A trả tiền.")
+def test_boilerplate_is_formal(records):
+    found = records["boilerplate"]
     assert {r.impact_level for r in found} == {"formal"} and {r.semantic_effect for r in found} == {"FORMAL"}
 
 
-def test_synonyms_need_review(spark):
-    (r,) = records(spark, "Các bên chấm dứt hợp đồng.", "Các bên kết thúc hợp đồng.")
+def test_synonyms_need_review(records):
+    (r,) = records["synonym"]
     assert (r.impact_level, r.semantic_effect, r.review_status) == ("substantive", "SUBSTANTIVE", "REVIEW_NEEDED")
 
 
-def test_service_levels_are_critical(spark):
-    (r,) = records(spark, "Hỗ trợ 8/5, SLA 4 giờ", "Hỗ trợ 24/7, SLA 2 giờ")
+def test_service_levels_are_critical(records):
+    (r,) = records["service"]
     assert "CRITICAL_VALUE_DELTA" in r.meta_tags and {"Số liệu", "Thời hạn"} <= set(r.tags) and r.review_status == "REVIEW_NEEDED"
-    (r,) = records(spark, "Uptime 99.5 %", "Uptime 99.9 %")
+    (r,) = records["uptime"]
     assert "Số liệu" in r.tags and "CRITICAL_VALUE_DELTA" in r.meta_tags
 
 
-def test_people(spark):
-    a = "Danh sách nhân sự\n| Lead Developer | Nguyễn A | 5 năm | Java |\n| QA Lead | Trần B | 4 năm | ISTQB |"
-    b = "Danh sách\nnhân sự\n| Lead Developer | Lê C | 6 năm | Java |\n| QA Lead | Phạm D | 3 năm | ISTQB |"
-    found = records(spark, a, b, "Phụ lục A")
+def test_people(records):
+    found = records["people"]
     assert sorted(r.change_kind for r in found) == ["MODIFIED", "REPLACED", "REPLACED"]
     assert [r.impact_level for r in found if r.change_kind == "MODIFIED"] == ["formal"]
     assert all("Nhân sự" in r.tags for r in found if r.change_kind == "REPLACED")
