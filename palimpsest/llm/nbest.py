@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.wordhash import Spans
 
-N_BEST, UNKNOWN, KNOWN_UNITS = 3, 10.0, 250_000
+N_BEST, UNKNOWN, KNOWN_UNITS, BITMAP = 3, 10.0, 500_000, 20
 
 SPACE = "▁"
 _UNITS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -38,6 +38,9 @@ _UNITS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 #: A unit's best ids (bytes), its score, and by how much the second best falls behind.
 Best = tuple[bytes, float, float]
 
+#: Numbers of units, pieces and scores.
+Edge = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 
 class PieceModel:
     """The pieces and scores of a SentencePiece model with byte pieces and neither normalisation nor removal of spaces."""
@@ -69,6 +72,8 @@ class PieceModel:
         hashes = self._spans(points).raw(np.r_[0, ends[:-1]], ends) if len(points) else np.zeros(0, dtype=np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.by_hash = hashes[order], np.array(list(self.ids.values()), dtype=np.int64)[order]
+        self.bitmap = np.zeros(1 << BITMAP, dtype=bool)
+        self.bitmap[self.hashes >> np.uint64(64 - BITMAP)] = True
         self.units: dict[str, Best] = {}
         self.alternatives: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
@@ -93,38 +98,53 @@ class PieceModel:
             self.units = {u: self.units[u] for u in wanted if u in self.units}
             self.alternatives.clear()
         by_length: dict[int, list[str]] = {}
-        for u in sorted(u for u in wanted if u not in self.units):
+        for u in wanted - self.units.keys():
             by_length.setdefault(len(u), []).append(u)
         for length, same in by_length.items():
             for at in range(0, len(same), max(1, 400_000 // length)):
                 self._viterbi(same[at : at + max(1, 400_000 // length)], length)
         return listed
 
+    def _edges(self, units: list[str], n: int) -> dict[tuple[int, int], Edge]:
+        """By start and end, the units of length n that have an edge there, with its piece (-1: none) and score. All stretches of one width are
+        looked up at once; a bitmap over the hashes' first bits turns most of those away that are no piece."""
+        m = len(units)
+        spans = self._spans(np.frombuffer("".join(units).encode("utf-32-le"), dtype="<u4"))
+        edges: dict[tuple[int, int], Edge] = {}
+        for width in range(1, min(n, self.longest) + 1):
+            starts = n - width + 1
+            at = (np.arange(starts)[:, None] + np.arange(m)[None, :] * n).reshape(-1)
+            hashes = spans.raw(at, at + width)
+            maybe = np.flatnonzero(self.bitmap[hashes >> np.uint64(64 - BITMAP)])
+            hashes = hashes[maybe]
+            place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            hit = self.hashes[place] == hashes
+            found, ids = maybe[hit], self.by_hash[place[hit]]
+            scores = self.scores[ids]
+            if width == 1:
+                every, score = np.full(m * n, -1, dtype=np.int64), np.full(m * n, self.unknown)
+                every[found], score[found] = ids, scores
+                found, ids, scores = np.arange(m * n), every, score
+            cuts = np.searchsorted(found, np.arange(starts + 1) * m).tolist()
+            for start, (low, high) in enumerate(itertools.pairwise(cuts)):
+                if high > low:
+                    edges[start, start + width] = (found[low:high] - start * m, ids[low:high], scores[low:high])
+        return edges
+
     def _viterbi(self, units: list[str], n: int) -> None:
         m, rows = len(units), np.arange(len(units))
-        begin = rows * n
-        spans = self._spans(np.frombuffer("".join(units).encode("utf-32-le"), dtype="<u4"))
-        edges: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for start in range(n):
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                hashes = spans.raw(begin + start, begin + end)
-                at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-                ids = np.where(self.hashes[at] == hashes, self.by_hash[at], -1)
-                score = np.where(ids >= 0, self.scores[ids], -np.inf)
-                if end == start + 1:
-                    score = np.where(ids >= 0, score, self.unknown)
-                if np.isfinite(score).any():
-                    edges[start, end] = (ids, score)
+        edges = self._edges(units, n)
         forward, backward = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
         came = np.zeros((n + 1, m), dtype=np.int32)
         forward[0], backward[n] = 0, 0
-        for (start, end), (_, score) in sorted(edges.items(), key=lambda e: e[0][1]):
-            total = forward[start] + score
-            better = total > forward[end]
-            forward[end] = np.where(better, total, forward[end])
-            came[end] = np.where(better, start, came[end])
-        for (start, end), (_, score) in sorted(edges.items(), key=lambda e: -e[0][0]):
-            backward[start] = np.maximum(backward[start], backward[end] + score)
+        for (start, end), (own, _, score) in sorted(edges.items(), key=lambda e: (e[0][1], e[0][0])):
+            total = forward[start, own] + score
+            better = total > forward[end, own]
+            own = own[better]
+            forward[end, own] = total[better]
+            came[end, own] = start
+        for (start, end), (own, _, score) in sorted(edges.items(), key=lambda e: -e[0][0]):
+            backward[start, own] = np.maximum(backward[start, own], backward[end, own] + score)
         # which edges the best paths take; the best path through any other is the second best
         ends_at, chosen = np.full(m, n), np.full((n + 1, m), -1, dtype=np.int32)
         for _ in range(n):
@@ -135,17 +155,22 @@ class PieceModel:
             chosen[ends_at[on], rows[on]] = start[on]
             ends_at = np.where(on, start, 0)
         second, ids_at = np.full(m, -np.inf), np.zeros((n + 1, m), dtype=np.int64)
-        for (start, end), (ids, score) in edges.items():
-            taken = chosen[end] == start
-            ids_at[end] = np.where(taken, ids, ids_at[end])
-            second = np.maximum(second, np.where(taken, -np.inf, forward[start] + score + backward[end]))
-        best, gap = forward[n], forward[n] - second
-        for k, unit in enumerate(units):
-            ids = []
-            for end in np.flatnonzero(chosen[:, k] >= 0).tolist():
-                i = int(ids_at[end, k])
-                ids.extend([i] if i >= 0 else self.spell(unit[end - 1]))
-            self.units[unit] = (np.array(ids, dtype="<i4").tobytes(), float(best[k]), float(gap[k]))
+        for (start, end), (own, ids, score) in edges.items():
+            taken = chosen[end, own] == start
+            ids_at[end, own[taken]] = ids[taken]
+            other = own[~taken]
+            second[other] = np.maximum(second[other], forward[start, other] + score[~taken] + backward[end, other])
+        row, end = np.nonzero(chosen.T >= 0)
+        ids = ids_at[end, row]
+        raw, stops = ids.astype("<i4").tobytes(), (4 * np.cumsum(np.bincount(row, minlength=m))).tolist()
+        at = 0
+        for unit, stop, best, gap in zip(units, stops, forward[n].tolist(), (forward[n] - second).tolist(), strict=True):
+            self.units[unit] = (raw[at:stop], best, gap)
+            at = stop
+        for k in np.unique(row[ids < 0]).tolist():
+            low, high = np.searchsorted(row, (k, k + 1))
+            parts = [[i] if i >= 0 else self.spell(units[k][e - 1]) for i, e in zip(ids[low:high].tolist(), end[low:high].tolist(), strict=True)]
+            self.units[units[k]] = (np.array(list(itertools.chain(*parts)), dtype="<i4").tobytes(), *self.units[units[k]][1:])
 
     def search(self, unit: str, n: int) -> list[tuple[float, bytes]]:
         """The unit's n best segmentations: score and ids. A-star from the end to the start."""
@@ -186,8 +211,8 @@ class PieceModel:
         """Also whether the ids decode to what those of the best one do; only the units that differ are decoded for that."""
         known = self.units
         best = [known[u] for u in units]
-        parts, total = [b[0] for b in best], sum([b[1] for b in best])
-        gaps, places = [b[2] for b in best], []
+        parts, scores, gaps = map(list, zip(*best, strict=True)) if best else ([], [], [])
+        total, places = sum(scores), []
         while gaps and len(places) < n - 1 and (least := min(gaps)) < np.inf:
             places.append(gaps.index(least))
             gaps[places[-1]] = np.inf
