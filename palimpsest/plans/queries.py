@@ -358,7 +358,7 @@ def prf1_rollup(spark, d):
 
 @query(
     "WITH pre(preset, t) AS (VALUES ('aggressive', 0.94), ('balanced', 0.95), ('conservative', 0.96)), c AS (SELECT preset, c_nationkey, avg((c_acctbal / 10000 >= t - 0.9)::INT) AS a, avg((c_acctbal > 0)::INT) AS b FROM customer, pre GROUP BY ALL), m AS (SELECT preset, round(avg(a), 4) AS clause_recall, round(avg(b), 4) AS number_recall FROM c GROUP BY preset), "
-    "k AS (SELECT *, round(0.45 * clause_recall + 0.45 * number_recall + 0.1, 4) AS composite FROM m) SELECT *, 1.0 AS volume_alignment, preset = (SELECT preset FROM k ORDER BY composite DESC, preset LIMIT 1) AS recommended FROM k"
+    "k AS (SELECT *, round(0.45 * clause_recall + 0.45 * number_recall + 0.1, 4) AS composite FROM m) SELECT *, 1.0::DOUBLE AS volume_alignment, preset = (SELECT preset FROM k ORDER BY composite DESC, preset LIMIT 1) AS recommended FROM k"
 )
 def preset_sweep(spark, d):
     """Cases (nations) times presets in one plan."""
