@@ -199,7 +199,7 @@ def nw_align(spark, d):
 @query()
 def seq_ratio(spark, d):
     pairs = compare.version_pairs(table(spark, d, "documents"))
-    return pairs.select("pair_id", F.round(T.text_ratio(F.substring_index("text_a", "\n", 1), F.substring_index("text_b", "\n", 1)), 4).alias("ratio"))
+    return pairs.select("pair_id", F.round(T.text_ratio(F.col("text_a"), F.col("text_b")), 4).alias("ratio"))
 
 
 @query(

@@ -61,3 +61,17 @@ def test_one_large_group_and_one_that_no_hub_holds(spark):
     expected = {b for b in texts if any(_alike(texts[a], texts[b]) for a in range(b))}
     assert 0 < len(expected) < 60 and set(found) == expected
     assert all(a < b and _alike(texts[a], texts[b]) for b, a in found.items())
+
+
+def test_ratio_is_of_whole_texts(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(120)]
+    lines = [" ".join(words[n : n + 8]) for n in range(0, 120, 8)]
+    edited = {"late": lines[:9] + ["other words here"] + lines[10:], "first": ["other words here"] + lines[1:]}
+    for name, other in edited.items():
+        texts = {1: "\n".join(lines), 2: "\n".join(other)}
+        spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        (row,) = QUERIES["seq_ratio"](spark, f"{tmp_path}/{name}").collect()
+        assert row.pair_id == "1-2"
+        assert row.ratio < 1
+        assert abs(row.ratio - difflib.SequenceMatcher(None, texts[1], texts[2], autojunk=False).ratio()) < 1e-4
