@@ -32,7 +32,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _like(line_templates.drop_recurring_lines(docs), docs)
+    """Near copies count as one document here, as exact copies do: what only they share is content, not boilerplate, and the next stage keeps one of them."""
+    key = row_key(F.col("doc_id"), F.col("text"))
+    found = minhash.near_duplicates(docs.select(key.alias("row"), "doc_id", "text"))
+    named = cut(found.where("component_id IS NOT NULL").select("row", "component_id").distinct())
+    several = named.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    families = cut(named.join(several, "component_id").select("row", F.xxhash64(F.lit("family"), "component_id").alias("family")))
+    return _like(line_templates.drop_recurring_lines(docs, families=families), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ A line falls through the tree by its number of tokens and its leading tokens; to
 `<*>`. In a leaf, a token that fewer than `min_docs` documents have at its place is a variable field too. What is left is the
 line's template: one that recurs in `min_docs` different documents, with enough fixed tokens, is boilerplate, and its lines are
 dropped from all documents. Documents with one and the same text count as one, so copies alone make no template.
+A caller that knows near copies passes them as families, each of which counts as one too.
 
 All of it is DataFrame operations. Counts are pre-aggregated; lines meet templates in plain joins that AQE can split where
 one line is very common; no group is gathered but a document's own dropped line numbers.
@@ -28,10 +29,13 @@ def _tokens(line):
     return F.array_remove(F.split(masked, SPACE), "")
 
 
-def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 20, depth: int = 2, min_fixed: int = 2, fixed_share: float = 0.7) -> DataFrame:
-    """Each line to drop: row (16 bytes, see shared.row_key over doc_id and text), line (from 0), template."""
+def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 20, depth: int = 2, min_fixed: int = 2, fixed_share: float = 0.7, families: DataFrame | None = None) -> DataFrame:
+    """Each line to drop: row (16 bytes, see shared.row_key over doc_id and text), line (from 0), template. families: row and family (bigint);
+    rows of one family count as one document."""
     lines = docs.select(row_key(F.col("doc_id"), F.col(text)).alias("row"), F.xxhash64(text).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
     lines = lines.select("row", "doc", "line", _tokens(F.col("raw")).alias("tokens")).where(F.size("tokens") >= min_fixed)
+    if families is not None:
+        lines = lines.join(families, "row", "left").withColumn("doc", F.coalesce("family", "doc")).drop("family")
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
     lines = cut(lines.select("row", "doc", "line", leaf.alias("leaf"), "tokens"))
     # leaves that too few documents reach hold no recurring template

@@ -25,3 +25,27 @@ def test_stages(spark, tmp_path):
         before = after
     packed = corpus_pipeline.STAGES[-1][1](spark, before, SF)
     assert packed.select("doc_id").distinct().count() == before.count()
+
+
+def test_near_copies_alone_make_no_recurring_line(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base = [[word() for _ in range(12)] for _ in range(20)]
+    note = "this very line stands in many documents that have nothing else in common"
+    texts = {}
+    for n in range(25):
+        own = [list(x) for x in base]
+        own[n % 20][6] = word()
+        texts[n] = "\n".join(" ".join(x) for x in own)
+    for n in range(100, 125):
+        texts[n] = note + "\n" + " ".join(word() for _ in range(40))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    after = stages["line_dedup"](spark, docs, SF)
+    found = {r.doc_id: r.text for r in after.collect()}
+    assert {n: found[n] for n in range(25)} == {n: texts[n] for n in range(25)}
+    assert {n: found[n] for n in range(100, 125)} == {n: texts[n].split("\n")[1] for n in range(100, 125)}
+    left = {r.doc_id for r in stages["near_dedup"](spark, after, SF).select("doc_id").collect()}
+    assert left == {0, *range(100, 125)}
