@@ -303,3 +303,16 @@ def test_toxicity(spark):
     assert sum(a == b for a, b in held) >= 90 and all(0 <= r.score <= 1 for r in rows.values())
     assert rows[300].predicted == rows[301].predicted == 0
     assert toxicity.train(docs, labels.where("toxic = 0")) is None
+
+
+def test_estimate_misses_fewer_pairs_than_the_bands():
+    from math import comb
+
+    from palimpsest.llm import minhash
+
+    n, chance = minhash.BANDS * minhash.ROWS, 0.5**minhash.BITS
+    for threshold in (0.8, 0.85):
+        p = threshold + (1 - threshold) * chance
+        lost = sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n) if (k / n - chance) / (1 - chance) < threshold - minhash.SLACK)
+        print(threshold, lost)
+        assert lost < (1 - threshold**minhash.ROWS) ** minhash.BANDS
