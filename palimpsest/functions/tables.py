@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,13 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one where the setting is absent, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). Without that setting, a temporary one on this machine if the executors
+    are threads of the driver, as in tests; on a cluster that is an error, since each executor would write to its own disk."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="palimpsest-"))
     return "file://" + os.path.abspath(_own_dir[0])
