@@ -12,29 +12,32 @@ empty result. Other columns pass through; columns with the result's names are re
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from palimpsest.llm.shared import cut
+from palimpsest.llm.shared import Carried, cut, quoted
 
 CAPACITY, END = 2048, 0
 
+#: Words that the library's normaliser only lower-cases: ASCII, and the letters of Latin-1.
 _SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-#: Fixed value: the vocabulary file's own pre-tokenizer, over small ASCII and Latin-1 text.
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-zà-öø-ÿ0-9]+")
 
 
 class WordEncoder:
     """Ids of white-space separated words by a word-end BPE vocabulary of the library tokenizers, as little-endian 32-bit bytes.
 
-    No token crosses white space there, so words are encoded apart and remembered, up to `most` of them.
+    No token crosses white space there, so words are encoded apart and remembered, up to `most` of them. How a word is split is read
+    from the file; a file of another make, and words that are not simple, are left to the library.
     """
 
     def __init__(self, path: str, most: int = 400_000) -> None:
@@ -42,12 +45,24 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.most = self.tokenizer.model, most
+        self.split = self._pattern(path)
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
         self.byte_chars = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
 
+    @staticmethod
+    def _pattern(path: str) -> regex.Pattern | None:
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        normal, before = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+        steps, parts = [n["type"] for n in normal.get("normalizers", [])], before.get("pretokenizers", [])
+        known = steps == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in parts] == ["Split", "ByteLevel"]
+        if not known or not parts[0]["invert"] or parts[0]["behavior"] != "Removed" or parts[1]["use_regex"] or parts[1]["add_prefix_space"]:
+            return None
+        return regex.compile(parts[0]["pattern"]["Regex"])
+
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
@@ -59,8 +74,8 @@ class WordEncoder:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if len(text) < 200 and _SIMPLE.fullmatch(text) and "<|" not in text:
-            return b"".join([self._part(p) for p in _SPLIT.findall(text.lower())])
+        if self.split and len(text) < 200 and _SIMPLE.fullmatch(text) and "<|" not in text:
+            return b"".join([self._part(p) for p in self.split.findall(text.lower())])
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -80,13 +95,13 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def _pieces(path: str, capacity: int, others: list[str], with_ids: bool):
+def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         end = END.to_bytes(4, "little")
         for batch in batches:
-            texts, at, kept = batch.column(batch.schema.get_field_index("text")), 0, []
+            texts, at = batch.column("text"), 0
             while at < len(texts):
                 rows: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "ids_crc32", "rank")}
                 ids_of = []
@@ -103,13 +118,11 @@ def _pieces(path: str, capacity: int, others: list[str], with_ids: bool):
                             ids_of.append(np.frombuffer(part, dtype="<i4"))
                     at += 1
                 take = pa.array(rows.pop("row"), pa.int64())
-                columns = {c: batch.column(batch.schema.get_field_index(c)).take(take) for c in others}
-                columns |= {"piece": pa.array(rows["piece"], pa.int32())} | {k: pa.array(rows[k], pa.int64()) for k in ("start", "length", "ids_crc32")}
-                columns |= {"_task": pa.array(np.full(len(take), task, dtype=np.int32)), "_rank": pa.array(rows["rank"], pa.int64())}
+                columns = {"own": batch.column("own").take(take), "piece": pa.array(rows["piece"], pa.int32())} | {k: pa.array(rows[k], pa.int64()) for k in ("start", "length", "ids_crc32", "rank")}
+                columns["task"] = pa.array(np.full(len(take), task, dtype=np.int32))
                 if with_ids:
                     columns["ids"] = pa.array(ids_of, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(columns)
-            del kept
 
     return run
 
@@ -155,7 +168,7 @@ def best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     return out
 
 
-def _places(patterns: list[tuple[int, list[tuple[int, int]]]], capacity: int, others: list[tuple[str, str]]):
+def _places(patterns: list[tuple[int, list[tuple[int, int]]]], capacity: int):
     """Of each piece, its sequence and offset: the segment of ranks that it falls into says which."""
     used, sequence, rows = np.zeros(capacity + 1, dtype=np.int64), 0, []
     for times, parts in patterns:
@@ -171,31 +184,28 @@ def _places(patterns: list[tuple[int, list[tuple[int, int]]]], capacity: int, ot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "_rank"))
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
             at = np.searchsorted(keys, length * big + rank, side="right") - 1
             into = rank - table[at, 1]
-            names = [n for n, _ in others]
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            columns += [pa.array(table[at, 3] + into // table[at, 2]), pa.array(table[at, 4] + into % table[at, 2] * length)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
+            columns = [*batch.columns, pa.array(table[at, 3] + into // table[at, 2]), pa.array(table[at, 4] + into % table[at, 2] * length)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "sequence_id", "offset"])
 
-    return run, ", ".join(f"`{n}` {t}" for n, t in [*others, ("sequence_id", "bigint"), ("offset", "bigint")])
+    return run
 
 
 def pack(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row a piece: docs' other columns, piece, start, length, ids_crc32, sequence_id, offset, and with with_ids the ids.
     path: a vocabulary file of the library tokenizers, at the same place on all executors."""
-    made = {"piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"}
-    others = [f for f in docs.schema if f.name != text and f.name not in made]
-    kept = [(f.name, f.dataType.simpleString()) for f in others]
-    made_columns = [("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint")]
-    last = [("ids", "array<int>")] if with_ids else []
-    schema = ", ".join(f"`{n}` {t}" for n, t in [*kept, *made_columns, ("_task", "int"), ("_rank", "bigint"), *last])
-    rows = docs.select(*[f"`{f.name}`" for f in others], F.col(text).alias("text"))
-    pieces = cut(rows.mapInArrow(_pieces(path, capacity, [n for n, _ in kept], with_ids), schema))
-    by_task = cut(pieces.groupBy("length", "_task").agg(F.count(F.lit(1)).alias("n")))
+    made = ["piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset"]
+    work = Carried(docs, [text, "ids", *made], text=F.col(quoted(text)))
+    long, types = LongType(), {"ids": ArrayType(IntegerType())} if with_ids else {}
+    schema = work.schema(piece=IntegerType(), start=long, length=long, ids_crc32=long, rank=long, task=IntegerType(), **types)
+    pieces = cut(work.rows.mapInArrow(_pieces(path, capacity, with_ids), schema))
+    by_task = cut(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")))
     counts = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    run, schema = _places(best_two_fit(counts, capacity), capacity, [*kept, *made_columns, *last])
-    before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    base = cut(by_task.select("length", "_task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")))
-    return pieces.join(base, ["length", "_task"]).withColumn("_rank", F.col("_rank") + F.col("_before")).mapInArrow(run, schema)
+    run = _places(best_two_fit(counts, capacity), capacity)
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    base = cut(by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    ranked = pieces.join(base, ["length", "task"]).select("own", *[n for n in made[:-2]], (F.col("rank") + F.col("before")).alias("rank"))
+    placed = StructType([*ranked.schema.fields, StructField("sequence_id", long), StructField("offset", long)])
+    return work.back(ranked.mapInArrow(run, placed), *made)
