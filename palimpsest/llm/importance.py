@@ -2,8 +2,8 @@
 
 Two generative models of hashed word 1- and 2-grams, one of the target text (documents labelled good) and one of the raw text (all
 documents), give each document the log ratio of its likelihoods. Adding Gumbel noise and keeping the k largest is sampling k documents
-without replacement in proportion to that ratio. k, unless given, is the number of documents which the raw model doesn't explain better by
-more than `margin` nats.
+without replacement in proportion to that ratio. k is given, or as a share of the documents; else it is the number of documents which the raw
+model doesn't explain better by more than `margin` nats, so that a corpus of target-like documents stays whole.
 
 The raw model counts every document. The target model may use a sample of the labelled rows: the `most_target` with the smallest hash
 of doc_id (a fixed bound, so their ids can be broadcast). Models have `buckets` entries; the target
@@ -11,20 +11,22 @@ model has the raw one as its prior, worth `prior` features a bucket, so that a s
 histograms of fixed size, so nothing is sorted as a whole. Noise follows from doc_id and text; equal rows have equal noise and go or
 stay together, as do exact ties at the border, which all stay.
 
-Cases: a null or empty text has no features and log ratio 0. Without labelled good documents, or documents, the ratio is 0 and all
-stay. Null ids are never labelled. Other columns pass through; columns with the result's names are replaced.
+Cases: a null or empty text, also where a whole batch has no other, has no features and log ratio 0. Without labelled good documents, or
+documents, the ratio is 0 and all stay. Null ids are never labelled. Other columns pass through; columns with the result's names are replaced.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
-from palimpsest.llm.shared import cut
+from palimpsest.llm.shared import Carried, cut
 from palimpsest.llm.wordhash import Words, pieces
 
 BUCKETS, MOST_TARGET, PRIOR, MARGIN = 10_000, 5000, 100.0, 3.0
@@ -68,12 +70,13 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_target:
 
 def _ratios(weights: np.ndarray, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
-            words = Words(batch.column(batch.schema.get_field_index("_text")))
+        for batch in pieces(batches, "text"):
+            words = Words(batch.column("text"))
             feature, doc = _features(words, len(weights))
-            ratio = np.bincount(doc, weights=weights[feature], minlength=len(words.counts))
-            kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(words.counts.astype(np.int64)), pa.array(ratio)], names=[*names, "n_words", "log_ratio"])
+            # without any feature, bincount gives integers whatever the weights are
+            ratio = np.bincount(doc, weights=weights[feature], minlength=len(words.counts)).astype(np.float64)
+            columns = [*[batch.column(n) for n in names], pa.array(words.counts.astype(np.int64)), pa.array(ratio)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_words", "log_ratio"])
 
     return run
 
@@ -82,40 +85,40 @@ def score(docs: DataFrame, weights: np.ndarray, keep_text: bool = True) -> DataF
     """docs with n_words, log_ratio and key, the ratio with its noise."""
     noise = F.pmod(F.xxhash64("doc_id", "text", F.lit("gumbel")), F.lit((1 << 52) - 1))
     noise = -F.log(-F.log((noise + 0.5) / F.lit(float(1 << 52))))
-    kept = [f for f in docs.schema if f.name not in ("n_words", "log_ratio", "key", "kept") and (keep_text or f.name != "text")]
-    names = [f.name for f in kept]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["_noise double", "n_words bigint", "log_ratio double"])
-    rows = docs.select(*[f"`{n}`" for n in names], F.col("text").alias("_text"), noise.alias("_noise"))
-    return rows.mapInArrow(_ratios(weights, [*names, "_noise"]), schema).withColumn("key", F.col("log_ratio") + F.col("_noise")).drop("_noise")
+    made = ["n_words", "log_ratio", "key", "kept"]
+    work = Carried(docs, made if keep_text else [*made, "text"], {"text": "text"} if keep_text else {}, text=F.col("text"), noise=noise)
+    names = ["own", "text", "noise"] if keep_text else ["own", "noise"]
+    rows = work.rows.mapInArrow(_ratios(weights, names), work.schema(*names[1:], n_words=LongType(), log_ratio=DoubleType()))
+    return work.back(rows, "n_words", "log_ratio", (F.col("log_ratio") + F.col("noise")).alias("key"))
 
 
 def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 1024) -> float | None:
-    """Exact: each pass counts `bins` ranges and goes on with the one that holds the k-th."""
+    """Exact: each pass counts `bins` ranges and goes on with the one that holds the k-th. Where fewer than `bins` numbers lie between the
+    ends, each of them is counted."""
     low, high, n = rows.agg(F.min(column), F.max(column), F.count(column)).first()
     if not n or k <= 0:
         return None
-    if k >= n:
-        return low
+    k = min(k, n)
     while low < high:
         width = (high - low) / bins
-        middle = low + width
-        if not low < middle < high:
-            break
         inside = rows.where(F.col(column).between(low, high))
-        at = F.least(F.floor((F.col(column) - low) / width), F.lit(bins - 1))
+        narrow = width <= 2 * math.ulp(max(abs(low), abs(high)))
+        at = F.col(column) if narrow else F.least(F.floor((F.col(column) - low) / width), F.lit(bins - 1))
         found = inside.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).collect()
-        for r in sorted(found, key=lambda r: -r.bin):
+        for r in sorted(found, key=lambda r: -r.low):
             if k <= r.n:
                 low, high = r.low, r.high
                 break
             k -= r.n
-    return low if k > 1 or low == high else high
+    return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_text: bool = True, buckets: int = BUCKETS, most_target: int = MOST_TARGET, prior: float = PRIOR, margin: float = MARGIN) -> DataFrame:
-    """docs with n_words, log_ratio, key and kept."""
+def resample(
+    docs: DataFrame, labels: DataFrame, k: int | None = None, share: float | None = None, keep_text: bool = True, buckets: int = BUCKETS, most_target: int = MOST_TARGET, prior: float = PRIOR, margin: float = MARGIN
+) -> DataFrame:
+    """docs with n_words, log_ratio, key and kept. k documents are kept, or that share of all."""
     scored = cut(score(docs, fit(docs, labels, buckets, most_target, prior), keep_text))
     if k is None:
-        k = scored.where(F.col("log_ratio") >= -margin).count()
+        k = scored.where(F.col("log_ratio") >= -margin).count() if share is None else round(share * scored.count())
     bound = kth_largest(scored, "key", k)
     return scored.withColumn("kept", F.lit(False) if bound is None else F.col("key") >= F.lit(bound))
