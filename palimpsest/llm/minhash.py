@@ -9,8 +9,8 @@ pair, and pairs whose estimate is more than SLACK under the threshold go. Two se
 Only components are asked for, so the pairs of a bucket need not all be tried:
 
 1. each bucket has a hub, another one in each bucket, and its members are tried against it;
-2. where a bucket still holds members of different components, those outside its largest one meet all members in blocks of a fixed
-   size. Estimates say whether a block has candidates; their full sets are then compared at once, as a product of matrices. A pair is
+2. where a bucket still holds members of different components, those outside its largest one meet all members in blocks, so many that
+   one has BLOCK members and BLOCK_SHINGLES shingles a side on average. Estimates say whether a block has candidates; their full sets are then compared at once, as a product of matrices. A pair is
    tried in the first bucket that it shares, and of the links from one member to one component a block reports one.
 
 After that no link between components is untried, and what leaves a task is links, not candidates.
@@ -29,14 +29,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 from palimpsest.llm.components import components
-from palimpsest.llm.shared import cut
+from palimpsest.llm.shared import Carried, cut
 from palimpsest.llm.wordhash import Words, finish, pieces
 
 BANDS, ROWS, BITS = 20, 4, 4
 SLACK = 0.3
-BLOCK = 512
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,12 +71,10 @@ def _signatures(shingle: int):
             keys = [finish(sum((finish(minima[:, b * ROWS + r] + np.uint64(r)) for r in range(ROWS)), np.full(len(sizes), b, dtype=np.uint64))) for b in range(BANDS)]
             raw = [grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             digests = [xxhash.xxh3_128_digest(x) for x in raw]
-            others = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
-            names = [n for n in batch.schema.names if n != "text"]
             stacked = np.stack(keys, axis=1).view(np.int64)
             band_lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(sizes) + 1, BANDS, dtype=np.int32)), pa.array(stacked.reshape(-1)))
             columns = [pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()), band_lists, pa.array([p.tobytes() for p in packed], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*others, *columns], names=[*names, "n_shingles", "set", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("doc_id"), *columns], names=["own", "doc_id", "n_shingles", "set", "bands", "signature"])
 
     return run
 
@@ -169,19 +168,18 @@ def _blocks(percent: int):
 
 
 class NearDuplicates:
-    """Steps of the join; docs: doc_id (bigint) and text, and columns that name rows."""
+    """Steps of the join; work.rows: doc_id (bigint), text and own."""
 
-    def __init__(self, docs: DataFrame, shingle: int, percent: int) -> None:
-        self.docs, self.shingle, self.percent = docs, shingle, percent
-        others = [f for f in docs.schema if f.name != "text"]
-        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["n_shingles bigint", "`set` binary", "bands array<bigint>", "signature binary"])
+    def __init__(self, work: Carried, shingle: int, percent: int) -> None:
+        docs, self.percent = work.rows, percent
+        schema = work.schema("doc_id", n_shingles=LongType(), set=BinaryType(), bands=ArrayType(LongType()), signature=BinaryType())
         self.rows = cut(docs.mapInArrow(_signatures(shingle), schema))
         some = self.rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
         self.classes = cut(some.groupBy("set").agg(F.min("doc_id").alias("v")))
         first = some.join(self.classes, "set").where("doc_id = v")
         members = first.select("v", "set", F.col("n_shingles").alias("size"), "signature", "bands").dropDuplicates(["set"])
         self.members = cut(members)
-        banded = cut(self.members.select("v", F.posexplode("bands").alias("band", "key")))
+        banded = cut(self.members.select("v", "size", F.posexplode("bands").alias("band", "key")))
         shared = cut(banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min_by("v", F.xxhash64("v", "band")).alias("hub")).where("n > 1"))
         self.banded = cut(banded.join(shared, ["band", "key"]))
         near = cut(self.banded.select("v").distinct())
@@ -205,11 +203,13 @@ class NearDuplicates:
 
     def other_links(self, labels: DataFrame) -> DataFrame:
         """Links between different components, from buckets that hold more than one."""
-        named = self.banded.join(labels, "v", "left").select("band", "key", "v", F.coalesce("label", "v").alias("label"))
+        named = self.banded.join(labels, "v", "left").select("band", "key", "v", "size", F.coalesce("label", "v").alias("label"))
         named = cut(named)
-        sizes = cut(named.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("m")))
-        mixed = sizes.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", "m").alias("main"), F.sum("m").alias("n"), F.max("m").alias("most")).where("parts > 1")
-        mixed = cut(mixed.select("band", "key", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("outer_blocks"), F.ceil(F.col("n") / BLOCK).alias("blocks")))
+        sizes = cut(named.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("size")))
+        # how much of a bucket, in blocks, all its members are, and those of its largest component
+        sizes = sizes.withColumn("load", F.greatest(F.col("m") / BLOCK, F.col("size") / BLOCK_SHINGLES))
+        mixed = sizes.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", "load").alias("main"), F.sum("load").alias("load"), F.max("load").alias("most")).where("parts > 1")
+        mixed = cut(mixed.select("band", "key", "main", F.greatest(F.ceil(F.col("load") - F.col("most")), F.lit(1)).alias("outer_blocks"), F.ceil("load").alias("blocks")))
         inside = cut(named.join(mixed, ["band", "key"]))
         deal = lambda n: F.pmod(F.xxhash64("v", F.lit("deal")), F.col(n))
         columns = ["band", "key", "i", "j", "v", "label"]
@@ -230,13 +230,14 @@ class NearDuplicates:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs, but for the text, with n_shingles, component_id and kept. Documents are linked if 100 * shared shingles >= percent *
     all shingles of both."""
-    others = [c for c in docs.columns if c not in ("text", "n_shingles", "component_id", "kept")]
-    work = NearDuplicates(docs.select(*others, "text"), shingle, percent)
-    labels = work.labels()
-    named = cut(work.classes.join(labels, "v", "left").select("set", F.coalesce("label", "v").alias("_label")))
-    rows = work.rows.select(*others, "n_shingles", "set").join(named, "set", "left")
-    rows = rows.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_label")).otherwise(F.col("doc_id")))
-    return rows.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))).drop("set", "_label")
+    made = ["n_shingles", "component_id", "kept"]
+    work = Carried(docs, ["text", *made], {"doc_id": "doc_id"}, doc_id=F.col("doc_id").cast("bigint"), text=F.col("text"))
+    found = NearDuplicates(work, shingle, percent)
+    labels = found.labels()
+    named = cut(found.classes.join(labels, "v", "left").select("set", F.coalesce("label", "v").alias("label")))
+    rows = found.rows.select("own", "doc_id", "n_shingles", "set").join(named, "set", "left")
+    rows = rows.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id")))
+    return work.back(rows, "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 ORACLE_SQL = r"""
