@@ -6,7 +6,7 @@ line's template: one that recurs in `min_docs` different documents, with enough
 dropped from all documents. Documents with one and the same text count as one, so copies alone make no template.
 A caller that knows near copies passes them as families, each of which counts as one too.
 
-All of it is DataFrame operations. Counts are pre-aggregated; lines meet templates in plain joins that AQE can split where
+All of it is DataFrame operations. Leaves, kinds of lines and templates are named by 128 bits of hash. Counts are pre-aggregated; lines meet templates in plain joins that AQE can split where
 one line is very common; no group is gathered but a document's own dropped line numbers.
 
 Cases: a null text has no lines and stays null; an empty one has one empty line, which is kept. Lines with fewer than `min_fixed`
@@ -16,10 +16,10 @@ An empty table gives an empty result. Other columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import SPACE, cut, row_key
+from palimpsest.llm.shared import SPACE, Carried, cut, quoted, row_key
 
 VARIABLE = "<*>"
 
@@ -29,14 +29,20 @@ def _tokens(line):
     return F.array_remove(F.split(masked, SPACE), "")
 
 
+def _named(*parts) -> Column:
+    """128 bits that stand for the parts."""
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("b"), *parts).alias("b"))
+
+
 def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 20, depth: int = 2, min_fixed: int = 2, fixed_share: float = 0.7, families: DataFrame | None = None) -> DataFrame:
     """Each line to drop: row (16 bytes, see shared.row_key over doc_id and text), line (from 0), template. families: row and family (bigint);
     rows of one family count as one document."""
-    lines = docs.select(row_key(F.col("doc_id"), F.col(text)).alias("row"), F.xxhash64(text).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
+    body = F.col(quoted(text))
+    lines = docs.select(row_key(F.col("doc_id"), body).alias("row"), F.xxhash64(body).alias("doc"), F.posexplode(F.split(body, "\n")).alias("line", "raw"))
     lines = lines.select("row", "doc", "line", _tokens(F.col("raw")).alias("tokens")).where(F.size("tokens") >= min_fixed)
     if families is not None:
         lines = lines.join(families, "row", "left").withColumn("doc", F.coalesce("family", "doc")).drop("family")
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
+    leaf = _named(F.size("tokens"), F.slice("tokens", 1, depth))
     lines = cut(lines.select("row", "doc", "line", leaf.alias("leaf"), "tokens"))
     # leaves that too few documents reach hold no recurring template
     leaves = lines.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
@@ -44,15 +50,15 @@ def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 20, dep
     places = lines.select("leaf", "doc", F.posexplode("tokens").alias("place", "token")).where(F.col("token") != VARIABLE).distinct()
     fixed = places.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf", "place", "token")
     # each kind of line once: its tokens, those that are fixed in its leaf, and so its template
-    kinds = cut(lines.select("leaf", "tokens").distinct().withColumn("kind", F.xxhash64("leaf", "tokens")))
+    kinds = cut(lines.select("leaf", "tokens").distinct().withColumn("kind", _named("leaf", "tokens")))
     spread = kinds.select("kind", "leaf", F.posexplode("tokens").alias("place", "token"))
     kept = spread.join(cut(fixed), ["leaf", "place", "token"], "left_semi")
     fixed_of = kept.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("fixed"))
     templates = kinds.join(fixed_of, "kind").select(
-        "kind", F.xxhash64("leaf", "fixed").alias("template"), F.size("fixed").alias("n_fixed"), (F.size("tokens") - F.size(F.filter("tokens", lambda t: t == VARIABLE))).alias("n_words")
+        "kind", _named("leaf", "fixed").alias("template"), F.size("fixed").alias("n_fixed"), (F.size("tokens") - F.size(F.filter("tokens", lambda t: t == VARIABLE))).alias("n_words")
     )
     templates = cut(templates.where((F.col("n_fixed") >= min_fixed) & (F.col("n_fixed") >= fixed_share * F.col("n_words"))).select("kind", "template"))
-    found = lines.select("row", "doc", "line", F.xxhash64("leaf", "tokens").alias("kind")).join(templates, "kind")
+    found = lines.select("row", "doc", "line", _named("leaf", "tokens").alias("kind")).join(templates, "kind")
     found = cut(found.select("row", "doc", "line", "template"))
     recurring = found.select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template")
     return found.join(cut(recurring), "template", "left_semi").select("row", "line", "template")
@@ -61,18 +67,15 @@ def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 20, dep
 def drop_recurring_lines(docs: DataFrame, text: str = "text", **parameters) -> DataFrame:
     """docs with the text's recurring lines removed, and n_lines and n_dropped (long)."""
     found = recurring_lines(docs, text, **parameters)
-    drops = found.groupBy(F.col("row").alias("_row")).agg(F.collect_set("line").alias("_drop"))
-    rows = docs.withColumns({"_row": row_key(F.col("doc_id"), F.col(text)), "_lines": F.split(text, "\n")}).drop(text).join(drops, "_row", "left")
-    numbers = F.when(F.size("_lines") > 0, F.sequence(F.lit(0), F.size("_lines") - 1))
-    stay = F.array_except(numbers, F.col("_drop"))
-    kept = F.array_join(F.transform(stay, lambda i: F.col("_lines")[i]), "\n")
-    out = rows.withColumns({
-        text: F.when(F.col("_drop").isNull(), F.array_join("_lines", "\n")).otherwise(kept),
-        "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("bigint"),
-        "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("bigint"),
-    })
-    out = out.withColumn("n_lines", F.when(F.col("n_lines") < 0, F.lit(0)).otherwise(F.col("n_lines"))).withColumn("n_dropped", F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.col("n_dropped")))
-    return out.drop("_row", "_lines", "_drop")
+    drops = found.groupBy("row").agg(F.collect_set("line").alias("drop"))
+    body = F.col(quoted(text))
+    work = Carried(docs, ["n_lines", "n_dropped"], {text: "text"}, row=row_key(F.col("doc_id"), body), lines=F.split(body, "\n"))
+    rows = work.rows.join(drops, "row", "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
+    kept = F.array_join(F.transform(stay, lambda i: F.col("lines")[i]), "\n")
+    size = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(c)).cast("bigint")
+    rows = rows.select("own", F.when(F.col("drop").isNull(), F.array_join("lines", "\n")).otherwise(kept).alias("text"), size("lines").alias("n_lines"), size("drop").alias("n_dropped"))
+    return work.back(rows, "n_lines", "n_dropped")
 
 
 ORACLE_SQL = r"""
