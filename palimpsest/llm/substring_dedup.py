@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
-from palimpsest.llm.shared import cut, row_key
+from palimpsest.llm.shared import Carried, cut, row_key
 from palimpsest.llm.wordhash import BASE, BASE_2, Spans, Words, finish, pieces
 
 WINDOW, SEED = 35, 8
@@ -162,11 +163,9 @@ def _kept(window: int, passages: bool):
                     texts.append(_without(raw, low, high, words, d, gone) if passages else None)
                 digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             columns = [pa.array(words.counts.astype(np.int64)), pa.array(removed), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
-            names = ["n_words", "n_removed", "kept_sha256", "_kept"]
-            if not passages:
-                columns, names = columns[:3], names[:3]
-            others = [i for i, f in enumerate(batch.schema) if f.name not in ("row", "text", "spans")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in others], *columns], names=[*[batch.schema.field(i).name for i in others], *names])
+            names = ["n_words", "n_removed", "kept_sha256", "kept"]
+            n = len(names) if passages else len(names) - 1
+            yield pa.RecordBatch.from_arrays([batch.column("own"), *columns[:n]], names=["own", *names[:n]])
 
     return run
 
@@ -189,12 +188,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, pass
     keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
     spans = repeated_spans(keyed, window, seed).groupBy("row").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
     none = F.array().cast("array<struct<s:int,n:int>>")
-    others = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept_sha256")]
-    rows = docs.select(*others, "text", row_key(F.col("doc_id"), F.col("text")).alias("row")).join(spans, "row", "left").withColumn("spans", F.coalesce("spans", none))
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema]
-    schema += ["n_words bigint", "n_removed bigint", "kept_sha256 string"] + (["_kept string"] if passages else [])
-    out = rows.mapInArrow(_kept(window, passages), ", ".join(schema))
-    return out.withColumnRenamed("_kept", "text") if passages else out
+    made = {"n_words": LongType(), "n_removed": LongType(), "kept_sha256": StringType()}
+    work = Carried(docs, made if passages else [*made, "text"], {"text": "kept"} if passages else {}, row=row_key(F.col("doc_id"), F.col("text")), text=F.col("text"))
+    rows = work.rows.join(spans, "row", "left").select("own", "text", F.coalesce("spans", none).alias("spans"))
+    kept = {"kept": StringType()} if passages else {}
+    return work.back(rows.mapInArrow(_kept(window, passages), work.schema(**made, **kept)), *made)
 
 
 ORACLE_SQL = r"""
