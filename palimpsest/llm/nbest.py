@@ -27,7 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType
 
+from palimpsest.llm.shared import Carried, quoted
 from palimpsest.llm.wordhash import Spans
 
 N_BEST, UNKNOWN, KNOWN_UNITS, BITMAP = 3, 10.0, 500_000, 20
@@ -49,6 +52,9 @@ class PieceModel:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        probe = "\u00c5\ufb01  b "
+        if model.normalize(probe) != SPACE + probe.replace(" ", SPACE):
+            raise ValueError("this model normalises texts, or puts no space before them")
         self.bytes_of: list[bytes] = []
         self.ids: dict[str, int] = {}
         self.byte_ids: dict[int, int] = {}
@@ -217,15 +223,18 @@ class PieceModel:
             places.append(gaps.index(least))
             gaps[places[-1]] = np.inf
         places.sort()
-        options = [self.search(units[i], n) for i in places]
-        mixed = sorted(itertools.product(*options), key=lambda o: (-sum(x[0] - best[i][1] for i, x in zip(places, o, strict=True)), [x[1] for x in o]))
+        # the n best of some units and one more are among the n best of those units with the n best of the other
+        mixed: list[tuple[float, tuple[bytes, ...]]] = [(0.0, ())]
+        for i in places:
+            more = [(behind + score - best[i][1], (*chosen, ids)) for behind, chosen in mixed for score, ids in self.search(units[i], n)]
+            mixed = sorted(more, key=lambda x: (-x[0], x[1]))[:n]
         out = []
-        for option in mixed[:n]:
+        for behind, chosen in mixed:
             own = parts.copy()
-            for i, (_, ids) in zip(places, option, strict=True):
+            for i, ids in zip(places, chosen, strict=True):
                 own[i] = ids
-            same = all(x[1] == parts[i] or self._bytes(x[1]) == self._bytes(parts[i]) for i, x in zip(places, option, strict=True))
-            out.append((total + sum(x[0] - best[i][1] for i, x in zip(places, option, strict=True)), b"".join(own), same))
+            same = all(ids == parts[i] or self._bytes(ids) == self._bytes(parts[i]) for i, ids in zip(places, chosen, strict=True))
+            out.append((total + behind, b"".join(own), same))
         return out
 
 
@@ -239,10 +248,10 @@ def load(path: str) -> PieceModel:
 def segment(docs: DataFrame, path: str, text: str = "text", n: int = N_BEST, with_ids: bool = False) -> DataFrame:
     """A row for each of the n best segmentations: docs' other columns, rank (from 1), score, n_pieces, ids_crc32, decoded_sha256 (of what
     the ids decode to, UTF-8), and with with_ids the ids. path: a model file, at the same place on all executors."""
-    made = {"rank", "score", "n_pieces", "ids_crc32", "decoded_sha256", "ids"}
-    others = [f for f in docs.schema if f.name != text and f.name not in made]
-    names = [f.name for f in others]
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["rank int", "score double", "n_pieces bigint", "ids_crc32 bigint", "decoded_sha256 string"]
+    made = {"rank": IntegerType(), "score": DoubleType(), "n_pieces": LongType(), "ids_crc32": LongType(), "decoded_sha256": StringType()}
+    if with_ids:
+        made["ids"] = ArrayType(IntegerType())
+    work = Carried(docs, [text, "ids", *made], text=F.col(quoted(text)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
@@ -250,19 +259,16 @@ def segment(docs: DataFrame, path: str, text: str = "text", n: int = N_BEST, wit
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 rows: list[tuple] = []
-                texts = batch.column(batch.schema.get_field_index("_text")).to_pylist()
+                texts = batch.column("text").to_pylist()
                 for k, units in enumerate(model.learn(texts)):
                     digest = ""
                     for rank, (score, ids, same) in enumerate(model.segment_and_compare(units, n), 1):
                         if rank == 1 or not same:
                             digest = hashlib.sha256(model.decode(np.frombuffer(ids, dtype="<i4").tolist()).encode()).hexdigest()
                         rows.append((k, rank, score, len(ids) // 4, zlib.crc32(ids), digest, np.frombuffer(ids, dtype="<i4").tolist() if with_ids else None))
-                take = pa.array([r[0] for r in rows], pa.int64())
-                columns = {c: batch.column(batch.schema.get_field_index(c)).take(take) for c in names}
-                types = (pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.string())
-                columns |= {c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(zip(("rank", "score", "n_pieces", "ids_crc32", "decoded_sha256"), types, strict=True), 1)}
-                if with_ids:
-                    columns["ids"] = pa.array([r[6] for r in rows], pa.list_(pa.int32()))
+                columns = {"own": batch.column("own").take(pa.array([r[0] for r in rows], pa.int64()))}
+                for i, (name, kind) in enumerate(made.items(), 1):
+                    columns[name] = pa.array([r[i] for r in rows], to_arrow_type(kind))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(*[f"`{c}`" for c in names], F.col(text).alias("_text")).mapInArrow(run, ", ".join(schema + ["ids array<int>"] * with_ids))
+    return work.back(work.rows.mapInArrow(run, work.schema(**made)), *made)
