@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import cut, let
+from palimpsest.llm.shared import Carried, cut, let, quoted
 
 LANGUAGES = ("en", "de", "fr", "es")
 
@@ -31,6 +31,9 @@ COMMON = {
     "other": ("a", "de", "la", "in", "the", "en", "o", "i"),
 }
 
+MAX_CLASS_DISTANCE, MAX_COMMON_DISTANCE, MIN_COMMON_WORDS = 0.29, 0.235, 100
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", "kept")
+
 CLASSES = ("upper", "digit", "stop", "mark", "space", "other")
 #: Characters of the class stop, of the class mark, and symbols of the base rules.
 STOPS, MARKS, SYMBOLS = ".,;:?!'\"()-", "#*$%&|<>@^~=+_/\\[]{}`", "#*$%&|<>"
@@ -84,11 +87,10 @@ def _distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
-def measure(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with _language, the base counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the two histograms
-    _classes and _common (arrays of counts)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    language = _language(F.col(lang))
+def _measured(rows: DataFrame) -> DataFrame:
+    """rows: own, text, lang. own, the language, the base counts and the two histograms (arrays of counts)."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    language = _language(F.col("lang"))
 
     def facts(words: Column) -> Column:
         n = F.size(words).cast("double")
@@ -114,30 +116,32 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
     for c in WHITE[1:]:
         one_space = F.replace(one_space, F.lit(c), F.lit(" "))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    rows = docs.select(
-        "*",
-        language.alias("_language"),
-        let(F.array_remove(F.split(one_space, " "), ""), facts).alias("_facts"),
-        let(F.regexp_replace(t, "[a-zß-öø-ÿ\\x20\\x09-\\x0D]+", ""), marks).alias("_marks"),
-        F.length(t).cast("double").alias("_n"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("_dup_lines"),
+    facts_of = rows.select(
+        "own",
+        language.alias("language"),
+        let(F.array_remove(F.split(one_space, " "), ""), facts).alias("facts"),
+        let(F.regexp_replace(t, "[a-zß-öø-ÿ\\x20\\x09-\\x0D]+", ""), marks).alias("marks"),
+        F.length(t).cast("double").alias("n"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
     )
     classes = let(
-        F.concat("_marks.counts", F.array(F.col("_n") - F.col("_facts.word_chars"))), lambda a: F.concat(a, F.array(F.col("_n") - F.aggregate(a, F.lit(0.0), lambda x, y: x + y)))
+        F.concat("marks.counts", F.array(F.col("n") - F.col("facts.word_chars"))), lambda a: F.concat(a, F.array(F.col("n") - F.aggregate(a, F.lit(0.0), lambda x, y: x + y)))
     )
-    found = {"n_words": "_facts.n_words", "word_chars": "_facts.word_chars", "n_symbols": "_marks.n_symbols", "n_dup_lines": "_dup_lines", "n_repeat_words": "_facts.n_repeat_words", "_common": "_facts.common"}
-    return rows.withColumns({k: F.col(v) for k, v in found.items()} | {"_classes": classes}).drop("_facts", "_marks", "_n", "_dup_lines")
+    return facts_of.select("own", "language", "facts.n_words", "facts.word_chars", "marks.n_symbols", "n_dup_lines", "facts.n_repeat_words", F.col("facts.common").alias("common"), classes.alias("classes"))
 
 
-def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", max_class_distance: float = 0.29, max_common_distance: float = 0.235, min_common_words: int = 100) -> DataFrame:
+def quality_rules(
+    docs: DataFrame, text: str = "text", lang: str = "lang", max_class_distance: float = MAX_CLASS_DISTANCE, max_common_distance: float = MAX_COMMON_DISTANCE, min_common_words: int = MIN_COMMON_WORDS
+) -> DataFrame:
     """docs, but for the text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, common_distance, kept."""
-    measured = cut(measure(docs, text, lang).drop(text))
+    work = Carried(docs, [text, *MADE], text=F.col(quoted(text)), lang=F.col(quoted(lang)))
+    measured = cut(_measured(work.rows))
     sums = lambda name, n: F.array(*[F.sum(F.col(name)[i]) for i in range(n)])
-    references = measured.groupBy("_language").agg(sums("_classes", len(CLASSES)).alias("_class_ref"), sums("_common", 9).alias("_common_ref"))
-    rows = measured.join(F.broadcast(references), "_language")
-    rows = rows.withColumn("class_distance", F.coalesce(_distance(F.col("_classes"), F.col("_class_ref")), F.lit(0.0)))
-    common = F.coalesce(_distance(F.col("_common"), F.col("_common_ref")), F.lit(0.0))
+    references = measured.groupBy("language").agg(sums("classes", len(CLASSES)).alias("class_ref"), sums("common", 9).alias("common_ref"))
+    rows = measured.join(F.broadcast(references), "language")
+    rows = rows.withColumn("class_distance", F.coalesce(_distance(F.col("classes"), F.col("class_ref")), F.lit(0.0)))
+    common = F.coalesce(_distance(F.col("common"), F.col("common_ref")), F.lit(0.0))
     rows = rows.withColumn("common_distance", F.when(F.col("n_words") >= min_common_words, common).otherwise(F.lit(0.0)))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     far = (F.col("class_distance") > max_class_distance) | (F.col("common_distance") > max_common_distance)
-    return rows.withColumn("kept", ~F.col("base_failed") & ~far).drop("_language", "_classes", "_common", "_class_ref", "_common_ref")
+    return work.back(rows.withColumn("kept", ~F.col("base_failed") & ~far), *MADE)
