@@ -4,7 +4,8 @@ Level 1 encodes the listed keys; level 2 those keys of the corpus that level 1 t
 keys that level 2 takes for such; and so on until nobody is mistaken. Over the complete key universe, that is all keys
 that the corpus's own urls can ask for, the levels together answer exactly, so urls are judged without a join.
 
-Everything is a DataFrame expression. A filter is an array of 64-bit words held as one literal; its size follows the rule list
+Everything is a DataFrame expression. Rules are a table; building the filters joins its keys with those that the first level
+mistakes for them. A filter is an array of 64-bit words held as one literal; its size follows the rule list
 (about 1.44 * log2(universe / listed) bits a rule), not the corpus, and is checked against `max_filter_bits`.
 
 Cases: a null url or one without `://` has an empty host and path, fits no rule and is allowed. Repeated urls and page ids are
@@ -19,9 +20,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.shared import Carried, cut, let, quoted
+
 #: Host and path of a rule, and what it says. A rule fits its host and subdomains where the url's path starts with its path.
 Rule = tuple[str, str, str]
 
@@ -48,11 +51,17 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
 
 
-def lookup_keys(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
+def rule_table(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """Rules as a table: key (host and path), labels and length (what a url must have for it), verdict."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    labels = F.size(F.split("host", "[.]"))
+    return rules.select(F.concat("host", "path").alias("key"), labels.alias("labels"), F.length("path").alias("length"), "verdict")
+
+
+def lookup_keys(host: Column, path: Column, labels: Sequence[int], lengths: Sequence[int]) -> Column:
     """The keys under which a url could be listed: each host suffix with as many labels as some rule's host, followed by each
     beginning of the path that is as long as some rule's path."""
-    labels = sorted({h.count(".") + 1 for h, _, _ in rules})
-    lengths = sorted({len(p) for _, p, _ in rules})
     keys = [F.when(F.length(path) >= m, F.concat(F.substring_index(host, ".", -n), F.substring(path, 1, m) if m else F.lit(""))) for n in labels for m in lengths]
     return F.array_compact(F.array(*keys)) if keys else F.array().cast("array<string>")
 
@@ -101,36 +110,41 @@ def _encode(keys: DataFrame, number: int, n: int, rate: float, max_filter_bits:
     return level
 
 
-def build_cascade(universe: DataFrame, listed: Sequence[str], size: int, max_filter_bits: int = 1 << 24, max_levels: int = 60) -> Cascade:
-    """universe: column key, repeats allowed; size: about how many different ones it has."""
-    spark = universe.sparkSession
-    if not listed:
+def build_cascade(universe: DataFrame, listed: DataFrame, size: int, max_filter_bits: int = 1 << 24, max_levels: int = 60) -> Cascade:
+    """universe: column key, repeats allowed; size: about how many different ones it has. listed: column key. Both stay tables: the driver
+    gets finished filters, whose size is checked."""
+    inside = cut(listed.select("key").distinct())
+    n = inside.count()
+    if not n:
         return Cascade(())
-    inside = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
-    outside = universe.where(~F.col("key").isin(sorted(set(listed))))
-    n = len(set(listed))
-    levels = [_encode(inside, 1, n, min(0.5, n / max(size, 2 * n)), max_filter_bits)]
+    first = _encode(inside, 1, n, min(0.5, n / max(size, 2 * n)), max_filter_bits)
+    # of the universe, what the first filter takes for listed and isn't
+    wrong = cut(universe.where(first.holds(F.col("key"))).select("key").distinct().join(inside, "key", "left_anti"))
+    levels, sides = [first], {0: wrong, 1: inside}
     while len(levels) < max_levels:
         number = len(levels) + 1
         # who the filters of the other side have taken for theirs so far
-        wrong = outside if number % 2 == 0 else inside
-        for level in levels[(number % 2) :: 2]:
-            wrong = wrong.where(level.holds(F.col("key")))
-        n = wrong.agg(F.approx_count_distinct("key", 0.02)).first()[0]
+        if number > 2:
+            sides[number % 2] = sides[number % 2].where(levels[-1].holds(F.col("key")))
+        wrong = sides[number % 2]
+        n = wrong.count()
         if not n:
             return Cascade(tuple(levels))
         levels.append(_encode(wrong, number, n, 0.5, max_filter_bits))
     raise ValueError("the cascade didn't end: the listed keys can't be told from the universe")
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url", default: str = "allow") -> DataFrame:
-    """pages with host, path, rule and verdict; columns of these names are replaced."""
-    rows = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
-    keys = lookup_keys(F.col("host"), F.col("path"), rules)
-    universe = rows.select(F.explode(keys).alias("key"))
+def filter_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame = RULES, url: str = "url", default: str = "allow") -> DataFrame:
+    """pages with host, path, rule and verdict; columns of these names are replaced. rules: host, path, verdict."""
+    listed = cut(rule_table(pages.sparkSession, rules))
+    # few different numbers, however many rules there are
+    shapes = listed.select("labels", "length").distinct().collect()
+    work = Carried(pages, ["host", "path", "rule", "verdict"], host=url_host(F.col(quoted(url))), path=url_path(F.col(quoted(url))))
+    keys = lookup_keys(F.col("host"), F.col("path"), sorted({r.labels for r in shapes}), sorted({r.length for r in shapes}))
+    universe = work.rows.select(F.explode(keys).alias("key"))
     size = universe.agg(F.approx_count_distinct("key")).first()[0]
-    verdicts = sorted({v for _, _, v in rules})
-    cascades = {v: build_cascade(universe, [h + p for h, p, w in rules if w == v], size) for v in verdicts}
+    verdicts = sorted(r.verdict for r in listed.select("verdict").distinct().collect())
+    cascades = {v: build_cascade(universe, listed.where(F.col("verdict") == v), size) for v in verdicts}
 
     def says(key: Column) -> Column:
         found = F.lit(None).cast("string")
@@ -139,8 +153,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url
         return found
 
     judged = F.transform(keys, lambda k: F.struct(F.length(k).alias("length"), k.alias("rule"), says(k).alias("verdict")))
-    best = F.array_max(F.filter(judged, lambda x: x["verdict"].isNotNull()))
-    return rows.withColumn("_best", best).withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default))}).drop("_best")
+    best = let(F.array_max(F.filter(judged, lambda x: x["verdict"].isNotNull())), lambda b: F.struct(b["rule"].alias("rule"), F.coalesce(b["verdict"], F.lit(default)).alias("verdict")))
+    return work.back(work.rows.withColumn("best", best), "host", "path", "best.rule", "best.verdict")
 
 
 ORACLE_SQL = r"""

@@ -118,7 +118,7 @@ def test_cascade_is_exact_over_its_universe(spark):
     keys = [f"k{i}" for i in range(3000)]
     listed = rng.sample(keys, 200)
     universe = spark.createDataFrame([(k,) for k in keys], "key string")
-    cascade = bloom_cascade.build_cascade(universe, listed, 3000)
+    cascade = bloom_cascade.build_cascade(universe, spark.createDataFrame([(k,) for k in listed], "key string"), 3000)
     assert {r.key for r in universe.where(cascade.holds(F.col("key"))).collect()} == set(listed)
     assert len(cascade.levels) > 1
 
