@@ -145,3 +145,35 @@ def quality_rules(
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     far = (F.col("class_distance") > max_class_distance) | (F.col("common_distance") > max_common_distance)
     return work.back(rows.withColumn("kept", ~F.col("base_failed") & ~far), *MADE)
+
+
+def _sql() -> str:
+    """The same in DuckDB: counts by lists and windows, both references by sums, the distances over unnested histograms."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    of = lambda chars: f"(length(text) - length(translate(text, {quote(chars)}, '')))::DOUBLE"
+    counted = lambda w: f"len(list_filter(v, lambda x: x = {quote(w)}))::DOUBLE"
+    common = " ".join(f"WHEN language = '{name}' THEN [{', '.join(map(counted, listed))}]" for name, listed in COMMON.items())
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN lang IN {LANGUAGES} THEN lang ELSE 'other' END AS language,
+             list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
+t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS times FROM g),
+r AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM t WHERE times > 1) GROUP BY doc_id),
+v AS (SELECT doc_id, language, text, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, list_transform(w, lambda x: lower(x)) AS v,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+m AS (SELECT doc_id, language, n_words, word_chars, {of(SYMBOLS)}::BIGINT AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, length(text)::DOUBLE AS n,
+             [{of(UPPER)}, {of("0123456789")}, {of(STOPS)}, {of(MARKS)}, (length(text) - word_chars)::DOUBLE] AS c5, CASE {common} END AS k8 FROM v),
+h AS (SELECT *, list_append(c5, n - list_sum(c5)) AS c, list_append(k8, n_words - list_sum(k8)) AS k FROM m),
+p AS (SELECT doc_id, language, 'c' AS kind, unnest(c) AS x, generate_subscripts(c, 1) AS place FROM h UNION ALL SELECT doc_id, language, 'k', unnest(k), generate_subscripts(k, 1) FROM h),
+q AS (SELECT language, kind, place, sum(x) AS y FROM p GROUP BY ALL),
+s AS (SELECT doc_id, kind, x / nullif(sum(x) OVER (PARTITION BY doc_id, kind), 0) AS x, y / nullif(sum(y) OVER (PARTITION BY doc_id, kind), 0) AS y FROM p JOIN q USING (language, kind, place)),
+j AS (SELECT doc_id, kind, sqrt(greatest(0, sum(CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0 END) / 2)) AS distance FROM s GROUP BY ALL),
+f AS (SELECT h.doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+             n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed, coalesce(a.distance, 0) AS class_distance, coalesce(b.distance, 0) AS common_distance
+      FROM h LEFT JOIN r USING (doc_id) LEFT JOIN j a ON a.doc_id = h.doc_id AND a.kind = 'c' LEFT JOIN j b ON b.doc_id = h.doc_id AND b.kind = 'k')
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND class_distance <= {MAX_CLASS_DISTANCE} AND (n_words < {MIN_COMMON_WORDS} OR common_distance <= {MAX_COMMON_DISTANCE}) AS kept FROM f
+"""
+
+
+ORACLE_SQL = _sql()

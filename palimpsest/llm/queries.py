@@ -79,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op5_bloom_cascade": bloom_cascade.ORACLE_SQL,
     "op9_minhash": minhash.ORACLE_SQL,
     "op10_line_templates": line_templates.ORACLE_SQL,
