@@ -14,42 +14,45 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import importance, line_templates, minhash, packing, substring_dedup
 from palimpsest.llm.queries import vocabulary
-from palimpsest.llm.shared import cut, row_key, table
+from palimpsest.llm.shared import Carried, cut, quoted, row_key, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _like(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows with docs' columns and the length of what the text is now."""
+def _through(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that stage leaves, with docs' columns; n_chars, where docs have it, is the length of what the text is now. The stage
+    sees doc_id and text only, so no other column's name can meet one that it makes."""
+    work = Carried(docs, [], {"doc_id": "doc_id", "text": "text"}, doc_id=F.col("doc_id"), text=F.col("text"))
+    rows = work.back(stage(work.rows))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*[f"`{c}`" for c in docs.columns])
+    return rows.select(*[quoted(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = importance.resample(docs.select("*"), table(spark, sf_dir, "labels"))
-    return scored.where("kept").select(*[f"`{c}`" for c in docs.columns])
+    return _through(docs, lambda rows: importance.resample(rows, table(spark, sf_dir, "labels")).where("kept"))
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    """row (see row_key) and component of each document, its near copies included."""
+    return minhash.near_duplicates(docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "doc_id", "text"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near copies count as one document here, as exact copies do: what only they share is content, not boilerplate, and the next stage keeps one of them."""
-    key = row_key(F.col("doc_id"), F.col("text"))
-    found = minhash.near_duplicates(docs.select(key.alias("row"), "doc_id", "text"))
-    named = cut(found.where("component_id IS NOT NULL").select("row", "component_id").distinct())
+    named = cut(_components(docs).where("component_id IS NOT NULL").select("row", "component_id").distinct())
     several = named.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     families = cut(named.join(several, "component_id").select("row", F.xxhash64(F.lit("family"), "component_id").alias("family")))
-    return _like(line_templates.drop_recurring_lines(docs, families=families), docs)
+    return _through(docs, lambda rows: line_templates.drop_recurring_lines(rows, families=families))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = row_key(F.col("doc_id"), F.col("text"))
-    found = minhash.near_duplicates(docs.select(key.alias("row"), "doc_id", "text"))
-    gone = cut(found.where(~F.col("kept")).select(F.col("row").alias("_row")).distinct())
-    return docs.withColumn("_row", key).join(gone, "_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    gone = cut(_components(docs).where(~F.col("kept")).select("row").distinct())
+    return _through(docs, lambda rows: rows.withColumn("row", row_key(F.col("doc_id"), F.col("text"))).join(gone, "row", "left_anti"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _like(substring_dedup.remove_repeats(docs), docs)
+    return _through(docs, substring_dedup.remove_repeats)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
