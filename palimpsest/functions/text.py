@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +18,11 @@ def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, however often body names it: a lambda's variable is bound, an expression is repeated."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends (Spark's trim knows the plain space only)."""
     return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")
@@ -45,7 +50,7 @@ def without_marks(s: pd.Series) -> pd.Series:
 
 def normalize(c: Column) -> Column:
     c = F.trim(F.regexp_replace(nfc(text(c)), r"[ \t]+", " "))
-    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[“”]", '"'), "[‘’]", "'"), "[–—]", "-")
+    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[“”„]", '"'), "[‘’]", "'"), "[–—]", "-")
     return F.replace(c, F.lit("…"), F.lit("..."))
 
 
@@ -189,17 +194,19 @@ def metric_values(squeezed: Column, pattern: str) -> Column:
 
 def metrics(c: Column) -> Column:
     """Map of a metric's name to its values, sorted, with decimal points; without the metrics that the text hasn't."""
-    pairs = [F.struct(F.lit(n).alias("key"), metric_values(squeeze(c), p).alias("value")) for n, p in rules.METRICS.items()]
-    return F.map_from_entries(F.filter(F.array(*pairs), lambda x: F.size(x["value"]) > 0))
+    pairs = lambda s: F.array(*[F.struct(F.lit(n).alias("key"), metric_values(s, p).alias("value")) for n, p in rules.METRICS.items()])
+    return F.map_from_entries(F.filter(let(squeeze(c), pairs), lambda x: F.size(x["value"]) > 0))
 
 
 def metric_deltas(old: Column, new: Column) -> Column:
     """Array of (metric, before, after): values in order, paired by place, that differ."""
-    out = []
-    for n, p in rules.METRICS.items():
-        zipped = F.zip_with(metric_values(squeeze(old), p), metric_values(squeeze(new), p), lambda before, after: F.struct(F.lit(n).alias("metric"), before.alias("before"), after.alias("after")))
-        out.append(F.filter(zipped, lambda d: ~d["before"].eqNullSafe(d["after"])))
-    return F.concat(*out)
+
+    def of(name: str, pattern: str, x: Column, y: Column) -> Column:
+        zipped = F.zip_with(metric_values(x, pattern), metric_values(y, pattern), lambda before, after: F.struct(F.lit(name).alias("metric"), before.alias("before"), after.alias("after")))
+        return F.filter(zipped, lambda d: ~d["before"].eqNullSafe(d["after"]))
+
+    both = F.struct(squeeze(old).alias("x"), squeeze(new).alias("y"))
+    return let(both, lambda s: F.concat(*[of(n, p, s["x"], s["y"]) for n, p in rules.METRICS.items()]))
 
 
 def same_set(a: Column, b: Column) -> Column:

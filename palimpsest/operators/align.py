@@ -65,6 +65,22 @@ def global_alignment(sim: np.ndarray, gap: float) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def in_gaps(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a, b: pair_id, i, key. The chunks (pair_id, side, i) whose similarity the alignment asks for: those between anchors that have
+    chunks of the other side to be compared with."""
+
+    def one(pair: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("i"), right.sort_values("i")
+        rows: list[tuple] = []
+        for tag, i1, i2, j1, j2 in opcodes(left["key"].tolist(), right["key"].tolist()):
+            if tag != "equal" and i1 < i2 and j1 < j2:
+                rows += [(pair[0], "a", int(i)) for i in left["i"].iloc[i1:i2]] + [(pair[0], "b", int(j)) for j in right["i"].iloc[j1:j2]]
+        return pd.DataFrame(rows, columns=["pair_id", "side", "i"])
+
+    columns = [F.col(c).alias(c) for c in ("pair_id", "i", "key")]
+    return a.select(*columns).groupBy("pair_id").cogroup(b.select(*columns).groupBy("pair_id")).applyInPandas(one, "pair_id string, side string, i int")
+
+
 def align(a: DataFrame, b: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """a, b: pair_id, i, key, clause, vec. Rows in the order of the alignment: i and j (null on one side), sim, anchored."""
 

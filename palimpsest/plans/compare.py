@@ -108,24 +108,35 @@ def line_statistics(runs: DataFrame) -> DataFrame:
     return runs.groupBy("pair_id").agg(of("UNCHANGED"), of("REPLACED"), of("DELETED"), of("ADDED"))
 
 
+def _chunked(paragraphs: DataFrame, settings: Settings) -> DataFrame:
+    # chunks know their document; a pair names one document of either side
+    pair_of = paragraphs.select("pair_id", "doc_id").distinct()
+    made = chunks.with_ids(chunks.sub_chunks(chunks.sectionize(paragraphs.drop("pair_id")), settings.max_chunk)).join(pair_of, "doc_id")
+    place = F.row_number().over(Window.partitionBy("pair_id").orderBy("raw_index", "sub_index")) - 1
+    return cut(made.withColumns({"i": place, "key": T.anchor_form(F.col("content")), "clause": T.anchor_form(F.coalesce("breadcrumb", "title"))}))
+
+
 def compare_versions(a: DataFrame, b: DataFrame, embedder: retrieval.Embedder | None = None, settings: Settings = Settings()) -> dict[str, DataFrame]:
-    """a, b: paragraphs with pair_id. Chunks, pairs, clauses, results, statistics and reports of all pairs."""
+    """a, b: paragraphs with pair_id. Chunks, pairs, clauses, results, statistics and reports of all pairs.
+
+    What several later steps read (chunks, vectors, classified pairs, clauses, records, results) is written once, so no step's plan repeats those before it.
+    Only chunks between anchors are embedded."""
     embedder = embedder or retrieval.HashingEmbedder()
+    made = {name: _chunked(paragraphs, settings) for name, paragraphs in (("a", a), ("b", b))}
+    asked = cut(align.in_gaps(made["a"], made["b"]))
     sides = {}
-    for name, paragraphs in (("a", a), ("b", b)):
-        # chunks know their document; a pair names one document of either side
-        pair_of = paragraphs.select("pair_id", "doc_id").distinct()
-        made = chunks.with_ids(chunks.sub_chunks(chunks.sectionize(paragraphs.drop("pair_id")), settings.max_chunk)).join(pair_of, "doc_id")
-        place = F.row_number().over(Window.partitionBy("pair_id").orderBy("raw_index", "sub_index")) - 1
-        made = made.withColumns({"i": place, "key": T.anchor_form(F.col("content")), "clause": T.anchor_form(F.coalesce("breadcrumb", "title"))})
-        sides[name], _ = retrieval.embed(made, embedder, batch=settings.embed_batch)
+    for name, rows in made.items():
+        own = asked.where(F.col("side") == name).select("pair_id", "i")
+        vectors = retrieval.embed(rows.join(own, ["pair_id", "i"], "left_semi").select("pair_id", "i", "content"), embedder, batch=settings.embed_batch)[0]
+        sides[name] = cut(rows.join(vectors.select("pair_id", "i", "vec"), ["pair_id", "i"], "left"))
     x, y = sides["a"], sides["b"]
-    aligned = align.align(x, y, settings)
+    aligned = cut(align.align(x, y, settings))
     side = lambda df, i, s: df.select("pair_id", F.col("i").alias(i), F.col("content").alias(f"text_{s}"), F.col("breadcrumb").alias(f"clause_{s}"))
     rows = aligned.join(side(x, "i", "a"), ["pair_id", "i"], "left").join(side(y, "j", "b"), ["pair_id", "j"], "left")
-    rows = align.classify(rows.withColumn("ratio", T.text_ratio(F.col("text_a"), F.col("text_b"))), settings)
+    rows = cut(rows.withColumn("ratio", T.text_ratio(F.col("text_a"), F.col("text_b"))))
+    rows = align.classify(rows, settings)
     rows = rows.withColumns({"ord": F.col("pair_ord") * 2 + F.col("part"), "clause_id": F.when(F.col("match_type") == "ADDED", F.col("clause_b")).otherwise(F.coalesce("clause_a", "clause_b"))})
-    clauses = changes.collapse(rows.select("pair_id", "ord", "match_type", "clause_id", "text_a", "text_b", "similarity", "near_threshold"))
-    results = changes.clause_results(clauses, changes.change_records(clauses))
-    stats = changes.statistics(clauses, results)
+    clauses = cut(changes.collapse(rows.select("pair_id", "ord", "match_type", "clause_id", "text_a", "text_b", "similarity", "near_threshold")))
+    results = cut(changes.clause_results(clauses, cut(changes.change_records(clauses))))
+    stats = cut(changes.statistics(clauses, results))
     return {"chunks_a": x, "chunks_b": y, "clauses": clauses, "results": results, "statistics": stats, "report": report.report(results, stats)}
