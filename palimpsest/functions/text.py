@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from palimpsest import rules
 
@@ -256,3 +256,25 @@ def semantic_ratio(a: Column, b: Column) -> Column:
 
 def dedupe_ratio(a: Column, b: Column) -> Column:
     return sequence_ratio(plain(a), plain(b))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _distinct_texts(items: pd.Series, known: pd.Series, most: pd.Series, threshold: pd.Series) -> pd.Series:
+    def one(texts, references, limit, least) -> list[str]:
+        kept, forms = [], [plain_word(r) for r in references if r] if references is not None else []
+        for t in texts if texts is not None else ():
+            form = plain_word(t or "")
+            if t and not any(form == f or difflib.SequenceMatcher(None, form, f, autojunk=False).ratio() >= least for f in forms):
+                kept.append(t)
+                forms.append(form)
+            if len(kept) >= limit:
+                break
+        return kept
+
+    return pd.Series([one(*x) for x in zip(items, known, most, threshold, strict=True)])
+
+
+def distinct_texts(items: Column, known: Column | None = None, most: Column | int = 1_000_000, threshold: float = 0.82) -> Column:
+    """Of a list the texts, in order, that neither an earlier one nor a known one says too: in plain form equal, or alike to the threshold."""
+    known = F.array().cast("array<string>") if known is None else known
+    return _distinct_texts(items, known, F.lit(most) if isinstance(most, int) else most, F.lit(threshold))

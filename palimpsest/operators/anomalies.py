@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest import rules
 from palimpsest.functions import text as T
 
 
@@ -29,7 +30,7 @@ def metric_conflicts(clauses: DataFrame) -> DataFrame:
 
 def dangling_sla(clauses: DataFrame) -> DataFrame:
     """Pairs where a clause lost its SLA while others still refer to one."""
-    has = lambda c: F.lower(T.text(F.col(c))).contains("sla")
+    has = lambda c: T.plain(F.col(c)).contains("sla")
     lost = clauses.where(F.col("clause_change_kind").isin("REPLACED", "DELETED") & has("text_a") & ~has("text_b"))
     refs = clauses.where(has("text_b")).join(lost.select("pair_id", "clause_id"), ["pair_id", "clause_id"], "left_anti")
     listed = lambda df, n, k: df.groupBy("pair_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ord", "clause_id"))), lambda x: x["clause_id"]), 1, k).alias(n))
@@ -37,22 +38,24 @@ def dangling_sla(clauses: DataFrame) -> DataFrame:
 
 
 def orphan_references(clauses: DataFrame) -> DataFrame:
-    """Mentions of an article or annex that was deleted, with the first deleted clause that fits."""
-    deleted = clauses.where("clause_change_kind = 'DELETED'").select("pair_id", F.col("ord").alias("deleted_ord"), T.clause_key(F.col("clause_id")).alias("deleted"))
-    mentions = clauses.where("clause_change_kind <> 'DELETED'").select("pair_id", "ord", "clause_id", F.explode(T.found(T.squeeze(F.col("text_b")), r"điều\s+\d+|phụ\s+lục\s+[a-z0-9]+")).alias("mention"))
-    hits = mentions.join(deleted, "pair_id").where(F.col("deleted").contains(F.col("mention")))
-    first = F.row_number().over(Window.partitionBy("pair_id", "clause_id", "mention").orderBy("deleted_ord"))
-    return hits.withColumn("n", first).where("n = 1").drop("n", "deleted_ord")
+    """Mentions of an article or annex that was deleted, with the first deleted clause that fits; both in plain form."""
+    deleted = clauses.where("clause_change_kind = 'DELETED'").select("pair_id", F.col("ord").alias("deleted_ord"), F.col("clause_id").alias("deleted"), T.plain(F.col("clause_id")).alias("form"))
+    mentions = clauses.select("pair_id", "ord", "clause_id", F.explode(T.found(T.plain(F.col("text_b")), r"điều\s+\d+|phụ\s*lục\s+[a-z]")).alias("mention"))
+    hits = mentions.join(deleted, "pair_id").where(F.col("form").contains(F.col("mention")))
+    first = F.row_number().over(Window.partitionBy("pair_id", "ord", "mention").orderBy("deleted_ord"))
+    return hits.withColumn("n", first).where("n = 1").drop("n", "deleted_ord", "form")
 
 
 def alerts(clauses: DataFrame, most: int = 3) -> DataFrame:
-    """Up to `most` alerts of each pair in order: SLA, orphans, metrics."""
+    """Up to `most` alerts of each pair in order (SLA, then orphans by clause, then metrics), without those that say what an earlier one says."""
     join = lambda c: F.array_join(c, ", ")
-    sla = dangling_sla(clauses).select("pair_id", F.lit(1).alias("k"), F.concat(F.lit("CRITICAL ANOMALY: SLA of "), join("anchors"), F.lit(" is gone but referred to in "), join("references")).alias("alert"))
-    lost = orphan_references(clauses).select("pair_id", F.lit(2).alias("k"), F.concat(F.lit("ANOMALY: "), F.col("clause_id"), F.lit(" refers to deleted "), F.col("mention")).alias("alert"))
-    odd = metric_conflicts(clauses).select(
-        "pair_id", F.lit(3).alias("k"), F.concat(F.lit("CRITICAL ANOMALY: "), F.col("metric"), F.lit(" is "), F.col("value_a"), F.lit(" in "), join("clauses_a"), F.lit(" but "), F.col("value_b"), F.lit(" in "), join("clauses_b")).alias("alert")
-    )
-    rows = sla.unionByName(lost).unionByName(odd).distinct()
-    rank = F.row_number().over(Window.partitionBy("pair_id").orderBy("k", "alert"))
-    return rows.withColumn("n", rank).where(F.col("n") <= most).select("pair_id", "n", "alert")
+    two = lambda c: join(F.slice(c, 1, 2))
+    label = F.create_map(*[F.lit(x) for kv in rules.METRIC_LABELS.items() for x in kv])
+    place = F.array_position(F.array(*[F.lit(m) for m in rules.METRIC_LABELS]), F.col("metric"))
+    row = lambda k, order, text, *parts: (F.col("pair_id"), F.struct(F.lit(k).alias("k"), order.cast("bigint").alias("at"), F.format_string(text, *parts).alias("alert")).alias("row"))
+    sla = dangling_sla(clauses).select(*row(1, F.lit(0), rules.SLA_ALERT, join("references"), join("anchors")))
+    lost = orphan_references(clauses).select(*row(2, F.col("ord"), rules.ORPHAN_ALERT, "clause_id", "mention", "deleted"))
+    odd = metric_conflicts(clauses).select(*row(3, place, rules.METRIC_ALERT, label[F.col("metric")], "value_a", two("clauses_a"), "value_b", two("clauses_b")))
+    rows = sla.unionByName(lost).unionByName(odd).groupBy("pair_id").agg(F.array_sort(F.collect_set("row")).alias("rows"))
+    told = rows.select("pair_id", T.distinct_texts(F.transform("rows", lambda r: r["alert"]), most=most).alias("told"))
+    return told.select("pair_id", F.posexplode("told").alias("n", "alert")).withColumn("n", F.col("n") + 1)

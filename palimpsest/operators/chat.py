@@ -125,20 +125,22 @@ def evidence(planned: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def answer(planned: DataFrame, found: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """answer_type, answer_markdown and citation_ids of each question. Questions off the subject, or without evidence, are refused.
+    """answer_type, answer_markdown and citation_ids of each question. Questions off the subject by their best hit, or without evidence, are
+    refused; where only chunks answer, or the plan asks for them, it is a document_answer.
     model: adds raw_answer and raw_citations for a language model; an answer without known citations, or with advice, isn't used."""
     words = T.words(F.col("question"))
     shared = F.size(F.array_intersect(words, T.words(F.col("search_text")))) / F.greatest(F.size(words), F.lit(1))
     listed = found.withColumn("overlap", shared).groupBy("question_id").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "citation_id", "clause_id", "search_text"))).alias("items"), F.max("score").alias("best"), F.max("overlap").alias("overlap")
-    )
+        F.array_sort(F.collect_list(F.struct("ord", "citation_id", "clause_id", "search_text"))).alias("items"), F.max("score").alias("best"), F.max_by("overlap", F.struct("score", -F.col("ord"))).alias("overlap"),
+        F.max(F.col("candidate_type") == "chunk").alias("has_chunk"), F.max(F.col("candidate_type") != "chunk").alias("has_structured"),
+    )
     rows = planned.join(listed, "question_id", "left")
     refuse = F.col("items").isNull() | (~F.col("is_domain") & ((F.col("best") < 0.72) | (F.col("overlap") < 0.34)))
     used = F.slice("items", 1, F.greatest(F.lit(3), F.least(F.lit(5), F.size("items"))))
     text = F.array_join(F.transform(used, lambda x: F.concat(F.lit("- "), F.coalesce(x["clause_id"], F.lit("")), F.lit(": "), T.truncate(x["search_text"]))), "\n")
     none = F.array().cast("array<string>")
     rows = rows.withColumns({
-        "answer_type": F.when(refuse, F.lit("insufficient_evidence")).otherwise(F.col("answer_type")),
+        "answer_type": F.when(refuse, F.lit("insufficient_evidence")).when(F.col("has_chunk") & ((F.col("source") == "chunk") | ~F.col("has_structured")), F.lit("document_answer")).otherwise(F.col("answer_type")),
         "answer_markdown": F.when(refuse, F.lit("Không đủ bằng chứng trong tài liệu để trả lời.")).otherwise(text),
         "citation_ids": F.when(refuse, none).otherwise(F.transform(used, lambda x: x["citation_id"])),
     })

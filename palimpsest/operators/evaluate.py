@@ -132,3 +132,35 @@ def stage_shares(timings: DataFrame) -> DataFrame:
     """timings: stage, seconds. Sum, extremes and share of each stage."""
     sums = timings.groupBy("stage").agg(F.sum("seconds").alias("total"), F.min("seconds").alias("least"), F.max("seconds").alias("most"), F.avg("seconds").alias("mean"))
     return sums.join(F.broadcast(sums.agg(F.sum("total").alias("all")))).withColumn("share", F.round(F.col("total") / F.col("all"), 6)).drop("all")
+
+
+def estimated_prf(cases: DataFrame) -> DataFrame:
+    """Of a baseline's cases (gt_changes, predicted_atomic_changes, clause_recall): precision, recall and F1 if the mean recall of clauses held for changes."""
+    sums = cases.agg(F.sum("gt_changes").alias("total_gt"), F.sum("predicted_atomic_changes").alias("total_pred"), F.round(F.avg("clause_recall"), 4).alias("mean"))
+    matched = F.least(F.col("total_gt").cast("double"), F.col("total_pred").cast("double"), F.col("mean") * F.col("total_gt"))
+    p, r = F.coalesce(F.try_divide("matched", "total_pred"), F.lit(0.0)), F.coalesce(F.try_divide("matched", "total_gt"), F.lit(0.0))
+    f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+    return sums.withColumn("matched", matched).select(F.round(p, 4).alias("precision_est"), F.round(r, 4).alias("recall_est"), F.round(f1, 4).alias("f1_est"), "total_gt", "total_pred")
+
+
+def mean_judge_score(judged: DataFrame) -> DataFrame:
+    """judged: score, null where the judge gave none."""
+    return judged.agg(F.round(F.avg("score"), 4).alias("mean_score"), F.count("score").alias("scored"), F.count(F.lit(1)).alias("cases"))
+
+
+def pseudo_report(records: DataFrame) -> DataFrame:
+    """Clause ids and texts of all records (pair_id, ord, clause_id, records) as one text a pair, for the guards."""
+    parts = F.array_compact(F.concat(F.array("clause_id"), F.flatten(F.transform("records", lambda r: F.array(r["old"], r["new"])))))
+    rows = records.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("ord", parts.alias("parts")))).alias("rows"))
+    return rows.select("pair_id", F.array_join(F.flatten(F.transform("rows", lambda x: x["parts"])), "\n").alias("report"))
+
+
+def markdown_metrics(logs: DataFrame) -> DataFrame:
+    """logs: name, markdown. The figures that a benchmark's log states, each by the first of its patterns that fits; precision at 1 and 3 if
+    each query has one right answer."""
+
+    def first(patterns: tuple[str, ...]) -> Column:
+        return F.coalesce(*[F.nullif(F.regexp_extract("markdown", f"(?i){p}", 1), F.lit("")).try_cast("double") for p in patterns])
+
+    rows = logs.select("name", *[first(patterns).alias(name) for name, patterns in rules.LOG_FIGURES.items()])
+    return rows.withColumns({"precision_at1": F.col("hit_rate_at1_pct") / 100, "precision_at3_single_rel": F.col("hit_rate_at3_pct") / 100 / 3})

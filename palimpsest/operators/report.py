@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
@@ -16,6 +16,36 @@ def source_line(file: Column, page: Column, page_end: Column, chunk_id: Column)
     return F.concat_ws(" · ", file, pages, F.nullif(T.text(chunk_id), F.lit("")))
 
 
+def match_counters(pairs: DataFrame) -> DataFrame:
+    """How many chunks of each pair of documents are unchanged, modified, added and deleted."""
+    of = lambda k: F.count_if(F.col("match_type") == k).alias(k.lower())
+    return pairs.groupBy("pair_id").agg(of("UNCHANGED"), of("MODIFIED"), of("ADDED"), of("DELETED"))
+
+
+def diff_lines(pairs: DataFrame, limit: int = 150) -> DataFrame:
+    """Aligned pairs (pair_id, ord, match_type, text_a, text_b) as lines of a diff, for consoles: unchanged ones aren't shown."""
+    of = lambda sign, c: F.when(T.text(F.col(c)) != "", F.concat(F.lit(sign), F.substring(T.squeeze(F.col(c)), 1, limit)))
+    return pairs.where("match_type <> 'UNCHANGED'").select("pair_id", "ord", F.concat_ws("\n", of("- ", "text_a"), of("+ ", "text_b")).alias("line"))
+
+
+def write_reports(reports: DataFrame, path: str) -> None:
+    """One Markdown text a pair, in a folder of its own (pair_id=...) under path."""
+    reports.select("pair_id", F.col("report_markdown").alias("value")).write.mode("overwrite").partitionBy("pair_id").option("lineSep", "\n").text(path)
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """Metrics as JSON lines, and the same as a Markdown table beside them; both are as small as the number of cases."""
+    metrics.coalesce(1).write.mode("overwrite").json(f"{path}/json")
+    markdown_table(metrics).coalesce(1).write.mode("overwrite").text(f"{path}/markdown")
+
+
+def markdown_table(rows: DataFrame) -> DataFrame:
+    """rows as a Markdown table of one column value: its head, then a line a row."""
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in rows.columns]), F.lit(" |"))
+    head = rows.sparkSession.createDataFrame([(f"| {' | '.join(rows.columns)} |",), (f"|{'---|' * len(rows.columns)}",)], "value string").coalesce(1)
+    return head.unionByName(rows.select(cells.alias("value")))
+
+
 def record_lines(r: Column) -> Column:
     head = F.concat(F.lit("- **"), r["change_kind"], F.lit("** · "), r["impact_level"], F.lit(" · "), r["confidence_band"], F.lit(" · "), F.array_join(r["tags"], ", "))
     removed, added = F.when(r["old"] != "", F.concat(F.lit("- "), r["old"])), F.when(r["new"] != "", F.concat(F.lit("+ "), r["new"]))
@@ -53,11 +83,13 @@ def report(results: DataFrame, stats: DataFrame, alerts: DataFrame | None = None
 
 
 def grounded_points(points: DataFrame, changes: DataFrame, threshold: float = 0.38, most: int = 3) -> DataFrame:
-    """A model's key points (pair_id, n, point) with the clauses of the up to `most` changes (pair_id, ord, clause_id, summary) that support
-    them; points without support, and those whose clauses an earlier point has, go."""
-    from pyspark.sql import Window
-
-    rows = points.join(changes, "pair_id").withColumn("score", T.dedupe_ratio(F.col("point"), F.concat_ws(" ", "clause_id", "summary"))).where(F.col("score") >= threshold)
+    """A model's key points (pair_id, n, point) with the clauses of the up to `most` changes (pair_id, ord, clause_id, summary, and if there
+    are any tags, old, new) that support them: alike in their summary, clause, tags or all together. Points without support, and those whose clauses an earlier point has, go."""
+    point = F.col("point")
+    tags = F.array_join("tags", " ") if "tags" in changes.columns else F.lit("")
+    whole = F.concat_ws(" | ", *[F.nullif(c, F.lit("")) for c in (F.col("clause_id"), F.col("summary"), tags, *[F.col(c) for c in ("old", "new") if c in changes.columns])])
+    score = F.greatest(*[T.dedupe_ratio(point, c) for c in (F.col("summary"), F.col("clause_id"), tags, whole)])
+    rows = points.join(changes, "pair_id").withColumn("score", score).where(F.col("score") >= threshold)
     rank = F.row_number().over(Window.partitionBy("pair_id", "n").orderBy(F.col("score").desc(), "ord"))
     kept = rows.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("pair_id", "n", "point").agg(F.array_sort(F.collect_set("clause_id")).alias("clauses"))
     first = F.row_number().over(Window.partitionBy("pair_id", "clauses").orderBy("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import ids
 from palimpsest.functions import text as T
-from palimpsest.operators import align, anomalies, changes, chat, chunks, evaluate, retrieval, sessions
+from palimpsest.operators import align, anomalies, changes, chat, chunks, enrich, evaluate, report, retrieval, sessions
 from palimpsest.plans import compare
 from palimpsest.rules import PRESETS, Settings
 from palimpsest.sources import paragraphs
@@ -126,17 +126,14 @@ def stable_ids(spark, d):
 
 
 @query(
-    "SELECT l_orderkey, l_linenumber, round(greatest(0, least(1, 0.35 * l_quantity / 50 + 0.25 * l_discount * 10 + 0.25 * l_tax * 10 + 0.15)), 4) AS score, CASE WHEN greatest(0, least(1, 0.35 * l_quantity / 50 + 0.25 * l_discount * 10 + 0.25 * l_tax * 10 + 0.15)) >= 0.85 THEN 'HIGH' "
-    "WHEN greatest(0, least(1, 0.35 * l_quantity / 50 + 0.25 * l_discount * 10 + 0.25 * l_tax * 10 + 0.15)) >= 0.6 THEN 'MEDIUM' WHEN greatest(0, least(1, 0.35 * l_quantity / 50 + 0.25 * l_discount * 10 + 0.25 * l_tax * 10 + 0.15)) >= 0.3 THEN 'LOW' ELSE 'SUSPECT' END AS band FROM lineitem WHERE abs(0.35 * l_quantity / 50 + 0.25 * l_discount * 10 + 0.25 * l_tax * 10 + 0.15 - 0.6) > 1e-9 AND abs(0.35 * l_quantity / 50 + 0.25 * l_discount * 10 + 0.25 * l_tax * 10 + 0.15 - 0.85) > 1e-9 AND abs(0.35 * l_quantity / 50 + 0.25 * l_discount * 10 + 0.25 * l_tax * 10 + 0.15 - 0.3) > 1e-9"
+    "WITH x AS (SELECT l_orderkey, l_linenumber, round(greatest(0, least(1, 0.35 * l_quantity / 50 + 0.25 * l_discount * 10 + 0.25 * l_tax * 10 + 0.15)), 9) AS s FROM lineitem) "
+    "SELECT l_orderkey, l_linenumber, s AS score, CASE WHEN s >= 0.85 THEN 'HIGH' WHEN s >= 0.6 THEN 'MEDIUM' WHEN s >= 0.3 THEN 'LOW' ELSE 'SUSPECT' END AS band FROM x"
 )
 def confidence_band(spark, d):
-    """Scores that lie on a band's very border differ by rounding between engines and are left out on both sides."""
+    """The inputs have two decimals, so nine decimals of a score are exact, and a score on a band's border is on it in any engine."""
     c = F.col
-    score = changes.confidence(c("l_quantity") / 50, c("l_discount") * 10, c("l_tax") * 10, F.lit(1.0))
-    border = F.lit(False)
-    for b in (0.85, 0.6, 0.3):
-        border = border | (F.abs(score - b) <= 1e-9)
-    return table(spark, d, "lineitem").where(~border).select("l_orderkey", "l_linenumber", F.round(score, 4).alias("score"), changes.band(score).alias("band"))
+    rows = table(spark, d, "lineitem").withColumn("score", F.round(changes.confidence(c("l_quantity") / 50, c("l_discount") * 10, c("l_tax") * 10, F.lit(1.0)), 9))
+    return rows.select("l_orderkey", "l_linenumber", "score", changes.band(c("score")).alias("band"))
 
 
 _UNIT = "(SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
@@ -235,53 +232,66 @@ def collapse_replacements(spark, d):
     return changes.collapse(_event_clauses(spark, d)).select("pair_id", "ord", "match_type", "similarity")
 
 
-@query(f"WITH e AS (SELECT user_id::VARCHAR AS pair_id, {_KINDS} AS k FROM events) SELECT pair_id, count(*) FILTER (k = 'ADDED') AS added, count(*) FILTER (k = 'DELETED') AS deleted, count(*) FILTER (k = 'MODIFIED') AS modified FROM e GROUP BY pair_id")
+@query(f"WITH e AS (SELECT user_id::VARCHAR AS pair_id, {_KINDS} AS k FROM events) SELECT pair_id, count(*) FILTER (k = 'UNCHANGED') AS unchanged, count(*) FILTER (k = 'MODIFIED') AS modified, count(*) FILTER (k = 'ADDED') AS added, count(*) FILTER (k = 'DELETED') AS deleted FROM e GROUP BY pair_id")
 def match_histogram(spark, d):
-    of = lambda k: F.count_if(F.col("match_type") == k).alias(k.lower())
-    return _event_clauses(spark, d).groupBy("pair_id").agg(of("ADDED"), of("DELETED"), of("MODIFIED"))
+    return report.match_counters(_event_clauses(spark, d))
 
 
-@query("SELECT event_type, arg_max(event_id, struct_pack(v := value, i := -event_id)) AS best_event, max(value) AS best_value FROM events GROUP BY event_type")
+@query("SELECT user_id::VARCHAR AS pair_id, arg_max(event_id, struct_pack(v := value, i := -event_id)) AS best_event, max(value) AS best_value FROM events GROUP BY user_id")
 def best_record(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("best_event"), F.max("value").alias("best_value"))
+    """A user's events as the records of one clause, in order."""
+    record = F.struct("event_id", F.col("value").alias("confidence_score"))
+    rows = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("pair_id")).agg(F.array_sort(F.collect_list(record)).alias("records"))
+    return changes.best_record(rows).select("pair_id", F.col("best.event_id").alias("best_event"), F.col("best.confidence_score").alias("best_value"))
 
 
 @query(
-    "WITH v AS (SELECT l_returnflag AS metric, l_linestatus AS value, l_suppkey % 10 AS clause, l_orderkey % 50 AS pair_id FROM lineitem WHERE l_quantity > 48), m AS (SELECT pair_id, metric, value, list_sort(list(DISTINCT clause)) AS clauses FROM v GROUP BY ALL), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, metric ORDER BY len(clauses) DESC, value DESC) AS rn FROM m) SELECT a.pair_id, a.metric, a.value AS value_a, b.value AS value_b FROM r a JOIN r b USING (pair_id, metric) "
-    "WHERE a.rn < b.rn AND NOT list_has_any(a.clauses, b.clauses) QUALIFY row_number() OVER (PARTITION BY a.pair_id, a.metric ORDER BY a.rn, b.rn) = 1"
+    "WITH m AS (SELECT l_orderkey::VARCHAR AS pair_id, l_quantity::INT::VARCHAR AS value, list_sort(list(DISTINCT 'Điều ' || l_linenumber)) AS clauses FROM lineitem GROUP BY ALL), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY len(clauses) DESC, value DESC) AS rn FROM m) SELECT a.pair_id, 'uptime_percent' AS metric, a.value AS value_a, b.value AS value_b FROM r a JOIN r b USING (pair_id) "
+    "WHERE a.rn < b.rn AND NOT list_has_any(a.clauses, b.clauses) QUALIFY row_number() OVER (PARTITION BY a.pair_id ORDER BY a.rn, b.rn) = 1"
 )
 def metric_conflicts(spark, d):
-    """The conflict join on numbers that lineitem states: one clause of the text a row."""
-    c = F.col
-    v = table(spark, d, "lineitem").where("l_quantity > 48").select(c("l_returnflag").alias("metric"), c("l_linestatus").alias("value"), (c("l_suppkey") % 10).alias("clause"), (c("l_orderkey") % 50).alias("pair_id"))
-    m = v.groupBy("pair_id", "metric", "value").agg(F.array_sort(F.collect_set("clause")).alias("clauses"))
-    w = Window.partitionBy("pair_id", "metric").orderBy(F.size("clauses").desc(), c("value").desc())
-    r = m.withColumn("rn", F.row_number().over(w))
-    side = lambda n: r.select("pair_id", "metric", *[c(x).alias(f"{x}_{n}") for x in ("rn", "value", "clauses")])
-    pairs = side("a").join(side("b"), ["pair_id", "metric"]).where("rn_a < rn_b AND NOT arrays_overlap(clauses_a, clauses_b)")
-    first = F.row_number().over(Window.partitionBy("pair_id", "metric").orderBy("rn_a", "rn_b"))
-    return pairs.withColumn("n", first).where("n = 1").select("pair_id", "metric", "value_a", "value_b")
+    """Orders as comparisons whose lines are clauses, each of which states its quantity as an uptime."""
+    c, text = F.col, F.concat(F.lit("Cam kết uptime "), F.col("l_quantity").cast("int").cast("string"), F.lit(" % mỗi tháng"))
+    clauses = table(spark, d, "lineitem").select(
+        c("l_orderkey").cast("string").alias("pair_id"), F.concat(F.lit("Điều "), c("l_linenumber").cast("string")).alias("clause_id"), F.lit("MODIFIED").alias("clause_change_kind"), text.alias("text_b")
+    )
+    return anomalies.metric_conflicts(clauses).select("pair_id", "metric", "value_a", "value_b")
 
 
-@query("SELECT c_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey")
+@query(
+    "WITH c AS (SELECT (c_custkey // 50)::VARCHAR AS pair_id, c_custkey AS ord, c_name AS clause_id, c_acctbal < 0 AS lost, c_acctbal < 5000 AS names FROM customer), "
+    "a AS (SELECT pair_id, list(clause_id ORDER BY ord, clause_id)[1:2] AS anchors FROM c WHERE lost GROUP BY pair_id), "
+    "b AS (SELECT pair_id, list(clause_id ORDER BY ord, clause_id)[1:3] AS refs FROM c WHERE names AND NOT lost GROUP BY pair_id) "
+    "SELECT pair_id, array_to_string(anchors, ' ') AS anchors, array_to_string(refs, ' ') AS refs FROM a JOIN b USING (pair_id)"
+)
 def anti_anchor_refs(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers as clauses, fifty a comparison: those in debt lost their SLA, others below 5000 still name one."""
+    c, debt = F.col, F.col("c_acctbal") < 0
+    clauses = table(spark, d, "customer").select(
+        F.floor(c("c_custkey") / 50).cast("string").alias("pair_id"), c("c_custkey").alias("ord"), c("c_name").alias("clause_id"), F.when(debt, F.lit("REPLACED")).otherwise(F.lit("MODIFIED")).alias("clause_change_kind"),
+        F.when(debt, F.lit("SLA: 4 giờ")).otherwise(F.lit("x")).alias("text_a"), F.when(~debt & (c("c_acctbal") < 5000), F.lit("Theo SLA.")).otherwise(F.lit("y")).alias("text_b"),
+    )
+    return anomalies.dangling_sla(clauses).select("pair_id", F.array_join("anchors", " ").alias("anchors"), F.array_join("references", " ").alias("refs"))
 
 
-@query("WITH k AS (SELECT doc_id, source, substr(sha256('m||' || text), 1, 16) AS cache_key FROM documents) SELECT doc_id, cache_key FROM k WHERE cache_key NOT IN (SELECT cache_key FROM k WHERE source = 'src0')")
+@query(f"WITH k AS (SELECT source, substr(sha256('hashing-8||{retrieval.DOCUMENT_INSTRUCTION}: ' || text), 1, 16) AS cache_key FROM documents) SELECT DISTINCT cache_key FROM k WHERE cache_key NOT IN (SELECT cache_key FROM k WHERE source = 'src0')")
 def cache_miss_anti(spark, d):
-    k = table(spark, d, "documents").select("doc_id", "source", ids.cache_key(F.lit("m"), F.col("text")).alias("cache_key"))
-    return k.join(k.where("source = 'src0'").select("cache_key"), "cache_key", "left_anti").select("doc_id", "cache_key")
+    """What is embedded anew when one source's vectors are cached already."""
+    docs, embedder = table(spark, d, "documents").select("source", "text"), retrieval.HashingEmbedder(8)
+    cache = retrieval.embed(docs.where("source = 'src0'"), embedder, text="text")[1]
+    return retrieval.embed(docs, embedder, text="text", cache=cache)[1].select("cache_key")
 
 
 @query(
-    "WITH a AS (SELECT s_nationkey AS k, count(*) AS n_a FROM supplier WHERE s_acctbal > 5000 GROUP BY 1), b AS (SELECT c_nationkey AS k, count(*) AS n_b FROM customer WHERE c_acctbal > 9500 GROUP BY 1) SELECT coalesce(a.k, b.k) AS role, n_a, n_b, CASE WHEN n_b IS NULL THEN 'DELETED' WHEN n_a IS NULL THEN 'ADDED' ELSE 'MODIFIED' END AS kind FROM a FULL JOIN b ON a.k = b.k"
+    "WITH b AS (SELECT o_custkey AS k, count(*) AS n_b FROM orders GROUP BY 1) SELECT coalesce(c_custkey, k) AS role, n_b, CASE WHEN n_b IS NULL THEN 'DELETED' WHEN c_custkey IS NULL THEN 'ADDED' ELSE 'MODIFIED' END AS kind FROM customer FULL JOIN b ON c_custkey = k"
 )
 def full_outer_roles(spark, d):
-    a = table(spark, d, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("role")).agg(F.count(F.lit(1)).alias("n_a"))
-    b = table(spark, d, "customer").where("c_acctbal > 9500").groupBy(F.col("c_nationkey").alias("role")).agg(F.count(F.lit(1)).alias("n_b"))
-    return a.join(b, "role", "full_outer").withColumn("kind", F.when(F.col("n_b").isNull(), F.lit("DELETED")).when(F.col("n_a").isNull(), F.lit("ADDED")).otherwise(F.lit("MODIFIED")))
+    """The join of roles by a full outer join: customers on one side, those who ordered on the other."""
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("role"), F.lit(True).alias("known"))
+    b = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("role")).agg(F.count(F.lit(1)).alias("n_b"))
+    kind = F.when(F.col("n_b").isNull(), F.lit("DELETED")).when(F.col("known").isNull(), F.lit("ADDED")).otherwise(F.lit("MODIFIED"))
+    return a.join(b, "role", "full_outer").select("role", "n_b", kind.alias("kind"))
 
 
 @query("SELECT 'chunk' AS candidate_type, doc_id AS id, length(text) AS n FROM documents UNION ALL SELECT 'clause', item_id, length(text) FROM benchmark UNION ALL SELECT 'change', conv_id * 1000 + turn, length(text) FROM conversations")
@@ -389,14 +399,17 @@ def stage_share(spark, d):
 
 @query("SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k FROM events GROUP BY 1")
 def events_json(spark, d):
-    found = F.get_json_object("props", "$.k")
+    """JSON objects found in what surrounds them, as models answer."""
+    answer = F.concat(F.lit("Answer:\n```json\n"), F.col("props"), F.lit("\n```"))
+    found = F.get_json_object(ids.json_object(answer), "$.k")
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(found).alias("with_k"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def hour_windows(spark, d):
-    e = table(spark, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return e.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+    """The streaming job's plan over a finished table, where the watermark holds nothing back."""
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.progress_counts(events).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(
@@ -423,6 +436,44 @@ def change_records(spark, d):
     return changes.change_records(pairs).select("pair_id", "ord", "rec_ord", "record.*")
 
 
+@query()
+def compared_statistics(spark, d):
+    """The whole comparison of each document with its version: counters of clauses and atomic changes."""
+    pairs = compare.version_pairs(table(spark, d, "documents"))
+    side = lambda n: paragraphs.text_paragraphs(pairs.select(F.col(f"doc_{n}").alias("doc_id"), F.col(f"text_{n}").alias("text")).distinct()).join(
+        pairs.select("pair_id", F.col(f"doc_{n}").cast("string").alias("doc_id")), "doc_id"
+    )
+    return compare.compare_versions(_named(side("a")), _named(side("b")))["statistics"]
+
+
+def _named(rows):
+    """Each pair has its own copy of a document that several pairs compare."""
+    return rows.withColumn("doc_id", F.concat_ws("/", "pair_id", "doc_id"))
+
+
+@query(
+    "WITH e AS (SELECT user_id::VARCHAR AS pair_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events WHERE event_type <> 'view') SELECT pair_id, event_id AS ord, rank FROM e WHERE rank <= 5"
+)
+def top_substantive(spark, d):
+    """A user's events as clauses of one record each; views count as formal."""
+    level = F.when(F.col("event_type") == "view", F.lit("formal")).otherwise(F.lit("substantive"))
+    rows = table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("pair_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("clause_id"), F.lit("").alias("summary"), F.array(F.struct(level.alias("impact_level"), F.col("value").alias("confidence_score"))).alias("records")
+    )
+    return enrich.top_substantive(rows).select("pair_id", "ord", "rank")
+
+
+@query(
+    "WITH c AS (SELECT o_custkey, count(*) AS gt, (sum(o_totalprice) / 100000)::BIGINT AS pred, avg((o_orderstatus = 'F')::INT) AS recall FROM orders GROUP BY 1), t AS (SELECT sum(gt) AS g, sum(pred) AS p, round(avg(recall), 4) AS a FROM c), m AS (SELECT g, p, least(g, p, a * g) AS m FROM t) "
+    "SELECT round(m / p, 4) AS precision_est, round(m / g, 4) AS recall_est, round(2 * (m / p) * (m / g) / (m / p + m / g), 4) AS f1_est, g::BIGINT AS total_gt, p::BIGINT AS total_pred FROM m"
+)
+def estimated_prf(spark, d):
+    """Customers as cases."""
+    c = F.col
+    cases = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("gt_changes"), F.round(F.sum("o_totalprice") / 100000).cast("bigint").alias("predicted_atomic_changes"), F.avg((c("o_orderstatus") == "F").cast("int")).alias("clause_recall"))
+    return evaluate.estimated_prf(cases)
+
+
 @query()
 def greedy_match(spark, d):
     """Cases are customers: parts that they ordered, matched with the suppliers of these parts by the largest quantity."""

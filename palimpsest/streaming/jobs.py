@@ -1,4 +1,4 @@
-"""Incremental runs of the batch operators. These are extensions; the reference has progress events only."""
+"""Incremental runs of the batch operators."""
 
 from __future__ import annotations
 
