@@ -52,7 +52,7 @@ def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.compare_with_edits(table(spark, sf_dir, "documents"))
+    return sketch.compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,16 +132,17 @@ def _upto(value: Column, bounds: list[int]) -> Column:
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
-    """Sketches each text, its edited text (the second half replaced by the beginning of the next document) and compares it with both.
+    """docs, but for the text, with the sketches of each text and of its edited text (the second half replaced by the beginning of the next
+    document), and how alike it is to both.
 
     Documents are in descending order of doc_id (an integer), nulls last, rows of one id in order of a hash of the text, then of the text; the first follows the
     last. They are dealt into buckets by quantiles of the id; an id, or null, that fills several buckets by itself is split by the hash.
     Each bucket is sorted on its own and borrows the first document of the next one.
     """
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_edges = 2 * tasks
+    n_edges = 8 * tasks
     found, rows, nulls = docs.agg(F.percentile_approx("doc_id", [i / n_edges for i in range(1, n_edges)], 10 * n_edges), F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
-    work = Carried(docs, MADE, id=F.col("doc_id").cast("bigint"), text=F.col("text"), hash=F.xxhash64("text"))
+    work = Carried(docs, [*MADE, "text"], id=F.col("doc_id").cast("bigint"), text=F.col("text"), hash=F.xxhash64("text"))
     if not rows:
         return work.back(work.rows.mapInArrow(_edited, work.schema(**MADE)), *MADE)
     listed = [int(x) for x in found or []]
