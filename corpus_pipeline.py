@@ -67,7 +67,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", pack),
 ]
 
-#: Resampling, components of estimated candidates and tokenisation have no SQL; tests hold the pipeline against brute force.
+#: Resampling, components of estimated candidates and tokenisation have no SQL; tests check the stages' rows and columns, and each operator against brute force.
 ORACLE_SQL = None
 
 
