@@ -6,10 +6,15 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+#: Paths of the tables cut inside the innermost `scratch`.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +38,9 @@ def cut(df: DataFrame) -> DataFrame:
     either. The shuffle files of the write go at once, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    passing = _passing.get()
+    if passing is not None:
+        passing.append(path)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -40,3 +48,27 @@ def cut(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that `cut` writes inside go at the end, so that a step's disk is its own. What is needed later is written by the function
+    that this yields: it stays, or goes with the scratch around this one."""
+    around, paths = _passing.get(), []
+    token = _passing.set(paths)
+
+    def keep(df: DataFrame) -> DataFrame:
+        outside = _passing.set(around)
+        try:
+            return cut(df)
+        finally:
+            _passing.reset(outside)
+
+    try:
+        yield keep
+    finally:
+        _passing.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
