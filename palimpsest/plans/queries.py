@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import ids
@@ -115,7 +115,12 @@ def folded_form(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.md5(T.folded(F.col("text"))).alias("form_md5"))
 
 
-@query()
+@query(
+    f"WITH l AS ({LINES}), o AS (SELECT doc_id, pos, regexp_replace(trim(regexp_replace(replace(replace(line, '–', '-'), '<br>', ' '), '\\s+', ' ', 'g')), '^[-*•]+\\s*', '') AS own FROM l), "
+    "j AS (SELECT doc_id, regexp_replace(lower(string_agg(own, ' ' ORDER BY pos)), '\\s+', ' ', 'g') AS t FROM o GROUP BY doc_id) "
+    "SELECT doc_id, md5(trim(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(t, ''), ' ?([,.;:])', '\\1', 'g'), '([,.;:])', '\\1 ', 'g'), ',  ', ', '), '.  ', '. '), ';  ', '; '), ':  ', ': '))) AS form_md5 "
+    "FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN j USING (doc_id)"
+)
 def semantic_norm(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.semantic_form(F.col("text"))).alias("form_md5"))
 
@@ -491,3 +496,106 @@ def orphan_refs(spark, d):
 
 
 __all__ = ["ORACLE_SQL", "QUERIES", "Settings", "jobs"]
+
+
+TOKENS = "list_filter(regexp_split_to_array(replace(strip_accents(lower(text)), 'đ', 'd'), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')"
+
+
+@query(
+    f"WITH t AS (SELECT conv_id, turn, {TOKENS} AS w FROM conversations) SELECT conv_id, turn, md5(array_to_string(w, ' ')) AS evaluation_md5, "
+    "md5(array_to_string(list_filter(w, lambda x: x NOT IN ('i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x')), ' ')) AS anchor_md5 FROM t"
+)
+def comparison_forms(spark, d):
+    """The forms in which evaluation and anchors compare texts."""
+    turns = table(spark, d, "conversations")
+    return turns.select("conv_id", "turn", F.md5(T.evaluation_form(F.col("text"))).alias("evaluation_md5"), F.md5(T.anchor_form(F.col("text"))).alias("anchor_md5"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN 'dieu ' || c_custkey ELSE 'phu luc ' || c_nationkey END AS anchor FROM customer")
+def clause_anchors(spark, d):
+    """Customers as clauses: articles, annexes, and some that are neither."""
+    clause = F.expr("concat(CASE c_custkey % 3 WHEN 0 THEN 'Khoản' WHEN 1 THEN 'Điều  ' || c_custkey ELSE 'PHỤ LỤC ' || c_nationkey END, ': ', c_name)")
+    return table(spark, d, "customer").select("c_custkey", T.clause_anchor(T.anchor_form(clause)).alias("anchor"))
+
+
+SANITIZED = "trim(substr(regexp_replace(trim(regexp_replace(%s, '\\s+', ' ', 'g')), '^[-*\\d.)\\s]+', ''), 1, %d))"
+
+
+@query(
+    f"SELECT doc_id, {SANITIZED % ('text', 320)} AS point, "
+    f"least(5, len(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: {SANITIZED % ('x', 220)}), lambda x: x <> '')))) AS n_points FROM documents"
+)
+def sanitized_points(spark, d):
+    c = F.col("text")
+    return table(spark, d, "documents").select("doc_id", T.sanitize(c).alias("point"), F.size(T.sanitize_list(F.split(c, "\n"), 5)).cast("bigint").alias("n_points"))
+
+
+@query(
+    "SELECT doc_id, doc_id::VARCHAR || '__' || source || '_' || lang || '__fp' || substr(sha1(lower(" + SQUEEZED + ")), 1, 12) || CASE WHEN doc_id % 3 > 0 THEN '_s' || (doc_id % 3) ELSE '' END AS chunk_id, "
+    "doc_id::VARCHAR || '__' || source || '_' || lang || '__idx' || doc_id || '_sub' || (doc_id % 3) AS legacy_id, substr(sha256('hashing||' || text), 1, 16) AS cache_key, "
+    "md5('event: chunk' || chr(10) || 'data: ' || text || chr(10) || chr(10)) AS frame_md5 FROM documents"
+)
+def chunk_keys(spark, d):
+    """Ids of chunks, old and new, keys of their cached vectors, and the frames that carry them to a listener."""
+    docs = table(spark, d, "documents")
+    name, crumb, sub = F.col("doc_id").cast("string"), F.concat_ws(" > ", "source", "lang"), F.col("doc_id") % 3
+    return docs.select(
+        "doc_id", ids.chunk_id(name, crumb, F.col("text"), sub).alias("chunk_id"), ids.legacy_chunk_id(name, crumb, F.col("doc_id"), sub).alias("legacy_id"),
+        ids.cache_key(F.lit("hashing"), F.col("text")).alias("cache_key"), F.md5(ids.sse_frame(F.lit("chunk"), F.col("text"))).alias("frame_md5"),
+    )
+
+
+@query("SELECT p_partkey, concat_ws(' | ', p_name, p_brand, p_type) AS row_text FROM part")
+def merged_row(spark, d):
+    """Table rows with a merged cell, an empty one and one with white space around it."""
+    cells = F.array("p_name", "p_brand", "p_brand", F.lit("  "), F.concat(F.lit(" "), F.col("p_type"), F.lit("\t")))
+    return table(spark, d, "part").select("p_partkey", T.merged_cells(cells).alias("row_text"))
+
+
+def _terms(hours: str, uptime: str, days: str) -> Column:
+    """What a clause of a service contract says."""
+    return F.expr(f"concat('SLA phản hồi trong ', int({hours}), ' giờ, uptime ', int({uptime}), '%; bàn giao trong ', int({days}), ' ngày tại Hà Nội')")
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_quantity::INT || ' giờ|' || l_linenumber::INT || ' ngày' AS times, 'hà nội' AS locations, (l_quantity::INT)::VARCHAR AS sla, (l_partkey % 100)::INT::VARCHAR AS uptime, "
+    "true AS has_number, false AS generic FROM lineitem"
+)
+def stated_facts(spark, d):
+    """Order lines as clauses: times, places and metrics that they state."""
+    clauses = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", _terms("l_quantity", "l_partkey % 100", "l_linenumber").alias("t"))
+    c = F.col("t")
+    rows = clauses.withColumn("m", T.metrics(c))
+    one = lambda name: F.array_join(F.col("m")[name], "|")
+    return rows.select(
+        "l_orderkey", "l_linenumber", F.array_join(T.times(c), "|").alias("times"), F.array_join(T.locations(c), "|").alias("locations"),
+        one("sla_response_hours").alias("sla"), one("uptime_percent").alias("uptime"), T.has_number(c).alias("has_number"), T.is_generic_summary(c).alias("generic"),
+    )
+
+
+@query(
+    "WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity::INT AS q, (l_linenumber * 4)::INT AS q2, (l_partkey % 4)::INT AS p, (l_suppkey % 4)::INT AS p2 FROM lineitem) "
+    "SELECT l_orderkey, l_linenumber, CASE WHEN q = q2 AND p = p2 THEN 'none' ELSE 'substantive' END AS impact, CASE WHEN q <> q2 THEN 'Số liệu|Thời hạn' WHEN p <> p2 THEN 'Số liệu' ELSE '' END AS tags, "
+    "concat_ws('|', CASE WHEN q <> q2 THEN 'sla_response_hours:' || q || '>' || q2 END, CASE WHEN p <> p2 THEN 'uptime_percent:' || p || '>' || p2 END) AS deltas FROM x"
+)
+def stated_changes(spark, d):
+    """Order lines as clauses in two versions: what changed, how it is tagged and how metrics moved."""
+    both = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", _terms("l_quantity", "l_partkey % 4", "1").alias("old"), _terms("l_linenumber * 4", "l_suppkey % 4", "1").alias("new"))
+    old, new = F.col("old"), F.col("new")
+    told = F.transform(T.metric_deltas(old, new), lambda x: F.concat(x["metric"], F.lit(":"), x["before"], F.lit(">"), x["after"]))
+    rows = both.withColumn("impact", changes.impact(old, new)).withColumn("tags", F.array_join(changes.change_tags(F.col("impact"), F.lit("Điều 1"), old, new), "|"))
+    return rows.select("l_orderkey", "l_linenumber", "impact", "tags", F.array_join(told, "|").alias("deltas"))
+
+
+@query(
+    "WITH x AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'REPLACED' WHEN 'O' THEN 'MODIFIED' ELSE 'ADDED' END AS kind, o_custkey AS k, o_orderkey % 100 / 100.0::DOUBLE AS ratio FROM orders) "
+    "SELECT o_orderkey, CASE WHEN (k % 5 <> 0 AND k % 2 <> 0 AND k % 3 <> 0 AND kind <> 'ADDED' AND ((kind = 'REPLACED' AND ratio < 0.35) OR ratio >= 0.55)) OR k % 97 = 0 OR k % 10 < 3 THEN 'REVIEW_NEEDED' ELSE 'AUTO' END AS status FROM x"
+)
+def review_states(spark, d):
+    """Orders as records: which of them a person should look at."""
+    k = F.col("o_custkey")
+    kind = F.when(F.col("o_orderstatus") == "F", F.lit("REPLACED")).when(F.col("o_orderstatus") == "O", F.lit("MODIFIED")).otherwise(F.lit("ADDED"))
+    level = F.when(k % 5 == 0, F.lit("formal")).otherwise(F.lit("substantive"))
+    tags = F.array(F.when(k % 3 == 0, F.lit("Số liệu")).otherwise(F.lit("Chính tả")))
+    score = F.when(k % 10 < 3, F.lit(0.5)).otherwise(F.lit(0.6))
+    return table(spark, d, "orders").select("o_orderkey", changes.review_status(kind, level, tags, k % 2 == 0, F.col("o_orderkey") % 100 / F.lit(100.0), k % 97 == 0, score).alias("status"))
