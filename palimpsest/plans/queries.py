@@ -344,15 +344,18 @@ def session_nested(spark, d):
     return rows.select("session_id", F.size("messages").cast("bigint").alias("n_messages"), F.array_join(F.transform("messages", lambda x: F.concat(x["message_id"].cast("string"), F.lit(":"), x["role"])), ",").alias("messages"))
 
 
+def _session_log(events: DataFrame, session: Column) -> DataFrame:
+    """Events as a log of sessions: purchases complete them, errors are failures."""
+    kind = F.when(F.col("event_type") == "purchase", F.lit("completed")).when(F.col("event_type") == "error", F.lit("failed")).otherwise(F.lit("step"))
+    return events.select(session.cast("string").alias("session_id"), F.col("event_id").alias("seq"), kind.alias("event"), F.col("event_type").alias("step"), F.lit(None).cast("string").alias("detail"), F.col("ts").cast("timestamp").alias("ts"))
+
+
 @query(
     "WITH e AS (SELECT user_id::VARCHAR AS session_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'step' END AS event, event_type AS step FROM events) SELECT session_id, CASE WHEN count(*) FILTER (event = 'completed') > 0 THEN 'completed' WHEN count(*) FILTER (event = 'failed') > 0 THEN 'failed' ELSE 'processing' END AS status, "
     "CASE WHEN count(*) FILTER (event = 'completed') > 0 THEN 'completed' ELSE arg_max(step, seq) FILTER (event = 'step') END AS last_step FROM e GROUP BY session_id"
 )
 def session_state_latest(spark, d):
-    e = table(spark, d, "events")
-    kind = F.when(F.col("event_type") == "purchase", F.lit("completed")).when(F.col("event_type") == "error", F.lit("failed")).otherwise(F.lit("step"))
-    log = e.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), kind.alias("event"), F.col("event_type").alias("step"), F.lit(None).cast("string").alias("detail"), F.col("ts").cast("timestamp").alias("ts"))
-    return sessions.state(log).select("session_id", "status", "last_step")
+    return sessions.state(_session_log(table(spark, d, "events"), F.col("user_id"))).select("session_id", "status", "last_step")
 
 
 @query("WITH c AS (SELECT DISTINCT 'run_' || (n_nationkey * 7) AS collection, n_nationkey * 7 AS k FROM nation) SELECT collection FROM c QUALIFY row_number() OVER (ORDER BY k DESC) > 5")
@@ -599,3 +602,66 @@ def review_states(spark, d):
     tags = F.array(F.when(k % 3 == 0, F.lit("Số liệu")).otherwise(F.lit("Chính tả")))
     score = F.when(k % 10 < 3, F.lit(0.5)).otherwise(F.lit(0.6))
     return table(spark, d, "orders").select("o_orderkey", changes.review_status(kind, level, tags, k % 2 == 0, F.col("o_orderkey") % 100 / F.lit(100.0), k % 97 == 0, score).alias("status"))
+
+
+@query(
+    "SELECT (event_id // 3)::VARCHAR AS session_id, max(event_id) + 1 AS seq, 'failed' AS event, 'recovery' AS step, 'startup_recovery_interrupted' AS detail FROM events "
+    "GROUP BY event_id // 3 HAVING count(*) FILTER (event_type IN ('purchase', 'error')) = 0"
+)
+def session_recovery(spark, d):
+    """Three events a session: those that neither completed nor failed were interrupted."""
+    log = _session_log(table(spark, d, "events"), F.expr("event_id div 3"))
+    return sessions.recovered(log).select("session_id", "seq", "event", "step", "detail")
+
+
+@query(
+    "SELECT o_orderkey, concat_ws(' · ', o_orderpriority, CASE WHEN o_custkey % 7 = 0 THEN NULL WHEN o_custkey % 3 = 0 THEN 'p.' || (o_custkey % 7) ELSE 'p.' || (o_custkey % 7) || '-' || (o_custkey % 7 + o_custkey % 3) END, "
+    "CASE WHEN o_orderkey % 2 = 0 THEN 'chunk_' || o_orderkey END) AS source FROM orders"
+)
+def source_lines(spark, d):
+    """Where a citation's text comes from: file, pages, chunk, each of which can be unknown."""
+    page = F.nullif(F.col("o_custkey") % 7, F.lit(0))
+    chunk = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("chunk_"), F.col("o_orderkey"))).otherwise(F.lit(""))
+    return table(spark, d, "orders").select("o_orderkey", report.source_line(F.col("o_orderpriority"), page, page + F.col("o_custkey") % 3, chunk).alias("source"))
+
+
+@query(
+    "SELECT l_orderkey AS pair_id, count(*) FILTER (l_suppkey % 4 = 0) AS unchanged, count(*) FILTER (l_suppkey % 4 = 1) AS modified, count(*) FILTER (l_suppkey % 4 = 2) AS added, count(*) FILTER (l_suppkey % 4 = 3) AS deleted FROM lineitem GROUP BY 1"
+)
+def match_counts(spark, d):
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("UNCHANGED", "MODIFIED", "ADDED", "DELETED")]), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    return report.match_counters(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pair_id"), kind.alias("match_type")))
+
+
+@query(
+    f"WITH p AS (SELECT doc_id, substr({SQUEEZED}, 1, 150) AS x FROM documents) SELECT doc_id // 10 AS pair_id, doc_id AS ord, "
+    "concat_ws(chr(10), CASE WHEN doc_id % 4 <> 2 AND x <> '' THEN '- ' || x END, CASE WHEN doc_id % 4 <> 3 THEN '+ new' END) AS line FROM p WHERE doc_id % 4 <> 0"
+)
+def diff_listing(spark, d):
+    """Documents as aligned chunks: replaced, added, deleted, and unchanged ones, which aren't listed."""
+    n = F.col("doc_id") % 4
+    kind = F.when(n == 0, F.lit("UNCHANGED")).when(n == 1, F.lit("MODIFIED")).when(n == 2, F.lit("ADDED")).otherwise(F.lit("DELETED"))
+    pairs = table(spark, d, "documents").select(
+        F.expr("doc_id div 10").alias("pair_id"), F.col("doc_id").alias("ord"), kind.alias("match_type"), F.when(n != 2, F.col("text")).alias("text_a"), F.when(n != 3, F.lit("new")).alias("text_b")
+    )
+    return report.diff_lines(pairs)
+
+
+@query(
+    "SELECT conv_id::VARCHAR AS session_id, turn AS question_id, 'user' AS role, text AS content, 0 AS n_citations, NULL AS answer_type, 0 AS part FROM conversations UNION ALL "
+    "SELECT conv_id::VARCHAR, turn, 'assistant', upper(role), CASE WHEN turn % 2 = 0 THEN 1 ELSE 2 END, 'document_answer', 1 FROM conversations"
+)
+def answer_messages(spark, d):
+    """Turns as questions that were answered, with citations of which some are named twice."""
+    named = F.array(F.lit("a"), F.when(F.col("turn") % 2 == 0, F.lit("a")).otherwise(F.lit("b")))
+    answers = table(spark, d, "conversations").select(
+        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("question_id"), F.col("text").alias("question"), F.upper("role").alias("answer_markdown"), named.alias("citation_ids"), F.lit("document_answer").alias("answer_type")
+    )
+    return sessions.messages_of(answers).withColumn("n_citations", F.size("citation_ids")).drop("citation_ids")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Điều ' || o_custkey WHEN o_orderkey % 3 = 1 THEN o_orderpriority ELSE 'N/A' END AS label FROM orders")
+def clause_labels(spark, d):
+    article = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("  Điều   "), F.col("o_custkey"))).otherwise(F.lit(" "))
+    title = F.when(F.col("o_orderkey") % 3 == 1, F.concat(F.col("o_orderpriority"), F.lit(" ")))
+    return table(spark, d, "orders").select("o_orderkey", ids.clause_label(article, title).alias("label"))
