@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bloom_cascade, importance, line_templates, minhash, nbest, packing, quality_rules, sketch, substring_dedup, toxicity
+from palimpsest.llm import bloom_cascade, bpe, importance, line_templates, minhash, nbest, packing, quality_rules, sketch, substring_dedup, toxicity
 from palimpsest.llm.shared import table
 
 
@@ -64,6 +64,13 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("word_bpe_49k.json")
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path, keep_ids=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -75,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sketch": op8_sketch,
     "op9_minhash": op9_minhash,
     "op10_line_templates": op10_line_templates,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {

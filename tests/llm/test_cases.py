@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from palimpsest.llm import bloom_cascade, importance, line_templates, minhash, nbest, packing, quality_rules, sketch, substring_dedup, toxicity
+from palimpsest.llm import bloom_cascade, bpe, importance, line_templates, minhash, nbest, packing, quality_rules, sketch, substring_dedup, toxicity
 from palimpsest.llm.queries import vocabulary
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -35,10 +35,11 @@ def _sets(spark):
         "op8": sketch.compare_with_edits,
         "op9": minhash.near_duplicates,
         "op10": line_templates.drop_recurring_lines,
+        "op13": lambda d: bpe.encode(d, vocabulary("word_bpe_49k.json")),
     } | {name: (lambda d, f=f: f(spark, d, "/root/testdata/sf0.001")) for name, f in corpus_pipeline.STAGES[:-1]}
 
 
-OPERATORS = [*[f"op{i}" for i in range(1, 11)], "quality_classifier", "line_dedup", "near_dedup", "substring_dedup"]
+OPERATORS = [*[f"op{i}" for i in range(1, 11)], "op13", "quality_classifier", "line_dedup", "near_dedup", "substring_dedup"]
 
 
 @pytest.mark.parametrize("name", OPERATORS)
