@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bloom_cascade, bpe, importance, line_templates, minhash, nbest, packing, quality_rules, sketch, substring_dedup, toxicity
-from palimpsest.llm.shared import table
+from palimpsest.llm import bloom_cascade, bpe, importance, line_templates, minhash, nbest, packing, product_codes, quality_rules, sketch, substring_dedup, toxicity
+from palimpsest.llm.shared import cut, table
 
 
 def vocabulary(name: str) -> str:
@@ -64,6 +64,14 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op12_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = product_codes.vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    books = product_codes.fit(given)
+    rows = product_codes.with_group_error(cut(product_codes.encode(given, books)))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return rows.select("vec_id", code.alias("code"), "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("word_bpe_49k.json")
     rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path, keep_ids=True)
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sketch": op8_sketch,
     "op9_minhash": op9_minhash,
     "op10_line_templates": op10_line_templates,
+    "op12_product_codes": op12_product_codes,
     "op13_bpe": op13_bpe,
 }
 
@@ -91,4 +100,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_bloom_cascade": bloom_cascade.ORACLE_SQL,
     "op9_minhash": minhash.ORACLE_SQL,
     "op10_line_templates": line_templates.ORACLE_SQL,
+    "op12_product_codes": product_codes.ORACLE_SQL,
 }
