@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bloom_cascade, bpe, importance, line_templates, minhash, nbest, packing, product_codes, quality_rules, sketch, substring_dedup, toxicity
+from palimpsest.llm import bloom_cascade, bpe, importance, line_templates, minhash, nbest, packing, phrases, product_codes, quality_rules, sketch, substring_dedup, toxicity
 from palimpsest.llm.shared import cut, table
 
 
@@ -64,6 +64,11 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+    return rows.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op12_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = product_codes.vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     books = product_codes.fit(given)
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sketch": op8_sketch,
     "op9_minhash": op9_minhash,
     "op10_line_templates": op10_line_templates,
+    "op11_phrases": op11_phrases,
     "op12_product_codes": op12_product_codes,
     "op13_bpe": op13_bpe,
 }
@@ -100,5 +106,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_bloom_cascade": bloom_cascade.ORACLE_SQL,
     "op9_minhash": minhash.ORACLE_SQL,
     "op10_line_templates": line_templates.ORACLE_SQL,
+    "op11_phrases": phrases.ORACLE_SQL,
     "op12_product_codes": product_codes.ORACLE_SQL,
 }
