@@ -72,3 +72,13 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         for path in paths:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Removes a table that `cut` has written, once nothing reads it any more."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        if "/cut-" in path:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
