@@ -10,17 +10,24 @@ No piece crosses into a new run of spaces or holds a line end, so the lattice of
 word after them). Viterbi runs over many units of one length at once, forwards and backwards, which also tells by how much a unit's second
 best falls behind. The n best of a text differ from its best one in the n - 1 units of the smallest gaps only, and A-star runs on those.
 
-Cases: a null or empty text has one segmentation, without pieces, of score 0. A text with fewer than n segmentations has fewer rows.
+Units of more than LONG characters (text without spaces, encoded data) have a lattice of their own that is linear in memory: it keeps the best score and the best edge of each
+place, and makes the edges of a stretch when they are asked for. As the heuristic is exact, an entry of the queue is worth the best path that it can become, so the queue
+needs no more entries than there are paths still wanted, and paths share what they have in common through the path that they leave.
+
+Cases: a null or empty text has one segmentation, without pieces, of score 0. A text with fewer than n segmentations has fewer rows. Very long texts are encoded whole.
 Ties are broken by the order of the search, which is fixed. Repeated rows are encoded each. An empty table gives an empty result. Other columns pass through.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import itertools
+import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +40,8 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 from palimpsest.llm.shared import Carried, quoted
 from palimpsest.llm.wordhash import Spans
 
-N_BEST, UNKNOWN, KNOWN_UNITS, BITMAP = 3, 10.0, 500_000, 20
+N_BEST, UNKNOWN, KNOWN_UNITS, KNOWN_CHARS, BITMAP = 3, 10.0, 500_000, 8_000_000, 20
+LONG, STRETCH = 64, 1 << 15
 
 SPACE = "▁"
 _UNITS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -82,6 +90,8 @@ class PieceModel:
         self.bitmap[self.hashes >> np.uint64(64 - BITMAP)] = True
         self.units: dict[str, Best] = {}
         self.alternatives: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
+        self.chars = 0
+        self.lattice: Lattice | None = None
 
     @staticmethod
     def _spans(points: np.ndarray) -> Spans:
@@ -100,12 +110,19 @@ class PieceModel:
         grows too much, only the units of these texts stay."""
         listed = [_UNITS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         wanted = set().union(*listed)
-        if len(self.units) > KNOWN_UNITS:
+        new = wanted - self.units.keys()
+        self.chars += sum(map(len, new))
+        if len(self.units) > KNOWN_UNITS or self.chars > KNOWN_CHARS:
             self.units = {u: self.units[u] for u in wanted if u in self.units}
+            self.chars = sum(map(len, wanted))
             self.alternatives.clear()
         by_length: dict[int, list[str]] = {}
-        for u in wanted - self.units.keys():
-            by_length.setdefault(len(u), []).append(u)
+        for u in new:
+            if len(u) > LONG:
+                best, *second = self.search(u, 2)
+                self.units[u] = (best[1], best[0], best[0] - second[0][0] if second else np.inf)
+            else:
+                by_length.setdefault(len(u), []).append(u)
         for length, same in by_length.items():
             for at in range(0, len(same), max(1, 400_000 // length)):
                 self._viterbi(same[at : at + max(1, 400_000 // length)], length)
@@ -180,6 +197,10 @@ class PieceModel:
 
     def search(self, unit: str, n: int) -> list[tuple[float, bytes]]:
         """The unit's n best segmentations: score and ids. A-star from the end to the start."""
+        if len(unit) > LONG:
+            if self.lattice is None or self.lattice.unit != unit:
+                self.lattice = Lattice(self, unit)
+            return self.lattice.search(n)
         found = self.alternatives.get((unit, n))
         if found is not None:
             return found
@@ -238,6 +259,82 @@ class PieceModel:
         return out
 
 
+class Lattice:
+    """One long unit."""
+
+    def __init__(self, model: PieceModel, unit: str) -> None:
+        self.model, self.unit = model, unit
+        self.points = np.frombuffer(unit.encode("utf-32-le"), dtype="<u4")
+        n = len(unit)
+        self.stretch: tuple[int, list[list[tuple[int, int, float]]]] = (-1, [])
+        #: Of each place the score of the best path from the start, where its last edge begins, and that edge's piece.
+        self.forward = array("d", [0.0]) + array("d", [-math.inf]) * n
+        self.start, self.piece = array("q", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        forward = self.forward
+        for low in range(0, n, STRETCH):
+            for end, edges in enumerate(self._into(low // STRETCH), low + 1):
+                for start, piece, score in edges:
+                    total = forward[start] + score
+                    if total > forward[end]:
+                        forward[end], self.start[end], self.piece[end] = total, start, piece
+
+    def _into(self, number: int) -> list[list[tuple[int, int, float]]]:
+        """For each place of a stretch the edges that end there: start, piece (-1: none) and score, longest first."""
+        if self.stretch[0] == number:
+            return self.stretch[1]
+        model, low = self.model, number * STRETCH
+        high = min(low + STRETCH, len(self.points))
+        before = max(0, low - model.longest)
+        spans = model._spans(self.points[before:high])
+        out: list[list[tuple[int, int, float]]] = [[] for _ in range(high - low)]
+        for width in range(min(model.longest, high), 0, -1):
+            ends = np.arange(max(low, width - 1) + 1, high + 1)
+            hashes = spans.raw(ends - width - before, ends - before)
+            place = np.minimum(np.searchsorted(model.hashes, hashes), len(model.hashes) - 1)
+            hit = model.hashes[place] == hashes if len(model.hashes) else np.zeros(len(ends), dtype=bool)
+            for end, piece in zip(ends[hit].tolist(), model.by_hash[place[hit]].tolist(), strict=True):
+                out[end - low - 1].append((end - width, piece, float(model.scores[piece])))
+            if width == 1:
+                for end in ends[~hit].tolist():
+                    out[end - low - 1].append((end - 1, -1, model.unknown))
+        self.stretch = (number, out)
+        return out
+
+    def search(self, n: int) -> list[tuple[float, bytes]]:
+        """The n best paths: score and ids. A-star from the end to the start; what leaves a path waits in the queue, the best n there."""
+        forward, out, walked = self.forward, [], []
+        # worth, when it was met, the path that it leaves and after how many pieces, the piece it takes instead, from where on, and the score behind
+        queue: list[tuple] = [(-forward[-1], 0, -1, 0, None, len(self.points), 0.0)]
+        met = itertools.count(1)
+        while queue and len(out) < n:
+            _, _, path, depth, taken, at, behind = queue.pop(0)
+            ends, pieces_ = (walked[path][0][:depth], walked[path][1][:depth]) if path >= 0 else (array("q"), array("i"))
+            if taken is not None:
+                ends.append(taken[0])
+                pieces_.append(taken[1])
+            room = n - len(out) - 1
+            while at:
+                best = self.start[at]
+                for start, piece, score in self._into((at - 1) // STRETCH)[(at - 1) % STRETCH]:
+                    if start == best:
+                        ahead = score
+                    else:
+                        worth = forward[start] + score + behind
+                        if len(queue) < room or room and worth > -queue[-1][0]:
+                            bisect.insort(queue, (-worth, next(met), len(walked), len(ends), (at, piece), start, behind + score))
+                            del queue[room:]
+                ends.append(at)
+                pieces_.append(self.piece[at])
+                at, behind = best, behind + ahead
+            walked.append((ends, pieces_))
+            ids = np.array(pieces_[::-1], dtype="<i4")
+            if (ids < 0).any():
+                places = ends[::-1]
+                ids = np.array(list(itertools.chain(*[[i] if i >= 0 else self.model.spell(self.unit[e - 1]) for i, e in zip(ids.tolist(), places, strict=True)])), dtype="<i4")
+            out.append((behind, ids.tobytes()))
+        return out
+
+
 _models: dict[str, PieceModel] = {}
 
 
