@@ -279,8 +279,7 @@ def test_resampling(spark):
     bad = [" ".join("#" + w for w in words(rng, 100, 20)) for _ in range(50)]
     docs = frame(spark, [*good, *bad, None, ""])
     labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(150, 0)], "doc_id bigint, quality int")
-    # the production prior is meant for thousands of target texts; with so few, word pairs must repeat to be learnt
-    kept = {r.doc_id for r in importance.resample(docs, labels, prior=1.0).where("kept").collect()}
+    kept = {r.doc_id for r in importance.resample(docs, labels).where("kept").collect()}
     assert set(range(150)) <= kept and not kept & set(range(150, 200))
     assert importance.resample(docs, labels, k=10).where("kept").count() == 10
     assert importance.resample(docs, labels.limit(0)).where("kept").count() == 202
