@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import ids
 from palimpsest.functions import text as T
-from palimpsest.operators import align, anomalies, changes, chat, chunks, enrich, evaluate, report, retrieval, sessions
+from palimpsest.operators import align, anomalies, changes, chat, chunks, enrich, evaluate, report, retrieval, sessions, vector_index
 from palimpsest.plans import compare
 from palimpsest.rules import PRESETS, Settings
 from palimpsest.sources import paragraphs
@@ -163,6 +163,26 @@ def cross_retrieval(spark, d):
     return retrieval.nearest(x.where("label = 0 AND vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), x.where("label = 1").withColumnRenamed("vec_id", "item_id"), 3).select("query_id", "item_id", "distance")
 
 
+def _indexed(spark: SparkSession, d: str, exact: bool) -> DataFrame:
+    """Queries are the rows whose id is divisible by 20, against all rows."""
+    x = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    index = vector_index.build(x.withColumnRenamed("vec_id", "item_id"))
+    return vector_index.search(index, x.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), exact=exact)
+
+
+@query()
+def vector_index_topk(spark, d):
+    return _indexed(spark, d, exact=False)
+
+
+@query(
+    f"WITH x AS {_UNIT}, p AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(1 - list_cosine_similarity(q.e, i.e), 6) AS distance FROM x q, x i WHERE q.vec_id % 20 = 0 AND i.vec_id <> q.vec_id) "
+    "SELECT query_id, item_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS INT) AS rank FROM p QUALIFY rank <= 5"
+)
+def vector_index_exact(spark, d):
+    return _indexed(spark, d, exact=True)
+
+
 @query(
     f"WITH x AS {_UNIT}, p AS (SELECT q.vec_id AS query_id, q.label = i.label AS hit, round(1 - list_cosine_similarity(q.e, i.e), 6) AS distance, i.vec_id AS item_id FROM x q, x i WHERE q.vec_id % 20 = 0 AND i.vec_id <> q.vec_id), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rank FROM p QUALIFY rank <= 3), f AS (SELECT query_id, min(rank) FILTER (hit) AS rank FROM r GROUP BY query_id) "
