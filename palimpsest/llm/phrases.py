@@ -2,14 +2,14 @@
 
 Texts become blocks of one language each, of some megabytes. A block numbers its words in order, with a gap between pieces, so that p + 1 is the next word of the
 same piece or no word at all, and keeps an inverted list for each word: the positions where it stands, ascending. Lists of words that are not frequent over the whole corpus
-go. Lists of longer phrases come from shorter ones: the positions of a frequent phrase of k words, moved on by k, are merge-joined
-with the postings of frequent words, and what meets is split by word into the lists of phrases of k + 1 words; positions where the phrase's last k words aren't frequent
-themselves are left out before. A list's length is the phrase's exact frequency in the block, and the sum of lengths over blocks its frequency.
+go. Lists of longer phrases come from shorter ones: the positions of a frequent phrase of k words are merge-joined with the postings of the words that may come next,
+and what meets is split by word into the lists of phrases of k + 1 words. A word may come next only where it ends a frequent phrase of k words itself, so its postings
+are the lists of those phrases: a position meets the one after it. A list's length is the phrase's exact frequency in the block, and the sum of lengths over blocks its frequency.
 
-How blocks learn what is frequent: a block sends, by hash of the phrase, its phrases (a number each) with their list lengths, packed into one row for each bucket of hashes. A bucket's rows are
-added up in one task, which numbers the frequent phrases and sends every block the numbers of those it has. Buckets are as many as keep each
+How blocks learn what is frequent: a block sends, by hash, its words or phrases with their list lengths, packed into one row for each bucket of hashes. A bucket's rows are
+added up in one task, which numbers what is frequent and sends every block the numbers of what it has. Buckets are as many as keep each
 small, a phrase has one entry a block there however often it occurs, and nothing of it passes the driver. Blocks travel
-to meet their answers as packed binary columns.
+to meet their answers as packed binary columns: differences, byte by byte, which compress well. Tables of a step go when the next is written.
 
 A phrase's score is that of its worst cut: its first and last parts are phrases of the same tables, so their frequencies come from joins. Products are decimals of 38 digits.
 
@@ -20,6 +20,7 @@ and whole. Ties of score go to the shortest first part; equal ranks are ordered
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import cut, quoted
+from palimpsest.llm.shared import cut, drop, quoted
 from palimpsest.llm.wordhash import finish
 
 LEAST, LONGEST, MOST_LISTED = 100, 5, 2000
@@ -42,11 +43,27 @@ _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 
 _BLOCK = "block bigint, lang string, n bigint, words binary, sizes binary, ends binary, positions binary"
-_LISTS = "block bigint, lang string, ids binary, ends binary, positions binary"
+#: ids and lasts: of each list the phrase's number and that of its last word.
+_LISTS = "block bigint, ids binary, lasts binary, ends binary, positions binary"
+#: What a block sends: places or keys of what it has, and the lengths of their lists.
+_SENT = "bucket bigint, block bigint, lang string, words binary, sizes binary, keys binary, lengths binary"
+#: What a bucket answers: without block all that is frequent and how often, else what of it the block has, and its place there.
+_ANSWERS = "bucket bigint, block bigint, lang string, words binary, sizes binary, keys binary, counts binary"
 
 
-def _ints(x: np.ndarray) -> bytes:
-    return x.astype("<i4").tobytes()
+def _packed(x: np.ndarray) -> bytes:
+    """Differences of 64-bit integers, all first bytes, then all second ones, and so on."""
+    return np.diff(x.astype(np.int64), prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1))
+
+
+def _table(schema: str, rows: list[dict]) -> pa.Table:
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    columns = dict(x.split() for x in schema.split(", "))
+    return pa.table({name: pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in columns.items()})
 
 
 def _lists(codes: np.ndarray, positions: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +72,11 @@ def _lists(codes: np.ndarray, positions: np.ndarray, n: int) -> tuple[np.ndarray
     return np.cumsum(np.bincount(codes, minlength=n)), positions[order]
 
 
+def _strings(words: bytes, sizes: np.ndarray) -> pa.Array:
+    ends = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(words))
+
+
 def _block(texts: list[str], lang: str, number: int) -> dict | None:
     """Words and their lists. Texts are pieces of their own."""
     raw = _LOWER[np.frombuffer("\n".join(texts).encode(), dtype=np.uint8)]
@@ -71,20 +93,19 @@ def _block(texts: list[str], lang: str, number: int) -> dict | None:
     words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(raw[inside].tobytes())).dictionary_encode()
     stops, positions = _lists(words.indices.to_numpy(), np.arange(len(start)) + piece, len(words.dictionary))
     known = [w.encode() for w in words.dictionary.to_pylist()]
-    return {"block": number, "lang": lang, "n": len(start), "words": b"".join(known), "sizes": _ints(np.array(list(map(len, known)))), "ends": _ints(stops), "positions": _ints(positions)}
+    return {"block": number, "lang": lang, "n": len(start), "words": b"".join(known), "sizes": _packed(np.array(list(map(len, known)))), "ends": _packed(stops), "positions": _packed(positions)}
 
 
 def _blocks(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, waiting = TaskContext.get().partitionId() << 32, {}
-        names = [x.split()[0] for x in _BLOCK.split(", ")]
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
             nonlocal number
             found = _block(waiting.pop(lang)[1], lang, number)
             number += 1
             if found:
-                yield pa.RecordBatch.from_pydict({k: pa.array([found[k]], pa.int64() if k in ("block", "n") else pa.string() if k == "lang" else pa.binary()) for k in names})
+                yield from _table(_BLOCK, [found]).to_batches()
 
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
@@ -102,162 +123,183 @@ def _blocks(most: int):
     return run
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each word of a block: its place among the block's words and the length of its list."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            sizes, ends = np.frombuffer(r["sizes"], "<i4"), np.frombuffer(r["ends"], "<i4")
-            stops = np.r_[0, np.cumsum(sizes)].astype(np.int64)
-            words = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(stops), pa.py_buffer(r["words"])).cast(pa.string())
-            n = len(words)
-            columns = [pa.array(np.full(n, r["block"])), pa.array([r["lang"]] * n, pa.string()), words, pa.array(np.arange(n, dtype=np.int32)), pa.array(np.diff(ends, prepend=0).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "lang", "word", "place", "a"])
+def _dealt(row: dict, bucket: np.ndarray, buckets: int, columns: dict[str, np.ndarray], words: list[bytes] | None = None) -> list[dict]:
+    """One row for each bucket that has something of the block."""
+    order, out = np.argsort(bucket, kind="stable"), []
+    stops = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
+    for b, (low, high) in enumerate(zip([0, *stops], stops, strict=False)):
+        if high > low:
+            own = order[low:high]
+            sent = {"bucket": b, "block": row["block"], **{name: _packed(x[own]) for name, x in columns.items()}}
+            if words is not None:
+                listed = [words[i] for i in own.tolist()]
+                sent |= {"lang": row["lang"], "words": b"".join(listed), "sizes": _packed(np.array(list(map(len, listed))))}
+            out.append(sent)
+    return out
 
 
-def _flat(ends: np.ndarray) -> np.ndarray:
-    return np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+def _words_of(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                words = [w.encode() for w in _strings(r["words"], _unpacked(r["sizes"])).to_pylist()]
+                bucket = np.array([zlib.crc32(w) for w in words], dtype=np.int64) % buckets
+                lengths = np.diff(_unpacked(r["ends"]), prepend=0)
+                yield from _table(_SENT, _dealt(r, bucket, buckets, {"keys": np.arange(len(words)), "lengths": lengths}, words)).to_batches()
+
+    return run
 
 
-def _keep(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    """A block's lists of frequent words, under their numbers. right: place and id of each."""
-    if not left.num_rows or not right.num_rows:
-        return pa.table({k: pa.array([], t) for k, t in (("block", pa.int64()), ("lang", pa.string()), ("ids", pa.binary()), ("ends", pa.binary()), ("positions", pa.binary()))})
-    r = left.to_pylist()[0]
-    ends = np.frombuffer(r["ends"], "<i4")
-    id_of = np.full(len(ends), -1, dtype=np.int64)
-    id_of[right.column("place").to_numpy()] = right.column("id").to_numpy()
-    list_of = _flat(ends)
-    positions = np.frombuffer(r["positions"], "<i4")[id_of[list_of] >= 0]
-    keep = id_of >= 0
-    stops = np.cumsum(np.diff(ends, prepend=0)[keep])
-    return pa.table({"block": [r["block"]], "lang": pa.array([r["lang"]], pa.string()), "ids": pa.array([id_of[keep].astype("<i8").tobytes()], pa.binary()), "ends": pa.array([_ints(stops)], pa.binary()), "positions": pa.array([_ints(positions)], pa.binary())})
-
-
-def _by_position(ids: bytes, ends: bytes, positions: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all lists together, ascending, and the number of what stands there."""
-    at = np.frombuffer(positions, "<i4").astype(np.int64)
-    order = np.argsort(at, kind="stable")
-    return at[order], np.frombuffer(ids, "<i8")[_flat(np.frombuffer(ends, "<i4"))][order]
-
-
-def _extended(row: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Position, phrase of k words and next word, for each place where a phrase of k + 1 words may be frequent."""
-    postings, word = _by_position(row["word_ids"], row["word_ends"], row["word_positions"])
-    if k == 1:
-        at, phrase = postings, word
-    else:
-        at, phrase = _by_position(row["ids"], row["ends"], row["positions"])
-    tail = np.searchsorted(at, at + 1)
-    tail[tail == len(at)] = 0
-    able = at[tail] == at + 1  # its last k words are frequent too
-    at, phrase = at[able], phrase[able]
-    met = np.searchsorted(postings, at + k)
-    met[met == len(postings)] = 0
-    hit = postings[met] == at + k
-    return at[hit], phrase[hit], word[met[hit]]
-
-
-def _candidates(k: int, words: int, buckets: int):
-    """Of each block, for each bucket, its phrases of k + 1 words (phrase * words + word) and the lengths of their lists."""
+def _phrases_of(n_words: int, buckets: int):
+    """Phrases of one more word, as phrase * n_words + last word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                _, phrase, word = _extended(r, k)
-                keys, lengths = np.unique(phrase * words + word, return_counts=True)
+                _, phrase, word = _extended(r)
+                keys, lengths = np.unique(phrase * n_words + word, return_counts=True)
                 bucket = (finish(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                keys, lengths = keys[order], lengths[order]
-                stops = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
-                rows: dict[str, list] = {"bucket": [], "block": [], "keys": [], "lengths": []}
-                for b, (low, high) in enumerate(zip([0, *stops], stops, strict=False)):
-                    if high > low:
-                        for name, value in zip(rows, (b, r["block"], keys[low:high].astype("<i8").tobytes(), _ints(lengths[low:high])), strict=True):
-                            rows[name].append(value)
-                yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.binary() if n in ("keys", "lengths") else pa.int64()) for n, v in rows.items()})
+                yield from _table(_SENT, _dealt(r, bucket, buckets, {"keys": keys, "lengths": lengths})).to_batches()
 
     return run
 
 
-def _frequent(least: int):
-    """Of a bucket: a row with its frequent phrases (keys, frequencies), and one for each block with those that it has, by their places among them."""
+def _frequent_words(least: int):
+    def run(key: tuple, given: pa.Table) -> pa.Table:
+        rows, out = given.to_pylist(), []
+        number = 0
+        for lang in sorted({r["lang"] for r in rows}):
+            own = [r for r in rows if r["lang"] == lang]
+            parts = [_strings(r["words"], _unpacked(r["sizes"])) for r in own]
+            coded = pa.concat_arrays(parts).dictionary_encode()
+            codes = coded.indices.to_numpy()
+            sums = np.zeros(len(coded.dictionary), dtype=np.int64)
+            np.add.at(sums, codes, np.concatenate([_unpacked(r["lengths"]) for r in own]))
+            often = np.flatnonzero(sums >= least)
+            number_of = np.full(len(sums), -1, dtype=np.int64)
+            number_of[often] = number + np.arange(len(often))
+            number += len(often)
+            words = [w.encode() for w in coded.dictionary.take(pa.array(often)).to_pylist()]
+            if words:
+                out.append({"bucket": key[0].as_py(), "lang": lang, "words": b"".join(words), "sizes": _packed(np.array(list(map(len, words)))), "keys": _packed(number_of[often]), "counts": _packed(sums[often])})
+            at = 0
+            for r, part in zip(own, parts, strict=True):
+                numbers = number_of[codes[at : at + len(part)]]
+                at += len(part)
+                if (numbers >= 0).any():
+                    out.append({"bucket": key[0].as_py(), "block": r["block"], "keys": _packed(_unpacked(r["keys"])[numbers >= 0]), "counts": _packed(numbers[numbers >= 0])})
+        return _table(_ANSWERS, out)
+
+    return run
 
+
+def _frequent(least: int):
     def run(key: tuple, given: pa.Table) -> pa.Table:
         blocks = given.column("block").to_pylist()
-        lists = [np.frombuffer(x, "<i8") for x in given.column("keys").to_pylist()]
-        lengths = [np.frombuffer(x, "<i4") for x in given.column("lengths").to_pylist()]
-        every, counts = np.concatenate(lists), np.concatenate(lengths).astype(np.int64)
+        lists = [_unpacked(x) for x in given.column("keys").to_pylist()]
+        every, counts = np.concatenate(lists), np.concatenate([_unpacked(x) for x in given.column("lengths").to_pylist()])
         order = np.argsort(every, kind="stable")
         every = every[order]
         starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
         sums = np.add.reduceat(counts[order], starts)
-        often = sums >= least
-        keys = every[starts][often]
-        rows: dict[str, list] = {"bucket": [], "block": [], "keys": [], "counts": []}
+        keys, out = every[starts][sums >= least], []
         if len(keys):
-            out = [(None, keys, sums[often])]
+            out.append({"bucket": key[0].as_py(), "keys": _packed(keys), "counts": _packed(sums[sums >= least])})
             for block, own in zip(blocks, lists, strict=True):
                 place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 has = keys[place] == own
                 if has.any():
-                    out.append((block, own[has], place[has]))
-            for block, a, b in out:
-                for name, value in zip(rows, (key[0].as_py(), block, a.astype("<i8").tobytes(), b.astype("<i8").tobytes()), strict=True):
-                    rows[name].append(value)
-        return pa.table({n: pa.array(v, pa.binary() if n in ("keys", "counts") else pa.int64()) for n, v in rows.items()})
+                    out.append({"bucket": key[0].as_py(), "block": block, "keys": _packed(own[has]), "counts": _packed(place[has])})
+        return _table(_ANSWERS, out)
 
     return run
 
 
-def _numbered(words: int, most: int):
-    """Frequent phrases as rows: number, phrase before, last word, frequency. A bucket has `most` numbers."""
+def _flat(ends: np.ndarray) -> np.ndarray:
+    """Of each position the number of its list."""
+    return np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                keys, counts = np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["counts"], "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(r["bucket"] * most + np.arange(len(keys))), pa.array(keys // words), pa.array(keys % words), pa.array(counts)], names=["id", "before", "last", "a"])
+
+def _extended(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position, phrase and next word, for each place where a phrase of one more word may be frequent: the merge join of all lists, by
+    position, with the postings of the words that end one of them."""
+    positions, own = _unpacked(row["positions"]), _flat(_unpacked(row["ends"]))
+    order = np.argsort(positions, kind="stable")
+    at, own = positions[order], own[order]
+    after = np.searchsorted(at, at + 1)
+    met = np.flatnonzero(at[np.minimum(after, len(at) - 1)] == at + 1)
+    return at[met], _unpacked(row["ids"])[own[met]], _unpacked(row["lasts"])[own[after[met]]]
+
+
+def _kept(most: int):
+    """A block's lists of frequent words, from all its lists and the answers to it."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _table(_LISTS, [])
+        r = left.to_pylist()[0]
+        ends, positions = _unpacked(r["ends"]), _unpacked(r["positions"])
+        id_of = np.full(len(ends), -1, dtype=np.int64)
+        for x in right.to_pylist():
+            id_of[_unpacked(x["keys"])] = x["bucket"] * most + _unpacked(x["counts"])
+        keep = id_of >= 0
+        stops = np.cumsum(np.diff(ends, prepend=0)[keep])
+        ids = _packed(id_of[keep])
+        return _table(_LISTS, [{"block": r["block"], "ids": ids, "lasts": ids, "ends": _packed(stops), "positions": _packed(positions[keep[_flat(ends)]])}])
 
     return run
 
 
-def _grown(k: int, words: int, most: int):
-    """A block's lists of phrases of k + 1 words, from those of k; right: the frequent ones that it has, bucket by bucket."""
+def _grown(n_words: int, most: int):
+    """A block's lists of phrases of one more word, from its lists and the answers to it."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ("block", "lang", "ids", "ends", "positions", "word_ids", "word_ends", "word_positions")
         if not left.num_rows or not right.num_rows:
-            return pa.table({n: pa.array([], pa.int64() if n == "block" else pa.string() if n == "lang" else pa.binary()) for n in names})
+            return _table(_LISTS, [])
         r, answers = left.to_pylist()[0], right.to_pylist()
-        keys = np.concatenate([np.frombuffer(x["keys"], "<i8") for x in answers])
-        ids = np.concatenate([np.frombuffer(x["counts"], "<i8") + x["bucket"] * most for x in answers])
+        keys = np.concatenate([_unpacked(x["keys"]) for x in answers])
+        ids = np.concatenate([_unpacked(x["counts"]) + x["bucket"] * most for x in answers])
         order = np.argsort(keys)
         keys, ids = keys[order], ids[order]
-        at, phrase, word = _extended(r, k)
-        own = phrase * words + word
+        at, phrase, word = _extended(r)
+        own = phrase * n_words + word
         place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
         has = keys[place] == own
         ends, positions = _lists(place[has], at[has], len(keys))
-        found = {"ids": ids.astype("<i8").tobytes(), "ends": _ints(ends), "positions": _ints(positions)}
-        return pa.table({n: pa.array([found.get(n, r[n])], pa.int64() if n == "block" else pa.string() if n == "lang" else pa.binary()) for n in names})
+        return _table(_LISTS, [{"block": r["block"], "ids": _packed(ids), "lasts": _packed(keys % n_words), "ends": _packed(ends), "positions": _packed(positions)}])
 
     return run
 
 
-def _numbers(rows: DataFrame) -> tuple[DataFrame, int]:
-    """rows, written, with a number each, id; and a bound that all numbers are below. Each task counts its own rows."""
+def _numbered_words(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                words, counts = _strings(r["words"], _unpacked(r["sizes"])).cast(pa.string()), _unpacked(r["counts"])
+                columns = [pa.array(r["bucket"] * most + _unpacked(r["keys"])), pa.array([r["lang"]] * len(words), pa.string()), words, pa.array(counts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "lang", "phrase", "a"])
+
+    return run
+
+
+def _numbered(n_words: int, most: int):
+    """Frequent phrases as rows: number, phrase before, last word, frequency. A bucket has `most` numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, task)), pa.array(np.arange(at, at + n))], names=[*batch.schema.names, "task", "at"])
-            at += n
+            for r in batch.to_pylist():
+                keys, counts = _unpacked(r["keys"]), _unpacked(r["counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(r["bucket"] * most + np.arange(len(keys))), pa.array(keys // n_words), pa.array(keys % n_words), pa.array(counts)], names=["id", "before", "last", "a"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    numbered = cut(rows.mapInArrow(run, f"{kinds}, task bigint, at bigint"))
-    tasks, most = numbered.agg(F.coalesce(F.max("task"), F.lit(-1)) + 1, F.coalesce(F.max("at"), F.lit(-1)) + 1).first()
-    return numbered.select(*rows.columns, (F.col("task") * most + F.col("at")).alias("id")), tasks * most
+    return run
+
+
+def _asked(sent: DataFrame, answer) -> tuple[DataFrame, DataFrame, int]:
+    """The answers to blocks, what is frequent, and how many numbers a bucket needs."""
+    answers = cut(sent.groupBy("bucket").applyInArrow(answer, _ANSWERS))
+    frequent = answers.where("block IS NULL")
+    each = frequent.groupBy("bucket").agg(F.sum(F.octet_length("keys") / 8).cast("bigint").alias("n"))
+    return answers.where("block IS NOT NULL").select("bucket", "block", "keys", "counts"), frequent, each.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES, bucket_entries: int = BUCKET_ENTRIES) -> tuple[DataFrame, DataFrame]:
@@ -268,24 +310,35 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     body, name = F.coalesce(F.col(quoted(text)), F.lit("")), F.coalesce(F.col(quoted(lang)), F.lit("und"))
     blocks = cut(docs.select(body.alias("text"), name.alias("lang")).mapInArrow(_blocks(block_bytes), _BLOCK))
     total = cut(blocks.groupBy("lang").agg(F.sum("n").alias("n")))
-    listed = blocks.select("block", "lang", "words", "sizes", "ends").mapInArrow(_words, "block bigint, lang string, word string, place int, a bigint")
-    words, n_words = _numbers(listed.groupBy("lang", "word").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
-    found = [words.select("id", "lang", F.col("word").alias("phrase"), "a")]
+    entries = blocks.agg(F.coalesce(F.sum(F.octet_length("sizes")), F.lit(0))).first()[0] // 8
+    buckets = max(1, math.ceil(entries / bucket_entries))
+    sent = blocks.select("block", "lang", "words", "sizes", "ends").mapInArrow(_words_of(buckets), _SENT)
+    answers, frequent, most = _asked(sent, _frequent_words(least))
+    words = cut(frequent.mapInArrow(_numbered_words(most), "id bigint, lang string, phrase string, a bigint"))
+    found, n_words, numbers = [words], buckets * most, buckets * most
+    if numbers:
+        lists = cut(blocks.select("block", "ends", "positions").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_kept(most), _LISTS))
+    drop(answers)
+    drop(blocks)
+    for k in range(1, longest):
+        if not numbers:
+            break
+        if numbers * n_words >= 1 << 63:
+            raise ValueError("phrases and words are too many to be numbered together in 64 bits")
+        buckets = max(1, math.ceil(found[-1].agg(F.sum("a")).first()[0] / bucket_entries))
+        answers, frequent, most = _asked(lists.mapInArrow(_phrases_of(n_words, buckets), _SENT), _frequent(least))
+        numbers = buckets * most
+        if numbers:
+            rows = frequent.mapInArrow(_numbered(n_words, most), "id bigint, before bigint, last bigint, a bigint")
+            head, last = found[-1].select(F.col("id").alias("before"), "lang", F.col("phrase").alias("head")), words.select(F.col("id").alias("last"), F.col("phrase").alias("word"))
+            found.append(cut(rows.join(head, "before").join(last, "last").select("id", "lang", F.concat_ws(" ", "head", "word").alias("phrase"), "a")))
+            if k + 1 < longest:
+                grown = cut(lists.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_grown(n_words, most), _LISTS))
+                drop(lists)
+                lists = grown
+        drop(answers)
     if n_words:
-        marks = listed.join(words.select("lang", "word", "id"), ["lang", "word"]).select("block", "place", "id")
-        lists = cut(blocks.select("block", "lang", "ends", "positions").groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_keep, _LISTS))
-        # words are the phrases of one word, and the postings that longer ones are extended with
-        same = [F.col(c).alias(f"word_{c}") for c in ("ids", "ends", "positions")]
-        lists = lists.select("block", "lang", *[F.lit(None).cast("binary").alias(c) for c in ("ids", "ends", "positions")], *same)
-        numbers = n_words
-        for k in range(1, longest):
-            if numbers * n_words >= 1 << 63:
-                raise ValueError("phrases and words are too many to be numbered together in 64 bits")
-            entries = found[-1].agg(F.sum("a")).first()[0]
-            lists, phrases, numbers = _level(lists, found[-1], words, k, n_words, least, math.ceil(entries / bucket_entries))
-            if not numbers:
-                break
-            found.append(phrases)
+        drop(lists)
     out = None
     for k, rows in enumerate(found, 1):
         rows = rows.select("lang", F.lit(k).alias("k"), "phrase", "a")
@@ -293,21 +346,6 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     return out, total
 
 
-def _level(lists: DataFrame, before: DataFrame, words: DataFrame, k: int, n_words: int, least: int, buckets: int) -> tuple[DataFrame, DataFrame, int]:
-    """Lists of phrases of k + 1 words, those phrases, and a bound that their numbers are below."""
-    sent = lists.mapInArrow(_candidates(k, n_words, buckets), "bucket bigint, block bigint, keys binary, lengths binary")
-    answers = cut(sent.groupBy("bucket").applyInArrow(_frequent(least), "bucket bigint, block bigint, keys binary, counts binary"))
-    sums = answers.where("block IS NULL")
-    most = sums.agg(F.coalesce(F.max(F.octet_length("keys")), F.lit(0))).first()[0] // 8
-    numbered = cut(sums.mapInArrow(_numbered(n_words, most), "id bigint, before bigint, last bigint, a bigint"))
-    first_part = before.select(F.col("id").alias("before"), F.col("lang"), F.col("phrase").alias("head"))
-    last_word = words.select(F.col("id").alias("last"), "word")
-    phrases = cut(numbered.join(first_part, "before").join(last_word, "last").select("id", "lang", F.concat_ws(" ", "head", "word").alias("phrase"), "a"))
-    columns = _LISTS + ", word_ids binary, word_ends binary, word_positions binary"
-    grown = lists.groupBy("block").cogroup(answers.where("block IS NOT NULL").groupBy("block")).applyInArrow(_grown(k, n_words, most), columns)
-    return cut(grown), phrases, buckets * most
-
-
 def _exact(*factors: Column | int) -> Column:
     out = F.lit(1).cast("decimal(38,0)")
     for x in factors:
