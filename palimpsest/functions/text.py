@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 from collections.abc import Callable, Iterable, Mapping
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from palimpsest import rules
+from palimpsest.functions import sequences
 
 
 def text(c: Column) -> Column:
@@ -241,7 +241,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
     def ratio(x: str | None, y: str | None) -> float:
         x, y = x or "", y or ""
-        return 1.0 if x == y else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+        return sequences.ratio(x, y)
 
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -264,7 +264,7 @@ def _distinct_texts(items: pd.Series, known: pd.Series, most: pd.Series, thresho
         kept, forms = [], [plain_word(r) for r in references if r] if references is not None else []
         for t in texts if texts is not None else ():
             form = plain_word(t or "")
-            if t and not any(form == f or difflib.SequenceMatcher(None, form, f, autojunk=False).ratio() >= least for f in forms):
+            if t and not any(form == f or sequences.ratio(form, f) >= least for f in forms):
                 kept.append(t)
                 forms.append(form)
             if len(kept) >= limit:

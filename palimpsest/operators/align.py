@@ -1,24 +1,25 @@
 """Alignment of two versions' chunks: anchors, similarities with clause bonus, global alignment of the gaps, classification.
 
-One pair of documents is one group; groups are as large as two documents, and pairs are spread by pair_id.
+Anchors are found for a pair of documents at once, by keys alone; what lies between two anchors is aligned as a group of its own.
 """
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
+from palimpsest.functions.sequences import opcodes
+from palimpsest.functions.tables import cut
 from palimpsest.rules import Settings
 
-#: Of each chunk on either side: pair_id, i (place in its document), key (anchor_form of the content), clause (anchor_form of the clause id),
-#: content, and vec, its embedding.
-ALIGNED = "pair_id string, pair_ord int, i int, j int, sim double, anchored boolean"
+# Of each chunk on either side: pair_id, i (place in its document), key (anchor_form of the content), clause (anchor_form of the clause id),
+# content, and vec, its embedding.
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -40,85 +41,142 @@ def with_bonus(cells: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return cells.withColumn("sim", F.when(on & F.lit(settings.hint_alpha > 0), F.col("sim") + settings.hint_alpha * bonus).otherwise(F.col("sim")))
 
 
-def opcodes(a: list, b: list) -> list[tuple[str, int, int, int, int]]:
-    return difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
-
-
 def global_alignment(sim: np.ndarray, gap: float) -> list[tuple[int, int]]:
-    """Pairs (i, j) of the best alignment, -1 for a gap; on ties a match before a deletion before an insertion. By anti-diagonals."""
-    n, m = sim.shape
-    best = np.full((n + 1, m + 1), -np.inf)
-    best[:, 0], best[0, :] = -gap * np.arange(n + 1), -gap * np.arange(m + 1)
-    move = np.zeros((n + 1, m + 1), dtype=np.int8)
-    move[1:, 0], move[0, 1:] = 1, 2
-    for d in range(2, n + m + 1):
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        j = d - i
-        options = np.stack([best[i - 1, j - 1] + sim[i - 1, j - 1], best[i - 1, j] - gap, best[i, j - 1] - gap])
-        move[i, j] = options.argmax(axis=0)
-        best[i, j] = options.max(axis=0)
-    i, j, out = n, m, []
-    while i or j:
-        step = move[i, j]
-        i, j = i - (step != 2), j - (step != 1)
-        out.append((i if step != 2 else -1, j if step != 1 else -1))
+    """Pairs (i, j) of the best alignment, -1 for a gap; on ties a match before a deletion before an insertion."""
+    return aligned_cells(lambda i, j: sim[i, j], *sim.shape, gap)
+
+
+def aligned_cells(cells: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int, m: int, gap: float, leaf: int = 256) -> list[tuple[int, int]]:
+    """The same for similarities that are computed when they are asked for, cells(i, j).
+
+    By anti-diagonals, of which two at a time are kept. The way back needs the moves of a stretch of diagonals only: a long stretch is gone through once to its middle, whose two diagonals are kept while
+    the way back through the second half is found, then that through the first half. So memory is linear (`leaf` diagonals of moves, two diagonals a halving), and since
+    every value comes from the same sums in the same order, so do ties."""
+
+    def on(d: int) -> tuple[int, int]:
+        return max(0, d - m), min(n, d)
+
+    def forward(before: np.ndarray, last: np.ndarray, low: int, high: int, moves: list | None) -> tuple[np.ndarray, np.ndarray]:
+        """From diagonals low - 1 and low, each from its first row on, to high - 1 and high."""
+        for d in range(low + 1, high + 1):
+            first, end = on(d)
+            (first_1, end_1), (first_2, _) = on(d - 1), on(d - 2) if d > 1 else (0, 0)
+            i = np.arange(first, end + 1)
+            new, move = np.full(len(i), -gap * d), np.where(i == 0, 2, 1).astype(np.int8)
+            inside = slice(int(first == 0), len(i) - int(end == d))
+            r = i[inside]
+            if len(r):
+                options = np.stack([before[r - 1 - first_2] + cells(r - 1, d - r - 1), last[r - 1 - first_1] - gap, last[r - first_1] - gap])
+                move[inside], new[inside] = options.argmax(axis=0), options.max(axis=0)
+            if moves is not None:
+                moves.append((first, move))
+            before, last = last, new
+        return before, last
+
+    out: list[tuple[int, int]] = []
+    todo = [(np.zeros(0), np.zeros(1), 0, n + m)]
+    row, diagonal = n, n + m
+    while todo:
+        before, last, low, high = todo.pop()
+        if high - low > leaf:
+            middle = (low + high) // 2
+            half = forward(before, last, low, middle, None)
+            todo += [(before, last, low, middle), (*half, middle, high)]
+            continue
+        high = min(high, diagonal)
+        moves: list = []
+        forward(before, last, low, high, moves)
+        while diagonal > low:
+            first, move = moves[diagonal - low - 1]
+            step, column = move[row - first], diagonal - row
+            out.append((row - 1 if step != 2 else -1, column - 1 if step != 1 else -1))
+            row, diagonal = row - (step != 2), diagonal - (2 if step == 0 else 1)
     return out[::-1]
 
 
-def in_gaps(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a, b: pair_id, i, key. The chunks (pair_id, side, i) whose similarity the alignment asks for: those between anchors that have
-    chunks of the other side to be compared with."""
+class Similarities:
+    """Of the chunks of a gap: cosines of their vectors, with the clause bonus where the gap is large enough."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, clauses_a: list[str], clauses_b: list[str], settings: Settings) -> None:
+        self.x, self.y = (v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9) for v in (x, y))
+        self.alpha = settings.hint_alpha if max(len(x), len(y)) >= settings.hint_min_gap else 0.0
+        numbers: dict[str, int] = {}
+        code = lambda values: np.array([numbers.setdefault(v, len(numbers)) if v else -1 for v in values], dtype=np.int64)
+        self.clauses = code(clauses_a), code(clauses_b)
+        self.anchors = code(map(_anchor, clauses_a)), code(map(_anchor, clauses_b))
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        sim = np.einsum("kd,kd->k", self.x[i], self.y[j])
+        if self.alpha <= 0:
+            return sim
+        (a, b), (c, d) = ((left[i], right[j]) for left, right in (self.clauses, self.anchors))
+        known = (a >= 0) & (b >= 0)
+        return sim + self.alpha * np.where(known & (a == b), 1.0, np.where(known & (c >= 0) & (c == d), 0.6, 0.0))
+
+
+def _anchor(clause: str) -> str:
+    found = re.search(r"(dieu\s+\d+|phu\s+luc\s+[a-z0-9]+)", clause)
+    return found[1] if found else ""
+
+
+def runs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a, b: pair_id, i, key. Runs of equal and unequal chunks in order: pair_id, run, tag, and left and right, the chunks' places."""
 
     def one(pair: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("i"), right.sort_values("i")
-        rows: list[tuple] = []
-        for tag, i1, i2, j1, j2 in opcodes(left["key"].tolist(), right["key"].tolist()):
-            if tag != "equal" and i1 < i2 and j1 < j2:
-                rows += [(pair[0], "a", int(i)) for i in left["i"].iloc[i1:i2]] + [(pair[0], "b", int(j)) for j in right["i"].iloc[j1:j2]]
-        return pd.DataFrame(rows, columns=["pair_id", "side", "i"])
+        x, y = left["i"].tolist(), right["i"].tolist()
+        rows = [(pair[0], n, tag, x[i1:i2], y[j1:j2]) for n, (tag, i1, i2, j1, j2) in enumerate(opcodes(left["key"].tolist(), right["key"].tolist()))]
+        return pd.DataFrame(rows, columns=["pair_id", "run", "tag", "left", "right"])
 
     columns = [F.col(c).alias(c) for c in ("pair_id", "i", "key")]
-    return a.select(*columns).groupBy("pair_id").cogroup(b.select(*columns).groupBy("pair_id")).applyInPandas(one, "pair_id string, side string, i int")
+    return a.select(*columns).groupBy("pair_id").cogroup(b.select(*columns).groupBy("pair_id")).applyInPandas(one, "pair_id string, run int, tag string, left array<int>, right array<int>")
 
 
-def align(a: DataFrame, b: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """a, b: pair_id, i, key, clause, vec. Rows in the order of the alignment: i and j (null on one side), sim, anchored."""
+def in_gaps(found: DataFrame) -> DataFrame:
+    """found: runs. The chunks (pair_id, run, side, i) whose similarity the alignment asks for: those between anchors that have chunks of the other side to be compared with."""
+    gaps = found.where("tag = 'replace'")
+    side = lambda name, column: gaps.select("pair_id", "run", F.lit(name).alias("side"), F.explode(column).alias("i"))
+    return side("a", "left").unionByName(side("b", "right"))
 
-    def one(pair: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+
+def align(a: DataFrame, b: DataFrame, settings: Settings = Settings(), found: DataFrame | None = None) -> DataFrame:
+    """a, b: pair_id, i, key, clause, vec. Rows in the order of the alignment: i and j (null on one side), sim, anchored. found: runs(a, b), if they are known.
+
+    Anchored chunks and those without a counterpart come from the runs alone; a gap with chunks on both sides is a group of its own."""
+    found = cut(runs(a, b)) if found is None else found
+
+    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("i"), right.sort_values("i")
-        rows: list[tuple] = []
-        for tag, i1, i2, j1, j2 in opcodes(left["key"].tolist(), right["key"].tolist()):
-            if tag == "equal":
-                rows += [(i, j, 1.0, True) for i, j in zip(range(i1, i2), range(j1, j2), strict=True)]
-                continue
-            if i1 == i2 or j1 == j2:
-                rows += [(i, -1, 0.0, False) for i in range(i1, i2)] + [(-1, j, 0.0, False) for j in range(j1, j2)]
-                continue
-            x, y = (np.stack(d["vec"].iloc[s:e].to_list()).astype(np.float32) for d, s, e in ((left, i1, i2), (right, j1, j2)))
-            x, y = (v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9) for v in (x, y))
-            sim = (x @ y.T).astype(np.float64)
-            if settings.hint_alpha > 0 and max(sim.shape) >= settings.hint_min_gap:
-                sim = sim + settings.hint_alpha * _bonus(left["clause"].iloc[i1:i2].tolist(), right["clause"].iloc[j1:j2].tolist())
-            rows += [(i1 + i if i >= 0 else -1, j1 + j if j >= 0 else -1, float(sim[i, j]) if i >= 0 and j >= 0 else 0.0, False) for i, j in global_alignment(sim, settings.gap_penalty)]
-        at = lambda d, k: int(d["i"].iloc[k]) if k >= 0 else None
-        made = [(pair[0], k, at(left, i), at(right, j), s, anchored) for k, (i, j, s, anchored) in enumerate(rows)]
-        return pd.DataFrame(made, columns=["pair_id", "pair_ord", "i", "j", "sim", "anchored"]).astype({"i": "Int32", "j": "Int32"})
-
-    # new names for the same columns, as both sides may come from one table
-    columns = [F.col(c).alias(c) for c in ("pair_id", "i", "key", "clause", "vec")]
-    return a.select(*columns).groupBy("pair_id").cogroup(b.select(*columns).groupBy("pair_id")).applyInPandas(one, ALIGNED)
-
-
-def _bonus(a: list[str], b: list[str]) -> np.ndarray:
-    import re
-
-    anchor = lambda x: (m[1] if (m := re.search(r"(dieu\s+\d+|phu\s+luc\s+[a-z0-9]+)", x)) else "")
-    out = np.zeros((len(a), len(b)))
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            if x and y:
-                out[i, j] = 1.0 if x == y else 0.6 if anchor(x) and anchor(x) == anchor(y) else 0.0
-    return out
+        if not len(left) or not len(right):
+            return pd.DataFrame([], columns=["pair_id", "run", "at", "i", "j", "sim"])
+        x, y = (np.stack(side["vec"].to_list()).astype(np.float64) for side in (left, right))
+        cells = Similarities(x, y, left["clause"].fillna("").tolist(), right["clause"].fillna("").tolist(), settings)
+        pairs = np.array(aligned_cells(cells, len(x), len(y), settings.gap_penalty), dtype=np.int64)
+        both = (pairs >= 0).all(axis=1)
+        sim = np.zeros(len(pairs))
+        sim[both] = cells(pairs[both, 0], pairs[both, 1])
+        place = lambda side, k: pd.array(side["i"].to_numpy()[k], dtype="Int32")
+        i, j = place(left, pairs[:, 0]), place(right, pairs[:, 1])
+        i[pairs[:, 0] < 0], j[pairs[:, 1] < 0] = pd.NA, pd.NA
+        return pd.DataFrame({"pair_id": key[0], "run": key[1], "at": np.arange(len(pairs), dtype=np.int32), "i": i, "j": j, "sim": sim})
+
+    asked = in_gaps(found)
+
+    def of(rows: DataFrame, name: str) -> GroupedData:
+        own = asked.where(F.col("side") == name).select("pair_id", "i", "run")
+        # new names for the same columns, as both sides may come from one table
+        columns = [F.col(c).alias(c) for c in ("pair_id", "run", "i", "clause", "vec")]
+        return rows.select("pair_id", "i", "clause", "vec").join(own, ["pair_id", "i"]).select(*columns).groupBy("pair_id", "run")
+
+    gaps = of(a, "a").cogroup(of(b, "b")).applyInPandas(one, "pair_id string, run int, at int, i int, j int, sim double").withColumn("anchored", F.lit(False))
+    equal = F.col("tag") == "equal"
+    steps = F.when(equal, F.arrays_zip(F.col("left").alias("i"), F.col("right").alias("j"))).otherwise(
+        F.concat(F.transform("left", lambda i: F.struct(i.alias("i"), F.lit(None).cast("int").alias("j"))), F.transform("right", lambda j: F.struct(F.lit(None).cast("int").alias("i"), j.alias("j"))))
+    )
+    rest = found.where("tag <> 'replace'").select("pair_id", "run", F.posexplode(steps).alias("at", "step"), F.when(equal, 1.0).otherwise(0.0).alias("sim"), equal.alias("anchored"))
+    rows = rest.select("pair_id", "run", "at", "step.i", "step.j", "sim", "anchored").unionByName(gaps)
+    order = F.row_number().over(Window.partitionBy("pair_id").orderBy("run", "at")) - 1
+    return rows.select("pair_id", order.alias("pair_ord"), "i", "j", "sim", "anchored")
 
 
 def classify(pairs: DataFrame, settings: Settings = Settings()) -> DataFrame:

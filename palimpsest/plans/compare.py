@@ -123,14 +123,15 @@ def compare_versions(a: DataFrame, b: DataFrame, embedder: retrieval.Embedder |
     Only chunks between anchors are embedded."""
     embedder = embedder or retrieval.HashingEmbedder()
     made = {name: _chunked(paragraphs, settings) for name, paragraphs in (("a", a), ("b", b))}
-    asked = cut(align.in_gaps(made["a"], made["b"]))
+    runs = cut(align.runs(made["a"], made["b"]))
+    asked = align.in_gaps(runs)
     sides = {}
     for name, rows in made.items():
         own = asked.where(F.col("side") == name).select("pair_id", "i")
         vectors = retrieval.embed(rows.join(own, ["pair_id", "i"], "left_semi").select("pair_id", "i", "content"), embedder, batch=settings.embed_batch)[0]
         sides[name] = cut(rows.join(vectors.select("pair_id", "i", "vec"), ["pair_id", "i"], "left"))
     x, y = sides["a"], sides["b"]
-    aligned = cut(align.align(x, y, settings))
+    aligned = cut(align.align(x, y, settings, runs))
     side = lambda df, i, s: df.select("pair_id", F.col("i").alias(i), F.col("content").alias(f"text_{s}"), F.col("breadcrumb").alias(f"clause_{s}"))
     rows = aligned.join(side(x, "i", "a"), ["pair_id", "i"], "left").join(side(y, "j", "b"), ["pair_id", "j"], "left")
     rows = cut(rows.withColumn("ratio", T.text_ratio(F.col("text_a"), F.col("text_b"))))
