@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest import rules
 from palimpsest.functions import text as T
+from palimpsest.functions.tables import cut
 
 THRESHOLD = 0.08
 
@@ -68,20 +70,58 @@ def pair_scores(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.select("case_name", "pred_ord", "gt_ord", F.when((c("p_form") == "") | (c("g_form") == ""), F.lit(0.0)).otherwise(F.least(score, F.lit(1.0))).alias("score"))
 
 
-def greedy_match(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One-to-one pairs by descending score, ties in order; case by case, and a case is as large as two documents' changes."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "pred_ord", "gt_ord"], ascending=[False, True, True])
-        left, right, kept = set(), set(), []
-        for n, (p, g) in enumerate(zip(rows["pred_ord"], rows["gt_ord"], strict=True)):
-            if p not in left and g not in right:
-                left.add(p)
-                right.add(g)
-                kept.append(n)
-        return rows.iloc[kept]
-
-    return scores.where(F.col("score") >= threshold).groupBy("case_name").applyInPandas(one, scores.select("case_name", "pred_ord", "gt_ord", "score").schema)
+def greedy_match(scores: DataFrame, threshold: float = THRESHOLD, most: int = 500_000) -> DataFrame:
+    """One-to-one pairs by descending score, ties in order of pred_ord and gt_ord.
+
+    A pair that is the first in that order among all that share its prediction, and among all that share its truth, is one that going through them in order takes; so rounds that take all such pairs and drop
+    what shares something with them give the same result. Cases with more than `most` pairs take rounds of joins, spread over all tasks, until no more than that are left; the others are dealt into
+    groups of about `most` pairs, which take the same rounds in memory. Pairs without a case are none."""
+    columns = ["case_name", "pred_ord", "gt_ord", "score"]
+    left = scores.where((F.col("score") >= threshold) & F.col("case_name").isNotNull()).select(*columns)
+    sizes = cut(left.groupBy("case_name").agg(F.count(F.lit(1)).alias("n")))
+    total, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    taken = None
+    while largest > most:
+        large = sizes.where(F.col("n") > most).select("case_name")
+        pairs = cut(left.join(large, "case_name", "left_semi"))
+        first = [pairs.groupBy("case_name", by).agg(F.min(F.struct((-F.col("score")).alias("s"), "pred_ord", "gt_ord")).alias("first")).select("case_name", "first.pred_ord", "first.gt_ord", "first.s") for by in ("pred_ord", "gt_ord")]
+        chosen = cut(first[0].join(first[1].drop("s"), ["case_name", "pred_ord", "gt_ord"]).select("case_name", "pred_ord", "gt_ord", (-F.col("s")).alias("score")))
+        taken = chosen if taken is None else taken.unionByName(chosen)
+        for by in ("pred_ord", "gt_ord"):
+            pairs = pairs.join(chosen.select("case_name", by), ["case_name", by], "left_anti")
+        left = cut(left.join(large, "case_name", "left_anti").unionByName(pairs.select(*columns)))
+        sizes = cut(left.groupBy("case_name").agg(F.count(F.lit(1)).alias("n")))
+        total, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    dealt = left.groupBy(F.pmod(F.xxhash64("case_name"), F.lit(max(1, -(-total // most)))).alias("group"))
+    found = dealt.applyInArrow(_greedy, left.schema)
+    return found if taken is None else found.unionByName(taken)
+
+
+def _greedy(rows: pa.Table) -> pa.Table:
+    """Rounds over the pairs of some cases."""
+    rows = rows.select(["case_name", "pred_ord", "gt_ord", "score"]).sort_by([("case_name", "ascending"), ("score", "descending"), ("pred_ord", "ascending"), ("gt_ord", "ascending")])
+    case, p, g = (rows.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64) for c in ("case_name", "pred_ord", "gt_ord"))
+    ends = [np.unique(case * (side.max(initial=0) + 2) + side, return_inverse=True)[1] for side in (p, g)]
+    alive, kept = np.arange(len(case)), []
+    used = [np.zeros(len(case), dtype=bool) for _ in ends]
+    while len(alive):
+        best = []
+        for end in ends:
+            first = np.zeros(len(case), dtype=np.int64)
+            first[end[alive][::-1]] = alive[::-1]  # the last one written is the first in order
+            best.append(first[end[alive]] == alive)
+        chosen = alive[best[0] & best[1]]
+        kept.append(chosen)
+        for end, mark in zip(ends, used, strict=True):
+            mark[end[chosen]] = True
+        alive = alive[~used[0][ends[0][alive]] & ~used[1][ends[1][alive]]]
+        if 100 * len(chosen) < len(alive):  # long chains: one after the other takes as long as there are pairs
+            for k in alive.tolist():
+                if not used[0][ends[0][k]] and not used[1][ends[1][k]]:
+                    used[0][ends[0][k]] = used[1][ends[1][k]] = True
+                    kept.append(np.array([k]))
+            break
+    return rows.take(pa.array(np.sort(np.concatenate(kept)) if kept else np.zeros(0, dtype=np.int64)))
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
