@@ -180,7 +180,7 @@ def align(a: DataFrame, b: DataFrame, settings: Settings = Settings(), found: Da
 
 
 def classify(pairs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Aligned pairs (sim, anchored, text_a, text_b, ratio) to match_type, similarity and near_threshold; a pair that is too unlike
+    """Aligned pairs (sim, anchored, text_a, text_b, ratio; also source_a and source_b, if they have them) to match_type, similarity and near_threshold; a pair that is too unlike
     becomes a deletion and an addition. part is 0, or 1 for the addition of such a pair."""
     s, same = F.col("sim"), F.col("ratio") >= settings.text_unchanged_ratio
     floor, ceiling = max(settings.modified, settings.unchanged - settings.near_band), settings.unchanged + settings.near_band
@@ -199,10 +199,8 @@ def classify(pairs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
     rows = pairs.select("*", F.posexplode(kinds).alias("part", "_k")).select("*", "_k.*").drop("_k")
     split = F.col("anchored").isNotNull() & F.col("text_a").isNotNull() & F.col("text_b").isNotNull()
-    return rows.withColumns({
-        "text_a": F.when(split & (F.col("match_type") == "ADDED"), F.lit(None)).otherwise(F.col("text_a")),
-        "text_b": F.when(split & (F.col("match_type") == "DELETED"), F.lit(None)).otherwise(F.col("text_b")),
-    })
+    sides = {"text_a": "ADDED", "text_b": "DELETED", "source_a": "ADDED", "source_b": "DELETED"}
+    return rows.withColumns({c: F.when(split & (F.col("match_type") == kind), F.lit(None)).otherwise(F.col(c)) for c, kind in sides.items() if c in rows.columns})
 
 
 def line_changes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def mid_level(c: Column, legacy: bool = False) -> Column:
 
 
 def signature(c: Column) -> Column:
-    return F.when(T.any_match(c, rules.SIGNATURE), F.lit(rules.SIGNATURE_LABEL))
+    return F.when(c.rlike("(?iU)" + rules.SIGNATURE), F.lit(rules.SIGNATURE_LABEL))
 
 
 def article(c: Column) -> Column:
@@ -142,3 +144,14 @@ def with_ids(chunks: DataFrame) -> DataFrame:
         "chunk_id": ids.chunk_id(c("doc_id"), c("breadcrumb"), c("content"), c("sub_index")),
         "legacy_chunk_id": ids.legacy_chunk_id(c("doc_id"), c("breadcrumb"), c("raw_index"), c("sub_index")),
     })
+
+
+#: Where a change stands in a file.
+SOURCE = "struct<file:string,page:int,page_end:int,line_start:int,line_end:int,char_start:int,char_end:int,chunk_id:string,context_snippet:string>"
+
+
+def source_ref(file: Column, chunk: Callable[[str], Column] = F.col) -> Column:
+    """Of a chunk's columns (see SOURCE; raw_index; content), a reference to its place. A chunk without a page is referred to by its number, from 1."""
+    snippet = F.nullif(F.substring(T.squeeze(chunk("content")), 1, 160), F.lit(""))
+    places = [chunk(c).alias(c) for c in ("page_end", "line_start", "line_end", "char_start", "char_end", "chunk_id")]
+    return F.struct(file.alias("file"), F.coalesce(chunk("page"), chunk("raw_index") + 1).alias("page"), *places, snippet.alias("context_snippet")).cast(SOURCE)

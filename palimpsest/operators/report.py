@@ -11,9 +11,21 @@ KINDS = {"MODIFIED": "Sửa đổi", "REPLACED": "Thay thế", "ADDED": "Thêm m
 COUNTERS = ("atomic_changes", "clauses_affected", "substantive", "formal", "replaced", "added", "deleted", "modified", "unchanged")
 
 
-def source_line(file: Column, page: Column, page_end: Column, chunk_id: Column) -> Column:
-    pages = F.when(page.isNotNull(), F.when(page_end.isNotNull() & (page_end != page), F.concat(F.lit("p."), page.cast("string"), F.lit("-"), page_end.cast("string"))).otherwise(F.concat(F.lit("p."), page.cast("string"))))
-    return F.concat_ws(" · ", file, pages, F.nullif(T.text(chunk_id), F.lit("")))
+def source_line(file: Column, page: Column, page_end: Column, chunk_id: Column, lines: tuple[Column, Column] | None = None, chars: tuple[Column, Column] | None = None) -> Column:
+    """File, pages, lines, characters and chunk, as far as they are known; lines and chars are first and last ones."""
+
+    def stretch(sign: str, first: Column, last: Column) -> Column:
+        start = F.concat(F.lit(sign), first.cast("string"))
+        return F.when(last.isNotNull() & (last != first), F.concat(start, F.lit("-"), last.cast("string"))).otherwise(start)
+
+    known = [stretch("p.", page, page_end), *[stretch(sign, *given) for sign, given in (("l.", lines), ("c.", chars)) if given]]
+    return F.concat_ws(" · ", file, *known, F.nullif(T.text(chunk_id), F.lit("")))
+
+
+def source_text(ref: Column) -> Column:
+    """A source reference (chunks.SOURCE) as a line; `-` if there is none."""
+    line = source_line(ref["file"], ref["page"], ref["page_end"], ref["chunk_id"], (ref["line_start"], ref["line_end"]), (ref["char_start"], ref["char_end"]))
+    return F.when(ref.isNull(), F.lit("-")).otherwise(line)
 
 
 def match_counters(pairs: DataFrame) -> DataFrame:

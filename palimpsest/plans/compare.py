@@ -132,12 +132,12 @@ def compare_versions(a: DataFrame, b: DataFrame, embedder: retrieval.Embedder |
         sides[name] = cut(rows.join(vectors.select("pair_id", "i", "vec"), ["pair_id", "i"], "left"))
     x, y = sides["a"], sides["b"]
     aligned = cut(align.align(x, y, settings, runs))
-    side = lambda df, i, s: df.select("pair_id", F.col("i").alias(i), F.col("content").alias(f"text_{s}"), F.col("breadcrumb").alias(f"clause_{s}"))
+    side = lambda df, i, s: df.select("pair_id", F.col("i").alias(i), F.col("content").alias(f"text_{s}"), F.col("breadcrumb").alias(f"clause_{s}"), chunks.source_ref(F.col("doc_label")).alias(f"source_{s}"))
     rows = aligned.join(side(x, "i", "a"), ["pair_id", "i"], "left").join(side(y, "j", "b"), ["pair_id", "j"], "left")
     rows = cut(rows.withColumn("ratio", T.text_ratio(F.col("text_a"), F.col("text_b"))))
     rows = align.classify(rows, settings)
     rows = rows.withColumns({"ord": F.col("pair_ord") * 2 + F.col("part"), "clause_id": F.when(F.col("match_type") == "ADDED", F.col("clause_b")).otherwise(F.coalesce("clause_a", "clause_b"))})
-    clauses = cut(changes.collapse(rows.select("pair_id", "ord", "match_type", "clause_id", "text_a", "text_b", "similarity", "near_threshold")))
+    clauses = cut(changes.collapse(rows.select("pair_id", "ord", "match_type", "clause_id", "text_a", "text_b", "similarity", "near_threshold", "source_a", "source_b")))
     results = cut(changes.clause_results(clauses, cut(changes.change_records(clauses))))
     stats = cut(changes.statistics(clauses, results))
     return {"chunks_a": x, "chunks_b": y, "clauses": clauses, "results": results, "statistics": stats, "report": report.report(results, stats)}

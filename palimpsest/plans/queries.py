@@ -685,3 +685,38 @@ def clause_labels(spark, d):
     article = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("  Điều   "), F.col("o_custkey"))).otherwise(F.lit(" "))
     title = F.when(F.col("o_orderkey") % 3 == 1, F.concat(F.col("o_orderpriority"), F.lit(" ")))
     return table(spark, d, "orders").select("o_orderkey", ids.clause_label(article, title).alias("label"))
+
+
+@query(
+    f"WITH t AS (SELECT doc_id, source, text, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 7 END AS page, len(string_split(text, chr(10))) AS n, {SQUEEZED} AS x FROM documents WHERE text IS NOT NULL) "
+    "SELECT doc_id, CAST(coalesce(page, doc_id + 1) AS INT) AS page, CASE WHEN x <> '' THEN substr(x, 1, 160) END AS snippet, "
+    "concat_ws(' · ', source, 'p.' || coalesce(page, doc_id + 1) || CASE WHEN page + 1 <> coalesce(page, doc_id + 1) THEN '-' || (page + 1) ELSE '' END, "
+    "CASE WHEN n = 1 THEN 'l.1' ELSE 'l.1-' || n END, CASE WHEN length(text) = 0 THEN 'c.0' ELSE 'c.0-' || length(text) END, 'c' || doc_id) AS line FROM t"
+)
+def source_refs(spark, d):
+    """Whole documents as chunks, of which some have no page."""
+    page = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 7)
+    made = {"page": page, "page_end": page + 1, "raw_index": F.col("doc_id"), "content": F.col("text"), "line_start": F.lit(1), "line_end": F.size(F.split("text", "\n")), "char_start": F.lit(0), "char_end": F.length("text"), "chunk_id": F.concat(F.lit("c"), F.col("doc_id"))}
+    rows = table(spark, d, "documents").where("text IS NOT NULL").withColumns(made)
+    rows = rows.select("doc_id", chunks.source_ref(F.col("source")).alias("ref"))
+    return rows.select("doc_id", F.col("ref.page").alias("page"), F.col("ref.context_snippet").alias("snippet"), report.source_text(F.col("ref")).alias("line"))
+
+
+@query(
+    "WITH l AS (SELECT CAST(o_custkey AS VARCHAR) AS pair_id, o_orderkey AS ord, CASE WHEN o_orderkey % 4 = 0 THEN '__unknown_clause__' || o_orderkey ELSE 'Điều ' || (o_orderkey % 2) END AS clause_id, * FROM orders), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, clause_id, o_orderstatus, o_orderpriority ORDER BY ord) AS again FROM l) "
+    "SELECT pair_id, clause_id, min(ord) AS ord, max(o_orderkey % 97 / 97.0::DOUBLE) AS similarity, arg_min(o_orderpriority, ord) FILTER (o_orderstatus <> 'F') AS text_a, arg_min(CAST(o_orderdate AS VARCHAR), ord) AS text_b, "
+    "arg_min(o_orderstatus, ord) AS clause_change_kind, arg_min(CAST(ord AS INT), ord) FILTER (ord % 3 = 0) AS source_page, string_agg(o_orderstatus || o_orderpriority, ',' ORDER BY ord) FILTER (again = 1) AS records FROM r GROUP BY pair_id, clause_id"
+)
+def merged_clauses(spark, d):
+    """A customer's orders as results of clauses, several of one clause: some without a text or source, with records that repeat."""
+    c = F.col
+    record = F.struct(c("o_orderstatus").alias("change_kind"), F.lit("formal").alias("impact_level"), F.lit("FORMAL").alias("semantic_effect"), F.array("o_orderpriority").alias("tags"), F.lit("old").alias("old"), F.lit("new").alias("new"))
+    rows = table(spark, d, "orders").select(
+        c("o_custkey").cast("string").alias("pair_id"), c("o_orderkey").alias("ord"), F.when(c("o_orderkey") % 4 == 0, F.lit(" ")).otherwise(F.concat(F.lit("Điều "), c("o_orderkey") % 2)).alias("clause_id"),
+        (c("o_orderkey") % 97 / F.lit(97.0)).alias("similarity"), F.when(c("o_orderstatus") != "F", c("o_orderpriority")).otherwise(F.lit("")).alias("text_a"), c("o_orderdate").cast("string").alias("text_b"),
+        c("o_orderstatus").alias("clause_change_kind"), F.when(c("o_orderkey") % 3 == 0, F.struct(c("o_orderkey").cast("int").alias("page"))).alias("source_a"), F.array(record).alias("records"),
+    )
+    merged = changes.merge_clauses(rows)
+    shown = F.array_join(F.transform("records", lambda r: F.concat(r["change_kind"], r["tags"][0])), ",")
+    return merged.select("pair_id", "clause_id", "ord", "similarity", "text_a", "text_b", "clause_change_kind", c("source_a.page").alias("source_page"), shown.alias("records"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as T
 from palimpsest.operators import align, anomalies, changes, chunks
 from palimpsest.plans import compare
 from palimpsest.sources import paragraphs as P
@@ -176,6 +177,25 @@ def test_people(records):
     assert all("Nhân sự" in r.tags for r in found if r.change_kind == "REPLACED")
 
 
+def test_rows_of_a_people_table(spark):
+    table = """Danh sách | x
+| STT | Họ tên | Vai trò |
+|---|:-:|---|
+| 1 | Nguyễn A | Lead  Developer | 5 năm | Java | Java | 2 năm kinh nghiệm |
+| 2 | Trần B | Thư ký |
+| a | b |
+| Lê C | lead developer | ISTQB, | 3 năm |
+| 7 | Phạm D | Lead Developer | PMP |"""
+    df = spark.createDataFrame([(table,), ("không có bảng",), (None,)], "t string")
+    found, none, null = [r.p for r in df.select(changes.personnel_rows(T.lines(F.col("t"))).alias("p")).collect()]
+    assert [tuple(r) for r in found] == [
+        ("Lead Developer", "Phạm D", "", "7, PMP", "7 | Phạm D | Lead Developer | PMP"),
+        ("row_1", "Trần B", "", "2, Thư ký", "2 | Trần B | Thư ký"),
+        ("lead developer", "Lê C", "3 năm", "ISTQB", "Lê C | lead developer | ISTQB, | 3 năm"),
+    ]
+    assert not none and not null
+
+
 def test_bands(spark):
     rows = [(1.0, 0.95, 0.9, 0.9), (0.4, 0.3, 0.3, 0.3), (0.1, 0.1, 0.1, 0.1)]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double")
@@ -192,6 +212,12 @@ def test_two_versions_end_to_end(spark):
     out = compare.compare_versions(df.where("side = 'a'"), df.where("side = 'b'"))
     s = out["statistics"].first()
     assert (s.unchanged, s.added, s.deleted) == (1, 1, 0) and s.modified + s.replaced == 1 and s.clauses_affected == 2
+    results = {r.clause_change_kind: r for r in out["results"].collect()}
+    assert results["ADDED"].source_a is None and results["ADDED"].source_b.file == "b"
+    for r in results.values():
+        source = r.source_b
+        assert all((x.source_a, x.source_b) == (r.source_a, r.source_b) for x in r.records)
+        assert source.chunk_id.startswith("doc_b__") and source.page == 1 and source.context_snippet.startswith("Điều")
     text = out["report"].first().report_markdown
     assert "## I. EXECUTIVE SUMMARY" in text and "Điều 3" in text and "- unchanged: 1" in text
 
