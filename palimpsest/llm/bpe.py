@@ -5,7 +5,7 @@ among equal ranks the leftmost. A popped entry whose symbols have changed meanwh
 merges with its neighbours on both sides join the queue. A pre-token of n characters takes O(n log n), so unbroken text of any length does.
 
 The library normalises and splits (both are tables of Unicode, read from the file); merges and decoding are done here. Where a vocabulary's pre-tokens never
-hold white space, words are encoded apart and remembered, up to `most` of them; else pre-tokens are.
+hold white space, words are encoded apart; words and pre-tokens are remembered, up to `most` of them.
 
 Decoding concatenates the vocabulary's strings: those of all ids of a batch are taken from one Arrow array, so a text is a slice of what
 lies there. A file without a decoder joins them by a space, as the library does; byte-level ones give bytes, and bytes that are no UTF-8 give U+FFFD.
@@ -20,11 +20,13 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
@@ -34,6 +36,9 @@ from palimpsest.llm.wordhash import pieces
 
 MOST = 400_000
 
+#: Words that normalisers at most lower-case: ASCII, and the letters of Latin-1.
+_SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+
 
 def _byte_chars() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: itself, or the next one from U+0100."""
@@ -42,6 +47,13 @@ def _byte_chars() -> list[str]:
     return [chr(b if b in printable else next(others)) for b in range(256)]
 
 
+_BYTE_CHARS = dict(enumerate(_byte_chars()))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
 class Encoder:
     def __init__(self, path: str, most: int = MOST) -> None:
         from tokenizers import Tokenizer
@@ -53,10 +65,14 @@ class Encoder:
             raise ValueError("only plain BPE vocabularies are known")
         self.vocabulary: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Of a pair, left * size + right, its rank; of a rank, what the pair becomes.
+        self.size = max(self.vocabulary.values()) + 1
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self.vocabulary[left], self.vocabulary[right]] = (rank, self.vocabulary[left + right])
+            self.ranks[self.vocabulary[left] * self.size + self.vocabulary[right]] = rank
+            self.made.append(self.vocabulary[left + right])
         tokenizer = Tokenizer.from_file(path)
         self.normal, self.split = tokenizer.normalizer, tokenizer.pre_tokenizer
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -67,73 +83,94 @@ class Encoder:
         probe = "a b's\n12  c"
         self.by_words = [p for w in probe.split() for p in self._parts(w)] == self._parts(probe) and not any(re.search(r"\s", x) for x in self.special)
         self.most = most
-        self.known: dict = {}
-        self.parts: dict[str, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.simple = self._pattern(spec)
+
+    @staticmethod
+    def _pattern(spec: dict) -> regex.Pattern | None:
+        """What splits simple words, once lower-cased, where the file says that nothing else happens to them."""
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if steps != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in parts] != ["Split", "ByteLevel"]:
+            return None
+        plain = parts[0]["invert"] and parts[0]["behavior"] == "Removed" and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]
+        return regex.compile(parts[0]["pattern"]["Regex"]) if plain else None
 
     def _parts(self, text: str) -> list[str]:
         text = self.normal.normalize_str(text) if self.normal else text
         return [p for p, _ in self.split.pre_tokenize_str(text)] if self.split else [text] if text else []
 
     def merge(self, part: str) -> list[int]:
-        """The ids of one pre-token."""
-        symbols = [*part[:-1], part[-1] + self.suffix]
-        ids = [i for i in map(self.vocabulary.get, symbols) if i is not None]
-        n, merges = len(ids), self.merges
+        """The ids of one pre-token. Entries of the queue are rank << 32 | place."""
+        vocabulary, size, rank_of = self.vocabulary, self.size, self.ranks.get
+        ids = [vocabulary[s] for s in (*part[:-1], part[-1] + self.suffix) if s in vocabulary]
+        n = len(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = [(*found, at) for at in range(n - 1) if (found := merges.get((ids[at], ids[at + 1])))]
-        queue = [(rank, at, made) for rank, made, at in queue]
+        queue = [rank << 32 | at for at in range(n - 1) if (rank := rank_of(ids[at] * size + ids[at + 1])) is not None]
         heapq.heapify(queue)
         while queue:
-            rank, at, made = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            rank, at = entry >> 32, entry & 0xFFFFFFFF
             right = after[at]
-            if ids[at] < 0 or right >= n or merges.get((ids[at], ids[right])) != (rank, made):
+            if ids[at] < 0 or right >= n or rank_of(ids[at] * size + ids[right]) != rank:
                 continue
+            made = self.made[rank]
             ids[at], ids[right] = made, -1
             after[at] = further = after[right]
             if further < n:
                 before[further] = at
-                if found := merges.get((made, ids[further])):
-                    heapq.heappush(queue, (found[0], at, found[1]))
+                if (rank := rank_of(made * size + ids[further])) is not None:
+                    heapq.heappush(queue, rank << 32 | at)
             left = before[at]
-            if left >= 0 and (found := merges.get((ids[left], made))):
-                heapq.heappush(queue, (found[0], left, found[1]))
+            if left >= 0 and (rank := rank_of(ids[left] * size + made)) is not None:
+                heapq.heappush(queue, rank << 32 | left)
         return [i for i in ids if i >= 0]
 
     def _learn(self, word: str) -> bytes:
-        ids: list[int] = []
+        if self.simple and _SIMPLE.fullmatch(word) and "<|" not in word:
+            pieces_ = [p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_CHARS) for p in self.simple.findall(word.lower())]
+            return b"".join([self._part(p) for p in pieces_])
+        out = []
         for segment in self.added.split(word) if self.added else [word]:
             if segment in self.special:
-                ids.append(self.special[segment])
+                out.append(_packed([self.special[segment]]))
             elif segment:
-                for part in self._parts(segment):
-                    if part not in self.parts:
-                        self.parts[part] = self.merge(part)
-                    ids += self.parts[part]
-        return np.array(ids, dtype="<i4").tobytes()
+                out += [self._part(p) for p in self._parts(segment)]
+        return b"".join(out)
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            found = self.parts[part] = _packed(self.merge(part))
+        return found
 
-    def _remembered(self, words: list, learn) -> bytes:
+    def _remembered(self, words: list[bytes]) -> bytes:
+        if len(self.known) + len(self.parts) > self.most:
+            self.known.clear()
+            self.parts.clear()
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-                self.parts.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = learn(w)
-            return b"".join([known[w] for w in words])
+        found = list(map(known.get, words))
+        if None in found:
+            for at, w in enumerate(words):
+                if found[at] is None:
+                    found[at] = known.get(w)
+                    if found[at] is None:
+                        found[at] = known[w] = self._learn(w.decode())
+        return b"".join(found)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit bytes."""
         if self.by_words:
-            return self._remembered(text.encode().split(), lambda w: self._learn(w.decode()))
+            return self._remembered(text.encode().split())
         out = []
         for segment in self.added.split(text) if self.added else [text]:
             if segment in self.special:
-                out.append(self.special[segment].to_bytes(4, "little"))
+                out.append(_packed([self.special[segment]]))
             elif segment:
-                out.append(self._remembered(self._parts(segment), lambda p: np.array(self.merge(p), dtype="<i4").tobytes()))
+                if len(self.parts) > self.most:
+                    self.parts.clear()
+                out += [self._part(p) for p in self._parts(segment)]
         return b"".join(out)
 
 
