@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import ids
 from palimpsest.functions import text as T
-from palimpsest.operators import align, anomalies, changes, chat, chunks, enrich, evaluate, report, retrieval, sessions, vector_index
+from palimpsest.functions.tables import shared_dir
+from palimpsest.operators import align, anomalies, changes, chat, chunks, enrich, evaluate, report, retrieval, session_store, sessions, vector_index
 from palimpsest.plans import compare
 from palimpsest.rules import PRESETS, Settings
 from palimpsest.sources import paragraphs
@@ -720,3 +722,15 @@ def merged_clauses(spark, d):
     merged = changes.merge_clauses(rows)
     shown = F.array_join(F.transform("records", lambda r: F.concat(r["change_kind"], r["tags"][0])), ",")
     return merged.select("pair_id", "clause_id", "ord", "similarity", "text_a", "text_b", "clause_change_kind", c("source_a.page").alias("source_page"), shown.alias("records"))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS session_id, o_orderkey, o_orderstatus FROM orders WHERE o_custkey % 5 <> 0 AND (o_custkey % 3 <> 0 OR o_orderkey % 2 = 0)")
+def session_commits(spark, d):
+    """Customers as sessions of their orders: all are committed, some again with fewer orders, some deleted."""
+    store = session_store.SessionStore(spark, f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}")
+    orders = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("session_id"), "o_custkey", "o_orderkey", "o_orderstatus")
+    again = orders.where("o_custkey % 3 = 0")
+    store.commit({"sessions": orders.select("session_id").distinct(), "results": orders})
+    store.commit({"sessions": again.select("session_id").distinct(), "results": again.where("o_orderkey % 2 = 0")})
+    store.delete(orders.where("o_custkey % 5 = 0").select("session_id"))
+    return store.table("results").select("session_id", "o_orderkey", "o_orderstatus")
