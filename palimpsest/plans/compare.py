@@ -116,21 +116,30 @@ def _chunked(paragraphs: DataFrame, settings: Settings) -> DataFrame:
     return cut(made.withColumns({"i": place, "key": T.anchor_form(F.col("content")), "clause": T.anchor_form(F.coalesce("breadcrumb", "title"))}))
 
 
-def compare_versions(a: DataFrame, b: DataFrame, embedder: retrieval.Embedder | None = None, settings: Settings = Settings()) -> dict[str, DataFrame]:
-    """a, b: paragraphs with pair_id. Chunks, pairs, clauses, results, statistics and reports of all pairs.
+def prepare(a: DataFrame, b: DataFrame, embedder: retrieval.Embedder | None = None, settings: Settings = Settings()) -> dict[str, DataFrame]:
+    """a, b: paragraphs with pair_id. What no threshold changes: the chunks of either side, with vectors where a gap asks for them, and the runs between anchors.
 
-    What several later steps read (chunks, vectors, classified pairs, clauses, records, results) is written once, so no step's plan repeats those before it.
-    Only chunks between anchors are embedded."""
+    What several later steps read is written once, so no step's plan repeats those before it. Only chunks between anchors are embedded."""
     embedder = embedder or retrieval.HashingEmbedder()
     made = {name: _chunked(paragraphs, settings) for name, paragraphs in (("a", a), ("b", b))}
     runs = cut(align.runs(made["a"], made["b"]))
     asked = align.in_gaps(runs)
-    sides = {}
+    sides = {"runs": runs}
     for name, rows in made.items():
         own = asked.where(F.col("side") == name).select("pair_id", "i")
         vectors = retrieval.embed(rows.join(own, ["pair_id", "i"], "left_semi").select("pair_id", "i", "content"), embedder, batch=settings.embed_batch)[0]
         sides[name] = cut(rows.join(vectors.select("pair_id", "i", "vec"), ["pair_id", "i"], "left"))
-    x, y = sides["a"], sides["b"]
+    return sides
+
+
+def compare_versions(a: DataFrame, b: DataFrame, embedder: retrieval.Embedder | None = None, settings: Settings = Settings()) -> dict[str, DataFrame]:
+    """a, b: paragraphs with pair_id. Chunks, pairs, clauses, results, statistics and reports of all pairs."""
+    return compare_prepared(prepare(a, b, embedder, settings), settings)
+
+
+def compare_prepared(prepared: dict[str, DataFrame], settings: Settings = Settings()) -> dict[str, DataFrame]:
+    """What compare_versions returns, from what prepare has made; settings may differ in thresholds."""
+    x, y, runs = prepared["a"], prepared["b"], prepared["runs"]
     aligned = cut(align.align(x, y, settings, runs))
     side = lambda df, i, s: df.select("pair_id", F.col("i").alias(i), F.col("content").alias(f"text_{s}"), F.col("breadcrumb").alias(f"clause_{s}"), chunks.source_ref(F.col("doc_label")).alias(f"source_{s}"))
     rows = aligned.join(side(x, "i", "a"), ["pair_id", "i"], "left").join(side(y, "j", "b"), ["pair_id", "j"], "left")
