@@ -1,20 +1,18 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup: words that windows found elsewhere cover, by winnowed phrases and look-ups of windows.
 
-A word that is covered by a window of `window` words which starts anywhere else too, in any document, goes. The corpus is its own
-reference. Its index holds seeds: of each window, the k-word gram with the smallest hash (the last on ties). As a window's seed follows
-from its words alone, equal windows have equal seeds, so a document meets every place of every reference block that could match it
-by its seeds, and the shuffle by hash brings it to all blocks at once.
+It stands in for a relative Lempel-Ziv parse, which is not built here: no greedy longest factors against reference blocks are made. All that is asked is which windows of
+`window` words start anywhere else too, in any document; a word that such a window covers goes. Equal windows have equal seeds, so this answers it for all documents at once, in plain joins.
+A window's seed is its k-word gram with the smallest hash (the last on ties), which follows from its words alone.
 
 1. Each document is cut into phrases: the runs of windows with one seed (about 2 of 29 words start one).
-2. Greedy factors: a phrase found elsewhere word for word is part of a factor, and all its windows are duplicates. Inside a long
-   repeat, both copies fall into the same phrases, so factors cover it but for its two ends.
-3. Factor boundaries: windows of phrases that are not found as a whole, but whose seed also lies elsewhere, are looked up one by one.
+2. A phrase found elsewhere word for word: all its windows are duplicates. Inside a long repeat both copies fall into the same phrases, so these cover it but for its two ends.
+3. At its ends: windows of phrases that are not found as a whole, but whose seed also lies elsewhere, are looked up one by one.
    One place of each repeated phrase lists its windows too, where such a seed asks for them, so no match is missed.
 
 Hashes of phrases and windows have 128 bits. Hot phrases only make rows of plain joins, which AQE can split; nothing but the spans of
 one document is gathered.
 
-Cases: null and empty texts have no words and lose none. Texts under `window` words lose none. Equal rows count as each other's
+Cases: null and empty texts have no words and lose none. Very long texts are taken whole. Texts under `window` words lose none. Equal rows count as each other's
 copies. Other columns pass through. An empty table gives an empty result.
 """
 
