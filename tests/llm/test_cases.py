@@ -36,10 +36,12 @@ def _sets(spark):
         "op9": minhash.near_duplicates,
         "op10": line_templates.drop_recurring_lines,
         "op13": lambda d: bpe.encode(d, vocabulary("word_bpe_49k.json")),
-    } | {name: (lambda d, f=f: f(spark, d, "/root/testdata/sf0.001")) for name, f in corpus_pipeline.STAGES[:-1]}
+    } | {name: (lambda d, f=f: f(spark, d, "/root/testdata/sf0.001")) for name, f in corpus_pipeline.STAGES}
 
 
 OPERATORS = [*[f"op{i}" for i in range(1, 11)], "op13", "quality_classifier", "line_dedup", "near_dedup", "substring_dedup"]
+#: The last stage returns pieces, without other columns.
+ALL = [*OPERATORS, "best_fit_packing"]
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -57,13 +59,13 @@ def test_columns_of_any_name_pass_through(spark, name):
     assert {r.doc_id for r in found} == {0, 1, 2} or name in ("quality_classifier", "near_dedup")
 
 
-@pytest.mark.parametrize("name", OPERATORS)
+@pytest.mark.parametrize("name", ALL)
 def test_empty_texts_null_ids_and_repeated_rows(spark, name):
     operator = _sets(spark)[name]
     schema = "doc_id bigint, text string, lang string"
-    kept = {"op3": lambda r: r.rank == 1, "op7": lambda r: r.piece == 0}.get(name, lambda r: True)
+    kept = {"op3": lambda r: r.rank == 1, "op7": lambda r: r.piece == 0, "best_fit_packing": lambda r: r.piece == 0}.get(name, lambda r: True)
     tables = [[(1, None, None), (2, "", "en"), (None, None, None)], [(None, "a b c", "en"), (None, "a b c", "en"), (5, "x y z", "de"), (5, "x y w", "de"), (5, "x y z", "de"), (6, " \n", None)], []]
-    for rows in tables if name.startswith("op") else tables[1:2]:
+    for rows in tables:
         found = [r for r in operator(spark.createDataFrame(rows, schema).repartition(3)).collect() if kept(r)]
         # the pipeline's near_dedup drops copies; all other operators keep every row
         if name == "near_dedup":
@@ -72,7 +74,7 @@ def test_empty_texts_null_ids_and_repeated_rows(spark, name):
             assert Counter(r.doc_id for r in found) == Counter(r[0] for r in rows)
 
 
-@pytest.mark.parametrize("name", OPERATORS)
+@pytest.mark.parametrize("name", ALL)
 def test_very_long_texts(spark, name):
     rng = random.Random(21)
     long = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60_000))

@@ -1,3 +1,8 @@
+import random
+import re
+import zlib
+
+import numpy as np
 import pytest
 
 from palimpsest.llm.queries import ORACLE_SQL, QUERIES
@@ -28,8 +33,6 @@ def test_stages(spark, tmp_path):
 
 
 def test_near_copies_alone_make_no_recurring_line(spark):
-    import random
-
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
     base = [[word() for _ in range(12)] for _ in range(20)]
@@ -49,3 +52,57 @@ def test_near_copies_alone_make_no_recurring_line(spark):
     assert {n: found[n] for n in range(100, 125)} == {n: texts[n].split("\n")[1] for n in range(100, 125)}
     left = {r.doc_id for r in stages["near_dedup"](spark, after, SF).select("doc_id").collect()}
     assert left == {0, *range(100, 125)}
+
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def _fixture():
+    """Documents whose fate in each stage is known: junk goes, a recurring line goes, of near copies the first stays, and a shared passage goes from both its documents."""
+    rng = random.Random(31)
+    word = lambda: rng.choice("bcdfg") + "".join(rng.choice("aeiou") + rng.choice("lmnrst") for _ in range(3))
+    texts, expected = {}, {}
+    notice = "all rights in these pages are reserved by their owners"
+    for n in range(60):
+        lines = [" ".join(word() for _ in range(12)) for _ in range(8)]
+        texts[n] = "\n".join([*lines[:4], *([notice] if n < 30 else []), *lines[4:]])
+        expected[n] = "\n".join(lines)
+    passage = [word() for _ in range(60)]
+    for n in (60, 61):
+        own = [word() for _ in range(100)]
+        texts[n] = " ".join([*own[:50], *passage, *own[50:]])
+        expected[n] = " ".join(own)
+    base = [word() for _ in range(200)]
+    for n in (70, 71, 72):
+        own = list(base)
+        own[10 * (n - 69)] = word()
+        texts[n] = " ".join(own)
+    expected[70] = texts[70]
+    for n in range(80, 100):
+        texts[n] = " ".join(rng.choice(["$$$", "###", "click", "win", "@@", "now!!"]) for _ in range(120))
+    labels = [(n, 1, 0) for n in range(0, 75)] + [(n, 0, 0) for n in range(80, 95)]
+    return texts, expected, labels
+
+
+def test_run_against_what_each_stage_must_do(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from palimpsest.llm.queries import vocabulary
+
+    texts, expected, labels = _fixture()
+    rows = [(n, t, "en", "s", len(t)) for n, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found, by_sequence = {}, {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        found.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    assert found.keys() == expected.keys()
+    tokenizer = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    for n, text in expected.items():
+        ids = tokenizer.encode(" ".join(WORD.findall(text)), add_special_tokens=False).ids + [0]
+        (piece,) = found[n]
+        assert (piece.piece, piece.start, piece.length, piece.ids_crc32) == (0, 0, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+    for own in by_sequence.values():
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))] and sum(r.length for r in own) <= 2048
