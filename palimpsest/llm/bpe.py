@@ -34,7 +34,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 from palimpsest.llm.shared import Carried, quoted
 from palimpsest.llm.wordhash import pieces
 
-MOST = 400_000
+MOST = 300_000
 
 #: Words that normalisers at most lower-case: ASCII, and the letters of Latin-1.
 _SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")

@@ -40,7 +40,7 @@ class WordEncoder:
     from the file; a file of another make, and words that are not simple, are left to the library.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 100_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

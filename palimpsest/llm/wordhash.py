@@ -40,7 +40,7 @@ def powers(base: int, n: int) -> np.ndarray:
         found = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         found[0] = 1
         found = np.cumprod(found, dtype=np.uint64)
-        if len(found) <= 1 << 23:
+        if len(found) <= 1 << 21:
             _powers[base] = found
     return found[:n]
 
@@ -101,7 +101,7 @@ class Words:
         return spans.hash(at, np.minimum(at + n, ends[at])), np.repeat(np.arange(len(self.counts)), self.counts)[at]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches with little text (or one row), so that numpy's arrays stay small."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()).fill_null("")
