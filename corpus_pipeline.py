@@ -19,10 +19,21 @@ from palimpsest.llm.shared import Carried, cut, quoted, row_key, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Rows of a batch that goes to Python: texts are long, and a batch lies in memory several times on its way.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """For the session, as a stage's result is computed after the stage has returned."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
 
 def _through(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows that stage leaves, with docs' columns; n_chars, where docs have it, is the length of what the text is now. The stage
     sees doc_id and text only, so no other column's name can meet one that it makes."""
+    _small_batches(docs.sparkSession)
     work = Carried(docs, [], {"doc_id": "doc_id", "text": "text"}, doc_id=F.col("doc_id"), text=F.col("text"))
     rows = work.back(stage(work.rows))
     if "n_chars" in docs.columns:
@@ -36,6 +47,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _components(docs: DataFrame) -> DataFrame:
     """row (see row_key) and component of each document, its near copies included."""
+    _small_batches(docs.sparkSession)
     keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "doc_id", "text")
     return minhash.near_duplicates(keyed).select("row", "component_id", "kept")
 
@@ -60,6 +72,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return packing.pack(docs.select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
 
 
