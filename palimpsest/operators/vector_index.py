@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.tables import cut
 from palimpsest.operators.align import cosine
+from palimpsest.operators.retrieval import CELLS, least, matrix, unit
 
 SAMPLE, ROUNDS, PARTS, ENTRIES, MOST_CELLS = 100_000, 6, 16, 256, 65_536
 BLOCK, CHUNK, CANDIDATES = 20_000, 4_000, 150
@@ -46,16 +47,6 @@ def _usable() -> Column:
     return F.col("vec").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of lists of one length, in double."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / (np.sqrt((x * x).sum(axis=1, keepdims=True)) + 1e-9)
-
-
 def _nearest(x: np.ndarray, entries: np.ndarray) -> np.ndarray:
     """Of each row the nearest entry, the first among equals."""
     step = max(1, (1 << 22) // max(1, len(entries)))
@@ -101,7 +92,7 @@ def _fitted(rows: DataFrame, given: Model | None, books: list[np.ndarray], bound
         def sums(batches: Iterator[pa.RecordBatch], books: list[np.ndarray] = books) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(books), most, wide), dtype=np.int64)
             for batch in batches:
-                x = _unit(_matrix(batch.column("vec")))
+                x = unit(matrix(batch.column("vec")))
                 if len(x):
                     x = given.residuals(x)[1] if given else x
                     for k, book in enumerate(books):
@@ -140,7 +131,7 @@ def build(items: DataFrame, path: str | None = None, cells: int | None = None, p
     drawn = cut(rows.where(F.pmod(F.xxhash64("item_id"), F.lit(1 << 30)) <= share).select("item_id", "vec"))
     cells = max(1, min(MOST_CELLS, cells or math.isqrt(n)))
     begin = drawn.orderBy(F.xxhash64("item_id", F.lit("start")), "item_id").limit(max(cells, entries)).select("vec").toArrow().column("vec").combine_chunks()
-    begin = _unit(_matrix(begin))
+    begin = unit(matrix(begin))
     d = begin.shape[1]
     bounds = [k * d // min(parts, d) for k in range(min(parts, d) + 1)]
     model = Model(bounds, _fitted(drawn.select("vec"), None, [begin[:cells].copy()], [0, d], rounds)[0])
@@ -151,7 +142,7 @@ def build(items: DataFrame, path: str | None = None, cells: int | None = None, p
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            x = _unit(_matrix(batch.column("vec")))
+            x = unit(matrix(batch.column("vec")))
             if not len(x):
                 continue
             cell, residual = model.residuals(x)
@@ -181,7 +172,7 @@ def _probes(index: VectorIndex, rows: DataFrame) -> int:
     if not found.num_rows:
         return len(index.model.cells)
     centroids, own = index.model.cells, found.column("cell").to_numpy()
-    square = (centroids * centroids).sum(axis=1) - 2 * _unit(_matrix(found.column("vec").combine_chunks())) @ centroids.T
+    square = (centroids * centroids).sum(axis=1) - 2 * unit(matrix(found.column("vec").combine_chunks())) @ centroids.T
     nearer = (square < square[np.arange(len(own)), own][:, None]).sum(axis=1)
     return int(np.quantile(nearer, RECALL, method="higher")) + 1
 
@@ -221,7 +212,7 @@ def _asked(queries: DataFrame, index: VectorIndex, probes: int | None) -> DataFr
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                x = _unit(_matrix(batch.column("vec")))
+                x = unit(matrix(batch.column("vec")))
                 square = np.maximum(1 + (model.cells * model.cells).sum(axis=1) - 2 * x @ model.cells.T, 0)
                 square[:, radius < 0] = np.inf
                 if within:
@@ -256,16 +247,16 @@ def _met(asked: DataFrame, index: VectorIndex, n: int, exact: bool) -> DataFrame
         queries, items = right.column("query_id").combine_chunks(), left.column("item_id").combine_chunks()
         if not len(queries) or not len(items):
             return pa.table({"query_id": queries.slice(0, 0), "item_id": items.slice(0, 0), "distance": pa.array([], pa.float64())})
-        q = _unit(_matrix(right.column("vec").combine_chunks()))
+        q = unit(matrix(right.column("vec").combine_chunks()))
         if exact:
-            points = _unit(_matrix(left.column("vec").combine_chunks()))
+            points = unit(matrix(left.column("vec").combine_chunks()))
         else:
             raw = np.frombuffer(b"".join(left.column("code").to_pylist()), dtype=np.uint8)
             points = model.decoded(key[0].as_py(), raw.reshape(len(items), -1))
         half = 0 if exact else ((points * points).sum(axis=1) - 1) / 2
         order = pc.rank(items).to_numpy()
         rows, columns, values = [], [], []
-        step = max(1, (1 << 24) // len(items))
+        step = max(1, CELLS // len(items))
         for at in range(0, len(q), step):
             distance = 1 - q[at : at + step] @ points.T + half
             distance = np.round(distance, 6) if exact else distance
@@ -273,14 +264,7 @@ def _met(asked: DataFrame, index: VectorIndex, n: int, exact: bool) -> DataFrame
             distance[np.flatnonzero(own >= 0), own[own >= 0]] = np.inf
             most = min(n, len(items))
             if exact:
-                # all that are as near as the n-th, then by id
-                bound = np.partition(distance, most - 1, axis=1)[:, most - 1 : most]
-                row, column = np.nonzero(distance <= bound)
-                by = np.lexsort((order[column], distance[row, column], row))
-                row, column = row[by], column[by]
-                first = np.searchsorted(row, row)
-                few = np.arange(len(row)) - first < most
-                row, column = row[few], column[few]
+                row, column = least(distance, order, n)
             else:
                 column = np.argpartition(distance, most - 1, axis=1)[:, :most].reshape(-1)
                 row = np.repeat(np.arange(len(distance)), most)

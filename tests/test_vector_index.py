@@ -1,8 +1,10 @@
 """The vector index: recall and the exact mode against all rows, hot cells, odd vectors, an index kept and read again."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from palimpsest.operators import retrieval, vector_index
@@ -62,3 +64,31 @@ def test_kept_index_and_odd_vectors(spark, tmp_path):
         assert abs(nearest[0] - r.distance) <= 2e-6
     empty = vector_index.build(items.limit(0), f"file://{tmp_path}/empty")
     assert vector_index.search(empty, queries).count() == 0 and vector_index.load(spark, f"file://{tmp_path}/empty").model is None
+
+
+@pytest.mark.parametrize("by", [None, "label"])
+def test_nearest_holds_few_distances_at_a_time(by):
+    """A block of items and a chunk of queries of full size: 640 MB of distances if they are all held."""
+    rng = np.random.default_rng(3)
+    vec = pa.array(list(rng.normal(size=(20_000, 8)).astype(np.float32)), pa.list_(pa.float32()))
+    items = pa.table({"item_id": np.arange(20_000), "vec": vec, "label": pa.array([None if i % 5 == 0 else i % 3 for i in range(20_000)], pa.int32())})
+    queries = items.slice(0, 4_000).rename_columns(["query_id", "vec", "label"])
+    tracemalloc.start()
+    found = retrieval.met(items, queries, 3, by)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    assert found.num_rows == 3 * (4_000 - 800 if by else 4_000)
+    x = retrieval.unit(np.stack(vec.to_numpy(zero_copy_only=False)).astype(np.float64))
+    label = items.column("label").to_pylist()
+    for q in (1, 999, 3_999):
+        own = [i for i in range(20_000) if i != q and (not by or label[i] is not None and label[i] == label[q])] if not by or label[q] is not None else []
+        expected = sorted((round(1 - float(x[q] @ x[i]), 6), i) for i in own)[:3]
+        assert [(r["distance"], r["item_id"]) for r in found.to_pylist() if r["query_id"] == q] == expected
+
+
+def test_nearest_with_undefined_distances(spark):
+    """A vector that isn't a number is nobody's neighbour, and the others keep theirs, though they are fewer than n."""
+    items = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [float("nan"), 1.0]), (3, [0.0, 1.0])], "item_id bigint, vec array<float>")
+    found = retrieval.nearest(items.withColumnRenamed("item_id", "query_id"), items, 3).collect()
+    assert sorted((r.query_id, r.item_id) for r in found) == [(0, 1), (0, 3), (1, 0), (1, 3), (3, 0), (3, 1)]
