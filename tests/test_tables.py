@@ -1,5 +1,7 @@
 import os
 
+from pyspark.sql import functions as F
+
 from palimpsest.functions import tables
 
 
@@ -29,3 +31,23 @@ def test_scratch_drops_its_tables_after_an_error(spark):
     except KeyError:
         pass
     assert not _there(left[0])
+
+
+def test_once_judges_recurring_inputs_once_and_others_by_row(spark, monkeypatch):
+    asked = []
+
+    def judge(x):
+        asked.append(x.count())
+        return x.withColumn("n", F.length("s") + F.coalesce(F.length("t"), F.lit(100)))
+
+    def found(rows):
+        return sorted((r.id, r.n is None, r.n) if r.n is not None else (r.id, True, 0) for r in tables.once(rows, ["s", "t"], judge, ["n"]).select("id", "n").collect())
+
+    text = F.when(F.col("id") % 7 != 0, F.repeat(F.lit("a"), (F.col("id") % 5).cast("int")))
+    rows = spark.range(1000).select("id", text.alias("s"), F.when(F.col("id") % 3 > 0, F.lit("b")).alias("t"))
+    expected = [(i, False, i % 5 + (1 if i % 3 else 100)) if i % 7 else (i, True, 0) for i in range(1000)]
+    assert found(rows) == expected and asked == [12]
+    monkeypatch.setattr(tables, "MOST_ONCE_BYTES", 1)
+    assert found(rows) == expected and asked == [12, 1000]
+    monkeypatch.setattr(tables, "MOST_ONCE", 3)
+    assert found(rows) == expected and asked == [12, 1000, 1000]
