@@ -8,7 +8,7 @@ are the lists of those phrases: a position meets the one after it. A list's leng
 
 How blocks learn what is frequent: a block sends, by hash, its words or phrases with their list lengths, packed into one row for each bucket of hashes. A bucket's rows are
 added up in one task, which numbers what is frequent and sends every block the numbers of what it has. Buckets are as many as keep each
-small, a phrase has one entry a block there however often it occurs, and nothing of it passes the driver. Blocks travel
+small, a phrase has one entry a block there however often it occurs, and nothing of it passes the driver. Blocks are read one at a time and travel
 to meet their answers as packed binary columns: differences, byte by byte, which compress well. Tables of a step go when the next is written.
 
 A phrase's score is that of its worst cut: its first and last parts are phrases of the same tables, so their frequencies come from joins. Products are decimals of 38 digits.
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import cut, drop, quoted
+from palimpsest.llm.shared import batches_of, cut, drop, quoted
 from palimpsest.llm.wordhash import finish
 
 LEAST, LONGEST, MOST_LISTED = 100, 5, 2000
@@ -302,13 +302,8 @@ def _asked(sent: DataFrame, answer) -> tuple[DataFrame, DataFrame, int]:
     return answers.where("block IS NOT NULL").select("bucket", "block", "keys", "counts"), frequent, each.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
 
-def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES, bucket_entries: int = BUCKET_ENTRIES) -> tuple[DataFrame, DataFrame]:
-    """Phrases of 1 to `longest` words with their frequency a of at least `least`: lang, k, phrase, a; and lang and n, the number of words.
-
-    `least` is a threshold over the corpus; the other two bound a task's memory and change no result.
-    """
-    body, name = F.coalesce(F.col(quoted(text)), F.lit("")), F.coalesce(F.col(quoted(lang)), F.lit("und"))
-    blocks = cut(docs.select(body.alias("text"), name.alias("lang")).mapInArrow(_blocks(block_bytes), _BLOCK))
+def _found(blocks: DataFrame, least: int, longest: int, bucket_entries: int) -> tuple[list[DataFrame], DataFrame]:
+    """The frequent phrases of each length, and lang and n."""
     total = cut(blocks.groupBy("lang").agg(F.sum("n").alias("n")))
     entries = blocks.agg(F.coalesce(F.sum(F.octet_length("sizes")), F.lit(0))).first()[0] // 8
     buckets = max(1, math.ceil(entries / bucket_entries))
@@ -317,7 +312,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     words = cut(frequent.mapInArrow(_numbered_words(most), "id bigint, lang string, phrase string, a bigint"))
     found, n_words, numbers = [words], buckets * most, buckets * most
     if numbers:
-        lists = cut(blocks.select("block", "ends", "positions").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_kept(most), _LISTS))
+        lists = cut(blocks.select("block", "ends", "positions").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_kept(most), _LISTS), large_rows=True)
     drop(answers)
     drop(blocks)
     for k in range(1, longest):
@@ -333,12 +328,25 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
             head, last = found[-1].select(F.col("id").alias("before"), "lang", F.col("phrase").alias("head")), words.select(F.col("id").alias("last"), F.col("phrase").alias("word"))
             found.append(cut(rows.join(head, "before").join(last, "last").select("id", "lang", F.concat_ws(" ", "head", "word").alias("phrase"), "a")))
             if k + 1 < longest:
-                grown = cut(lists.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_grown(n_words, most), _LISTS))
+                grown = cut(lists.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_grown(n_words, most), _LISTS), large_rows=True)
                 drop(lists)
                 lists = grown
         drop(answers)
     if n_words:
         drop(lists)
+    return found, total
+
+
+def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES, bucket_entries: int = BUCKET_ENTRIES) -> tuple[DataFrame, DataFrame]:
+    """Phrases of 1 to `longest` words with their frequency a of at least `least`: lang, k, phrase, a; and lang and n, the number of words.
+
+    `least` is a threshold over the corpus; the other two bound a task's memory and change no result.
+    """
+    body, name = F.coalesce(F.col(quoted(text)), F.lit("")), F.coalesce(F.col(quoted(lang)), F.lit("und"))
+    blocks = cut(docs.select(body.alias("text"), name.alias("lang")).mapInArrow(_blocks(block_bytes), _BLOCK), large_rows=True)
+    # a block is a row of megabytes, and a task may read many
+    with batches_of(docs.sparkSession, 1):
+        found, total = _found(blocks, least, longest, bucket_entries)
     out = None
     for k, rows in enumerate(found, 1):
         rows = rows.select("lang", F.lit(k).alias("k"), "phrase", "a")

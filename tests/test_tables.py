@@ -1,5 +1,7 @@
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from palimpsest.functions import tables
@@ -51,3 +53,17 @@ def test_once_judges_recurring_inputs_once_and_others_by_row(spark, monkeypatch)
     assert found(rows) == expected and asked == [12, 1000]
     monkeypatch.setattr(tables, "MOST_ONCE", 3)
     assert found(rows) == expected and asked == [12, 1000, 1000]
+
+
+def test_large_rows_are_written_and_read_a_few_at_a_time(spark):
+    """Sixty rows of half a megabyte were one row group of one page, and their least and greatest were kept."""
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8000)), lambda i: F.sha2(F.concat_ws("-", "id", i), 256)), "").cast("binary")
+    rows = tables.cut(spark.range(60).repartition(1).withColumn("body", body), large_rows=True)
+    (file,) = (x.removeprefix("file://") for x in rows.inputFiles())
+    written = pq.ParquetFile(file).metadata
+    groups = [written.row_group(i) for i in range(written.num_row_groups)]
+    assert max(g.total_byte_size for g in groups) < 8 << 20 and not any(g.column(1).is_stats_set for g in groups)
+    with tables.batches_of(spark, 1):
+        sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n bigint").collect()
+    assert [r.n for r in sizes] == [1] * 60
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "1"
