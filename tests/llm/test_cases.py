@@ -297,3 +297,16 @@ def test_rules_as_a_table(spark):
     rules = {(r.host, r.path): r.verdict for r in listed.collect()}
     for r in bloom_cascade.filter_urls(urls, listed).collect():
         assert r.verdict == rules.get((r.host, r.path), "allow") and (r.rule is None) == ((r.host, r.path) not in rules)
+
+
+def test_all_labelled_rows_are_learnt_from(spark):
+    """Each toxic word is in a dozen texts only, over many shards: a part of the rows wouldn't tell them. How the rows lie makes no difference."""
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(300)}"
+    texts = [" ".join([*(word() for _ in range(50)), *([f"scum{i // 3 % 25}"] if i % 3 == 0 else []), word()]) for i in range(1100)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(900)], "doc_id bigint, toxic int")
+    found = {r.doc_id: r for r in toxicity.score(docs, toxicity.train(docs, labels, most_bytes=20_000)).collect()}
+    assert sum(found[i].predicted == (i % 3 == 0) for i in range(900, 1100)) >= 180
+    again = toxicity.score(docs, toxicity.train(docs.repartition(7), labels.repartition(3), most_bytes=20_000)).collect()
+    assert all(r.score == found[r.doc_id].score for r in again)
