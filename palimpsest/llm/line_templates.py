@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import SPACE, Carried, cut, quoted, row_key
+from palimpsest.llm.shared import SPACE, Carried, cut, quoted, row_key, small
 
 VARIABLE = "<*>"
 
@@ -38,10 +38,11 @@ def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 20, dep
     """Each line to drop: row (16 bytes, see shared.row_key over doc_id and text), line (from 0), template. families: row and family (bigint);
     rows of one family count as one document."""
     body = F.col(quoted(text))
-    lines = docs.select(row_key(F.col("doc_id"), body).alias("row"), F.xxhash64(body).alias("doc"), F.posexplode(F.split(body, "\n")).alias("line", "raw"))
-    lines = lines.select("row", "doc", "line", _tokens(F.col("raw")).alias("tokens")).where(F.size("tokens") >= min_fixed)
+    rows = docs.select(row_key(F.col("doc_id"), body).alias("row"), F.xxhash64(body).alias("doc"), body.alias("body"))
     if families is not None:
-        lines = lines.join(families, "row", "left").withColumn("doc", F.coalesce("family", "doc")).drop("family")
+        rows = rows.join(small(families), "row", "left").withColumn("doc", F.coalesce("family", "doc"))
+    lines = rows.select("row", "doc", F.posexplode(F.split("body", "\n")).alias("line", "raw"))
+    lines = lines.select("row", "doc", "line", _tokens(F.col("raw")).alias("tokens")).where(F.size("tokens") >= min_fixed)
     leaf = _named(F.size("tokens"), F.slice("tokens", 1, depth))
     lines = cut(lines.select("row", "doc", "line", leaf.alias("leaf"), "tokens"))
     # leaves that too few documents reach hold no recurring template

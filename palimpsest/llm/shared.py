@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from palimpsest.functions.tables import batches_of, cut, drop, shared_dir
+from palimpsest.functions.tables import batches_of, cut, drop, shared_dir, small
 
 #: White space between words: space and U+0009 to U+000D, the characters `bytes.split()` splits on.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
-__all__ = ["SPACE", "Carried", "batches_of", "cut", "drop", "let", "quoted", "row_key", "shared_dir", "table"]
+__all__ = ["SPACE", "Carried", "batches_of", "cut", "drop", "let", "quoted", "row_key", "shared_dir", "small", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -106,3 +106,23 @@ def test_run_against_what_each_stage_must_do(spark, tmp_path):
     for own in by_sequence.values():
         own.sort(key=lambda r: r.offset)
         assert [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))] and sum(r.length for r in own) <= 2048
+
+
+def test_families_meet_documents_not_lines(spark, monkeypatch):
+    """No shuffle before the lines are written: families are broadcast to the documents, also where Spark's own threshold wouldn't."""
+    from pyspark.sql import functions as F
+
+    from palimpsest.llm import line_templates
+    from palimpsest.llm.shared import row_key
+
+    plans, write = [], line_templates.cut
+    monkeypatch.setattr(line_templates, "cut", lambda df: (plans.append(df._jdf.queryExecution().toString()), write(df))[1])
+    docs = spark.createDataFrame([(i, f"a b c\nd e {i} f") for i in range(50)], "doc_id bigint, text string")
+    families = docs.where("doc_id < 40").select(row_key(F.col("doc_id"), F.col("text")).alias("row"), F.lit(1).cast("bigint").alias("family"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert line_templates.recurring_lines(docs, families=families, min_docs=12).count() == 0
+        assert line_templates.recurring_lines(docs, families=families, min_docs=11).count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
