@@ -75,3 +75,16 @@ def test_ratio_is_of_whole_texts(spark, tmp_path):
         assert row.pair_id == "1-2"
         assert row.ratio < 1
         assert abs(row.ratio - difflib.SequenceMatcher(None, texts[1], texts[2], autojunk=False).ratio()) < 1e-4
+
+
+def test_nw_align_embeds_lines_between_anchors_only(spark, monkeypatch, tmp_path):
+    from palimpsest.operators import retrieval
+    from palimpsest.plans.queries import QUERIES
+
+    lines = [" ".join(f"w{n}x{k}" for k in range(8)) for n in range(40)]
+    other = [*lines[:20], "one line that is not the same here", *lines[21:]]
+    spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(other))], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked, embed = [], retrieval.embed
+    monkeypatch.setattr(retrieval, "embed", lambda rows, *a, **k: (asked.append(rows.count()), embed(rows, *a, **k))[1])
+    rows = QUERIES["nw_align"](spark, str(tmp_path)).collect()
+    assert asked == [1, 1] and sum(r.anchored for r in rows) == 39
