@@ -3,9 +3,12 @@
 Encoding one pre-token: its symbols form a doubly linked list, and a priority queue holds the merges that neighbours allow, least rank first and
 among equal ranks the leftmost. A popped entry whose symbols have changed meanwhile is stale and skipped; else its two symbols become one, and the
 merges with its neighbours on both sides join the queue. A pre-token of n characters takes O(n log n), so unbroken text of any length does.
+Short pre-tokens of a batch are merged side by side in numpy: the queue of each is one entry a symbol, the merge with its right neighbour, so that a
+change overwrites what would be stale; each round pops the least entry of every queue.
 
 The library normalises and splits (both are tables of Unicode, read from the file); merges and decoding are done here. Where a vocabulary's pre-tokens never
-hold white space, words are encoded apart; words and pre-tokens are remembered, up to `most` of them.
+hold white space, words are encoded apart; words and pre-tokens are remembered, up to `most` of them: when half as many are known, they become the older half, and those
+that recur come back from there.
 
 Decoding concatenates the vocabulary's strings: those of all ids of a batch are taken from one Arrow array, so a text is a slice of what
 lies there. A file without a decoder joins them by a space, as the library does; byte-level ones give bytes, and bytes that are no UTF-8 give U+FFFD.
@@ -34,10 +37,16 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 from palimpsest.llm.shared import Carried, quoted
 from palimpsest.llm.wordhash import pieces
 
-MOST = 300_000
+MOST = 200_000
+
+#: Pre-tokens up to so many characters are merged side by side: a pop looks at a whole queue there.
+SHORT = 40
+
+_NONE = np.int64(1) << np.int64(62)
 
 #: Words that normalisers at most lower-case: ASCII, and the letters of Latin-1.
 _SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_SIMPLE_TEXT = re.compile(r"[!-~À-ÖØ-öø-ÿ \t-\r]*")
 
 
 def _byte_chars() -> list[str]:
@@ -54,7 +63,72 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}i", *ids)
 
 
-class Encoder:
+class WordMemory:
+    """Ids of words of a vocabulary whose pre-tokens never hold white space, each found out once as long as it is remembered.
+
+    `simple` splits words that are only lower-cased, where the file says so; their new pre-tokens go to `_ids_of` together, other words to `_learn`."""
+
+    def __init__(self, simple: regex.Pattern | None, most: int) -> None:
+        self.simple, self.most = simple, most
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.older: tuple[dict[bytes, bytes], dict[str, bytes]] = ({}, {})
+
+    def _ids_of(self, parts: list[str]) -> list[bytes]:
+        """Of pre-tokens in byte characters."""
+        raise NotImplementedError
+
+    def _learn(self, word: str) -> bytes:
+        raise NotImplementedError
+
+    @staticmethod
+    def simple_pattern(spec: dict) -> regex.Pattern | None:
+        """What splits simple words, once lower-cased, where the file says that nothing else happens to them."""
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if steps != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in parts] != ["Split", "ByteLevel"]:
+            return None
+        plain = parts[0]["invert"] and parts[0]["behavior"] == "Removed" and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]
+        return regex.compile(parts[0]["pattern"]["Regex"]) if plain else None
+
+    def _split(self, simple: str) -> list[str]:
+        return self.simple.findall(simple.lower())
+
+    def _remember_parts(self, parts: set[str]) -> None:
+        new, older = parts - self.parts.keys(), self.older[1]
+        back = new & older.keys()
+        self.parts.update([(p, older[p]) for p in back])
+        fresh = list(new - back)
+        by_bytes = [p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_CHARS) for p in fresh]
+        self.parts.update(zip(fresh, self._ids_of(by_bytes), strict=True))
+
+    def _remember_words(self, words: set[bytes]) -> None:
+        new, older = words - self.known.keys(), self.older[0]
+        back = new & older.keys()
+        self.known.update([(w, older[w]) for w in back])
+        simple = {}
+        for raw in new - back:
+            word = raw.decode()
+            if self.simple and _SIMPLE.fullmatch(word) and "<|" not in word:
+                simple[raw] = self._split(word)
+            else:
+                self.known[raw] = self._learn(word)
+        self._remember_parts(set().union(*simple.values()))
+        self.known.update([(raw, b"".join([self.parts[p] for p in parts])) for raw, parts in simple.items()])
+
+    def by_word(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit bytes. Texts of simple words only are split as they are."""
+        if 2 * (len(self.known) + len(self.parts)) > self.most:
+            self.older, self.known, self.parts = (self.known, self.parts), {}, {}
+        simple = [bool(self.simple and _SIMPLE_TEXT.fullmatch(t) and "<|" not in t) for t in texts]
+        listed = [self._split(t) if s else t.encode().split() for t, s in zip(texts, simple, strict=True)]
+        self._remember_parts(set().union(*[x for x, s in zip(listed, simple, strict=True) if s]))
+        self._remember_words(set().union(*[x for x, s in zip(listed, simple, strict=True) if not s]))
+        parts, known = self.parts, self.known
+        return [b"".join([parts[p] for p in x] if s else [known[w] for w in x]) for x, s in zip(listed, simple, strict=True)]
+
+
+class Encoder(WordMemory):
     def __init__(self, path: str, most: int = MOST) -> None:
         from tokenizers import Tokenizer
 
@@ -82,20 +156,13 @@ class Encoder:
         self.added = re.compile(f"({listed})") if listed else None
         probe = "a b's\n12  c"
         self.by_words = [p for w in probe.split() for p in self._parts(w)] == self._parts(probe) and not any(re.search(r"\s", x) for x in self.special)
-        self.most = most
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.simple = self._pattern(spec)
-
-    @staticmethod
-    def _pattern(spec: dict) -> regex.Pattern | None:
-        """What splits simple words, once lower-cased, where the file says that nothing else happens to them."""
-        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-        if steps != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in parts] != ["Split", "ByteLevel"]:
-            return None
-        plain = parts[0]["invert"] and parts[0]["behavior"] == "Removed" and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]
-        return regex.compile(parts[0]["pattern"]["Regex"]) if plain else None
+        super().__init__(self.simple_pattern(spec), most)
+        # as arrays: keys of pairs in order, with one more id for what lies beyond a pre-token's ends; ids of single characters within and at the end of a pre-token
+        keys = np.array([left * (self.size + 1) + right for left, right in (divmod(k, self.size) for k in self.ranks)], dtype=np.int64)
+        order = np.argsort(keys)
+        self.pairs, self.pair_ranks = keys[order], np.array(list(self.ranks.values()), dtype=np.int64)[order]
+        self.made_ids = np.array(self.made, dtype=np.int64)
+        self.inner, self.final = (np.array([self.vocabulary.get(chr(c) + end, -1) for c in range(512)], dtype=np.int64) for end in ("", self.suffix))
 
     def _parts(self, text: str) -> list[str]:
         text = self.normal.normalize_str(text) if self.normal else text
@@ -127,10 +194,57 @@ class Encoder:
                 heapq.heappush(queue, rank << 32 | left)
         return [i for i in ids if i >= 0]
 
+    def _entries(self, left: np.ndarray, right: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Queue entries of the merges of two symbols: rank << 32 | place, or _NONE."""
+        keys = left * (self.size + 1) + right
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.pair_ranks[at] << 32 | places, _NONE)
+
+    def merge_all(self, parts: list[str]) -> list[bytes]:
+        """The packed ids of short pre-tokens (not empty, characters below U+0200)."""
+        if not parts or not len(self.pairs):
+            return [_packed(self.merge(p)) for p in parts]
+        order = sorted(range(len(parts)), key=lambda n: len(parts[n]))
+        sizes = np.array([len(parts[n]) for n in order], dtype=np.int64)
+        codes = np.frombuffer("".join([parts[n] for n in order]).encode("utf-16-le"), dtype="<u2")
+        ids, last = self.inner[codes], np.cumsum(sizes) - 1
+        ids[last] = self.final[codes[last]]
+        if (ids < 0).any():  # characters that the vocabulary lacks are left out
+            return [_packed(self.merge(p)) for p in parts]
+        n, first = len(ids), last - sizes + 1
+        # place n is beyond all ends
+        ids = np.r_[ids, self.size]
+        before, after = np.arange(-1, n), np.arange(1, n + 2)
+        before[first], after[last] = n, n
+        queue = np.full(n + 1, _NONE)
+        places = np.arange(n)
+        queue[:n] = self._entries(ids[:n], ids[after[:n]], places)
+        busy = first
+        while len(busy):
+            # queues in between that have run empty hold _NONE only
+            least = np.minimum.reduceat(queue[busy[0] : n], busy - busy[0])
+            some = least < _NONE
+            busy, least = busy[some], least[some]
+            at, made = least & 0xFFFFFFFF, self.made_ids[least >> 32]
+            right, left = after[at], before[at]
+            further = after[right]
+            ids[at], ids[right], queue[right] = made, -1, _NONE
+            after[at], before[further] = further, at
+            queue[at] = self._entries(made, ids[further], at)
+            queue[left] = self._entries(ids[left], made, left)
+        stay = ids[:n] >= 0
+        raw = ids[:n][stay].astype("<i4").tobytes()
+        stops = (4 * np.r_[0, np.cumsum(np.add.reduceat(stay.astype(np.int64), first))]).tolist()
+        out = [b""] * len(parts)
+        for k, a, b in zip(order, stops, stops[1:], strict=False):
+            out[k] = raw[a:b]
+        return out
+
+    def _ids_of(self, parts: list[str]) -> list[bytes]:
+        short = iter(self.merge_all([p for p in parts if len(p) <= SHORT]))
+        return [next(short) if len(p) <= SHORT else _packed(self.merge(p)) for p in parts]
+
     def _learn(self, word: str) -> bytes:
-        if self.simple and _SIMPLE.fullmatch(word) and "<|" not in word:
-            pieces_ = [p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_CHARS) for p in self.simple.findall(word.lower())]
-            return b"".join([self._part(p) for p in pieces_])
         out = []
         for segment in self.added.split(word) if self.added else [word]:
             if segment in self.special:
@@ -142,27 +256,17 @@ class Encoder:
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            found = self.parts[part] = _packed(self.merge(part))
+            found = self.parts[part] = self.older[1].get(part) or _packed(self.merge(part))
         return found
 
-    def _remembered(self, words: list[bytes]) -> bytes:
-        if len(self.known) + len(self.parts) > self.most:
-            self.known.clear()
-            self.parts.clear()
-        known = self.known
-        found = list(map(known.get, words))
-        if None in found:
-            for at, w in enumerate(words):
-                if found[at] is None:
-                    found[at] = known.get(w)
-                    if found[at] is None:
-                        found[at] = known[w] = self._learn(w.decode())
-        return b"".join(found)
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit bytes."""
+        return self.by_word(texts) if self.by_words else [self._encode(t) for t in texts]
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit bytes."""
-        if self.by_words:
-            return self._remembered(text.encode().split())
+        return self.encode_all([text])[0]
+
+    def _encode(self, text: str) -> bytes:
         out = []
         for segment in self.added.split(text) if self.added else [text]:
             if segment in self.special:
@@ -209,7 +313,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         for batch in pieces(batches, "text"):
-            ids = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
+            ids = encoder.encode_all([t or "" for t in batch.column("text").to_pylist()])
             ends = np.r_[0, np.cumsum([len(i) // 4 for i in ids])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
             yield pa.RecordBatch.from_arrays([batch.column("own"), lists], names=["own", "ids"])

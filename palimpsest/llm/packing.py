@@ -13,83 +13,42 @@ empty result. Other columns pass through; columns with the result's names are re
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from palimpsest.llm.bpe import WordMemory
 from palimpsest.llm.shared import Carried, cut, quoted
+from palimpsest.llm.wordhash import pieces as parted
 
 CAPACITY, END = 2048, 0
 
-#: Words that the library's normaliser only lower-cases: ASCII, and the letters of Latin-1.
-_SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-
-
-class WordEncoder:
+class WordEncoder(WordMemory):
     """Ids of white-space separated words by a word-end BPE vocabulary of the library tokenizers, as little-endian 32-bit bytes.
 
     No token crosses white space there, so words are encoded apart and remembered, up to `most` of them. How a word is split is read
     from the file; a file of another make, and words that are not simple, are left to the library.
     """
 
-    def __init__(self, path: str, most: int = 100_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.most = self.tokenizer.model, most
-        self.split = self._pattern(path)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in set(printable)]
-        self.byte_chars = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
-
-    @staticmethod
-    def _pattern(path: str) -> regex.Pattern | None:
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        normal, before = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
-        steps, parts = [n["type"] for n in normal.get("normalizers", [])], before.get("pretokenizers", [])
-        known = steps == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in parts] == ["Split", "ByteLevel"]
-        if not known or not parts[0]["invert"] or parts[0]["behavior"] != "Removed" or parts[1]["use_regex"] or parts[1]["add_prefix_space"]:
-            return None
-        return regex.compile(parts[0]["pattern"]["Regex"])
-
-    def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) >= self.most:
-                self.parts.clear()
-            by_bytes = part if part.isascii() else part.encode().decode("latin-1").translate(self.byte_chars)
-            found = self.parts[part] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(by_bytes)])
-        return found
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if self.split and len(text) < 200 and _SIMPLE.fullmatch(text) and "<|" not in text:
-            return b"".join([self._part(p) for p in self.split.findall(text.lower())])
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        words = text.encode().split()
-        known = self.words
-        if len(known) >= self.most:
-            known.clear()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = self._word(w)
-            return b"".join([known[w] for w in words])
+            super().__init__(self.simple_pattern(json.load(file)), most)
+
+    def _ids_of(self, parts: list[str]) -> list[bytes]:
+        return [b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(p)]) for p in parts]
+
+    def _learn(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -100,13 +59,13 @@ def _pieces(path: str, capacity: int, with_ids: bool):
         encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         end = END.to_bytes(4, "little")
-        for batch in batches:
-            texts, at = batch.column("text"), 0
-            while at < len(texts):
+        for batch in parted(batches, "text"):
+            encoded, at = encoder.by_word([t or "" for t in batch.column("text").to_pylist()]), 0
+            while at < len(encoded):
                 rows: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "ids_crc32", "rank")}
                 ids_of = []
-                while at < len(texts) and len(rows["row"]) < 2000:
-                    ids = encoder.encode(texts[at].as_py() or "") + end
+                while at < len(encoded) and len(rows["row"]) < 2000:
+                    ids = encoded[at] + end
                     n = len(ids) // 4
                     for piece, start in enumerate(range(0, n, capacity)):
                         length = min(capacity, n - start)
