@@ -48,6 +48,9 @@ _NONE = np.int64(1) << np.int64(62)
 _SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _SIMPLE_TEXT = re.compile(r"[!-~À-ÖØ-öø-ÿ \t-\r]*")
 
+#: The known way to split, and what it comes to over lower-cased simple words; its alternatives begin with different characters, but for the apostrophe's, so their order is free otherwise.
+_SPLITS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+": "[a-zß-öø-ÿ]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\\sa-zß-öø-ÿ0-9]+"}
+
 
 def _byte_chars() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: itself, or the next one from U+0100."""
@@ -68,7 +71,7 @@ class WordMemory:
 
     `simple` splits words that are only lower-cased, where the file says so; their new pre-tokens go to `_ids_of` together, other words to `_learn`."""
 
-    def __init__(self, simple: regex.Pattern | None, most: int) -> None:
+    def __init__(self, simple: regex.Pattern | re.Pattern | None, most: int) -> None:
         self.simple, self.most = simple, most
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -82,14 +85,15 @@ class WordMemory:
         raise NotImplementedError
 
     @staticmethod
-    def simple_pattern(spec: dict) -> regex.Pattern | None:
+    def simple_pattern(spec: dict) -> regex.Pattern | re.Pattern | None:
         """What splits simple words, once lower-cased, where the file says that nothing else happens to them."""
         steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         if steps != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in parts] != ["Split", "ByteLevel"]:
             return None
         plain = parts[0]["invert"] and parts[0]["behavior"] == "Removed" and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]
-        return regex.compile(parts[0]["pattern"]["Regex"]) if plain else None
+        pattern = parts[0]["pattern"]["Regex"]
+        return (re.compile(_SPLITS[pattern]) if pattern in _SPLITS else regex.compile(pattern)) if plain else None
 
     def _split(self, simple: str) -> list[str]:
         return self.simple.findall(simple.lower())

@@ -36,7 +36,7 @@ class WordEncoder(WordMemory):
     from the file; a file of another make, and words that are not simple, are left to the library.
     """
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
+    def __init__(self, path: str, most: int = 450_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -45,7 +45,12 @@ class WordEncoder(WordMemory):
             super().__init__(self.simple_pattern(json.load(file)), most)
 
     def _ids_of(self, parts: list[str]) -> list[bytes]:
-        return [b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(p)]) for p in parts]
+        ids, stops, tokenize = [], [0], self.model.tokenize
+        for p in parts:
+            ids += [t.id for t in tokenize(p)]
+            stops.append(4 * len(ids))
+        raw = np.array(ids, dtype="<u4").tobytes()
+        return [raw[a:b] for a, b in zip(stops, stops[1:], strict=False)]
 
     def _learn(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
