@@ -218,7 +218,9 @@ class NearDuplicates:
         every = inside.withColumn("j", deal("blocks")).withColumn("i", spread("outer_blocks")).select(*columns, F.lit(False).alias("outer"))
         # rows that share an id can have several sets; each goes with its own sketch
         full = self.sketch.join(self.sets.withColumn("size", F.size("grams").cast("bigint")), ["v", "size"])
-        rows = cut(outer.unionByName(every)).join(full, "v")
+        return self.block_links(cut(outer.unionByName(every)).join(full, "v"))
+
+    def block_links(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy("band", "key", "i", "j").applyInArrow(_blocks(self.percent), "a bigint, b bigint").distinct()
 
     def labels(self) -> DataFrame:

@@ -126,3 +126,33 @@ def test_families_meet_documents_not_lines(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+
+
+def test_families_are_those_of_near_duplicates_without_python(spark, monkeypatch):
+    """One large group, near copies that no hub holds, short and empty texts, rows that share an id; and the stage before its lines runs no Python."""
+    from pyspark.sql import functions as F
+
+    from palimpsest.llm import families, minhash
+    from palimpsest.llm.shared import row_key
+
+    rng = random.Random(21)
+    base = [f"w{n}" for n in range(150)]
+    rows = []
+    for n in range(120):
+        own = list(base) if n % 3 else [f"v{n % 9}-{k}" for k in range(90)]
+        for place in rng.sample(range(len(own)), n % 7):
+            own[place] = f"x{n}-{place}"
+        rows.append((n, " ".join(own)))
+    rows += [(5, "another text of the same id"), (130, "two words"), (131, "TWO\twords"), (132, ""), (133, " "), (134, None), (None, rows[1][1]), (3, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("row", row_key(F.col("doc_id"), F.col("text")))
+    named = lambda df: {(bytes(r.row), r.component_id) for r in df.select("row", "component_id").collect()}
+    expected = named(minhash.near_duplicates(docs).where("n_shingles > 0 AND doc_id IS NOT NULL"))
+
+    def no_python(*_, **__):
+        raise AssertionError("runs Python")
+
+    monkeypatch.setattr(type(docs), "mapInArrow", no_python)
+    monkeypatch.setattr(minhash, "_blocks", no_python)
+    assert named(families.near_families(docs)) == expected
+    assert 1 < len({c for _, c in expected}) < len(expected)
+    assert len(corpus_pipeline.lines(spark, docs.select("doc_id", "text"), "").collect()) == len(rows)
