@@ -64,12 +64,17 @@ def line_offsets(rows: DataFrame, keys: list[str], pos: str = "pos", text: str =
 
 def sectionize(paragraphs: DataFrame, normalized: bool = False, legacy: bool = False) -> DataFrame:
     """Chunks of each document: running header state and segments as windows over its paragraphs."""
-    rows = paragraphs if normalized else paragraphs.withColumn("text", T.normalize(F.col("text")))
-    rows = rows.withColumn("text", T.strip(F.col("text"))).where((F.col("text") != "") & ~T.is_noise(F.col("text")))
+    if not normalized:
+        paragraphs = paragraphs.withColumn("text", T.nfc(T.text(F.col("text"))))
     t = F.col("text")
-    rows = rows.withColumns({"_top": F.coalesce(top_level(t), F.when(mid_level(t, legacy).isNull(), signature(t)))})
-    rows = rows.withColumn("_mid", F.when(F.col("_top").isNull(), mid_level(t, legacy)))
-    rows = rows.withColumn("_art", F.when(F.col("_top").isNull() & F.col("_mid").isNull(), article(t)))
+    # exploded, so that the text and its marks are computed once: a condition on a column repeats how the column is made
+    made = F.transform(F.array(t), lambda x: T.strip(x if normalized else T.without_variants(x)))
+    rows = paragraphs.withColumn("text", F.explode(made)).where((t != "") & ~T.is_noise(t))
+    top = F.coalesce(top_level(t), F.when(mid_level(t, legacy).isNull(), signature(t)))
+    mid = F.when(top.isNull(), mid_level(t, legacy))
+    marks = F.struct(top.alias("top"), mid.alias("mid"), F.when(top.isNull() & mid.isNull(), article(t)).alias("art"))
+    rows = rows.withColumn("_m", F.explode(F.array(F.when(t.rlike("(?iU)" + rules.HEAD), marks))))
+    rows = rows.select("*", F.col("_m.top").alias("_top"), F.col("_m.mid").alias("_mid"), F.col("_m.art").alias("_art")).drop("_m")
     is_top, is_mid, is_art = (F.col(c).isNotNull() for c in ("_top", "_mid", "_art"))
     doc = ["doc_id", "doc_label"]
     run = lambda *k: Window.partitionBy(*doc, *k).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

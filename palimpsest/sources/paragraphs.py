@@ -83,8 +83,9 @@ def markdown_paragraphs(pages: DataFrame, label: str) -> DataFrame:
 
 def text_paragraphs(docs: DataFrame, label: str = "doc") -> DataFrame:
     """Lines of plain texts (doc_id, text), normalised, without empty ones."""
-    rows = docs.select("doc_id", F.posexplode(F.split(T.text(F.col("text")), "\n")).alias("l", "text"))
-    rows = rows.withColumn("text", T.squeeze(F.col("text"))).where("text <> ''").withColumns({"style": F.lit("Normal"), "page": F.lit(None).cast("int")})
+    # squeezed before they are rows: a condition on a column repeats how the column is made
+    rows = docs.select("doc_id", F.posexplode(F.transform(F.split(T.text(F.col("text")), "\n"), T.squeeze)).alias("l", "text"))
+    rows = rows.where("text <> ''").withColumns({"style": F.lit("Normal"), "page": F.lit(None).cast("int")})
     return _numbered(rows, ["l"], label)
 
 
