@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.functions.tables import cut
+from palimpsest.functions.tables import batches_of, cut, small
 from palimpsest.operators import align, changes, chunks, report, retrieval
 from palimpsest.rules import Settings
 
@@ -62,7 +62,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     hubs = banded.groupBy("key").agg(F.min("v").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
     members = cut(banded.join(hubs, "key"))
     near = cut(members.select("v").distinct())
-    sets = cut(_shingles(docs.join(near.select(F.col("v").alias("doc_id")), "doc_id", "left_semi")).select(F.col("doc_id").alias("v"), "grams"))
+    sets = cut(_shingles(docs.join(small(near).select(F.col("v").alias("doc_id")), "doc_id", "left_semi")).select(F.col("doc_id").alias("v"), "grams"))
     sizes = classes.select("v", "size")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -87,7 +87,9 @@ def version_pairs(docs: DataFrame) -> DataFrame:
     """Each document with the first earlier document found that is its near copy, as versions a and b."""
     links = near_copies(docs)
     side = lambda s: docs.select(F.col("doc_id").alias(f"doc_{s}"), F.col("text").alias(f"text_{s}"))
-    both = links.join(side("b"), "doc_b").join(side("a"), "doc_a")
+    # texts that no pair has needn't be shuffled
+    first = small(cut(links.select("doc_a").distinct()))
+    both = side("b").join(small(links), "doc_b").join(side("a").join(first, "doc_a", "left_semi"), "doc_a")
     return both.select(F.concat_ws("-", "doc_a", "doc_b").alias("pair_id"), "doc_a", "doc_b", "text_a", "text_b")
 
 

@@ -99,3 +99,16 @@ def test_records_judge_changed_lines_once(spark):
     found = changes.change_records(clauses)
     assert "EvalPython" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.ord, r.record.impact_level) for r in found.where("rec_ord >= 0").collect()) == [(0, "substantive"), (1, "formal")]
+
+
+def test_texts_without_a_partner_are_not_shuffled(spark):
+    """Keys of pairs are broadcast to the documents, also where Spark's own threshold wouldn't."""
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "One two three four five six"), (3, "others have none of these words")], "doc_id bigint, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = compare.version_pairs(docs)
+        plan = pairs._jdf.queryExecution().sparkPlan().toString()
+        assert [(r.doc_a, r.doc_b) for r in pairs.collect()] == [(1, 2)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") == 2
